@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import docs, near_dups, validity
+from kestrel.llm import docs, leaks, near_dups, validity
 from kestrel.sources.tables import table
 
 QUERIES: dict = {}
@@ -65,3 +65,17 @@ def p6_pairs(spark, d):
 @query("p6_statistics")
 def p6_statistics(spark, d):
     return docs.pair_statistics(_files(spark, d), _chunks(spark, d))
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return leaks.leaked(_documents(spark, d), table(spark, d, "eval_cases"))
+
+
+@query("p8_report")
+def p8_report(spark, d):
+    return leaks.leak_report(_documents(spark, d), table(spark, d, "eval_cases"))

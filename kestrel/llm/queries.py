@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import docs, leaks, near_dups, validity
+from kestrel.llm import docs, leaks, near_dups, secrets, validity
 from kestrel.sources.tables import table
 
 QUERIES: dict = {}
@@ -79,3 +79,18 @@ def p8_found(spark, d):
 @query("p8_report")
 def p8_report(spark, d):
     return leaks.leak_report(_documents(spark, d), table(spark, d, "eval_cases"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return secrets.credentials(_files(spark, d))
+
+
+@query("p5_redacted")
+def p5_redacted(spark, d):
+    return secrets.redacted(_files(spark, d))
+
+
+@query("p5_statistics")
+def p5_statistics(spark, d):
+    return secrets.statistics(_files(spark, d))

@@ -64,4 +64,14 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/kestrel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.kestrel_path = where
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kestrel_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

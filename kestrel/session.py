@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if n < sc.defaultParallelism else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kestrel_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:
+        name = Path(d) / "kestrel-package.zip"
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        sc.addPyFile(str(name))
+        sc._kestrel_shipped = True
+
+
 #: Rows of one Arrow batch between the JVM and a Python worker where rows are whole texts.
 TEXT_BATCH_ROWS = 512
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import docs, leaks, near_dups, secrets, validity
+from kestrel.llm import docs, leaks, near_dups, secrets, truncation, validity
 from kestrel.sources.tables import table
 
 QUERIES: dict = {}
@@ -94,3 +94,13 @@ def p5_redacted(spark, d):
 @query("p5_statistics")
 def p5_statistics(spark, d):
     return secrets.statistics(_files(spark, d))
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return truncation.cut_documents(_documents(spark, d))
+
+
+@query("p10_rates")
+def p10_rates(spark, d):
+    return truncation.cut_rates(_documents(spark, d))

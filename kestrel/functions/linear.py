@@ -14,6 +14,22 @@ def bucket(text: str, bits: int, seed: int = 0) -> int:
     return xxhash.xxh32_intdigest(text, seed) & ((1 << bits) - 1)
 
 
+class Dense:
+    """Rows of (places, values) as one matrix of single precision, for rows with thousands of places."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]], width: int):
+        self.n, self.width = len(rows), width
+        self.x = np.zeros((self.n, width), np.float32)
+        for k, (cols, vals) in enumerate(rows):
+            np.add.at(self.x[k], cols, vals)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return (self.x @ w.astype(np.float32)).astype(np.float64)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return (g.astype(np.float32) @ self.x).astype(np.float64)
+
+
 class Sparse:
     """Rows of (places, values) as one flat structure."""
 
@@ -30,7 +46,7 @@ class Sparse:
         return np.bincount(self.col, weights=self.val * g[self.row], minlength=self.width)
 
 
-def _descend(x: Sparse, slope, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+def _descend(x, slope, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Full-batch adaptive gradient descent with momentum (Adam), deterministic."""
     w, b = np.zeros(x.width), 0.0
     m, v = np.zeros(x.width + 1), np.zeros(x.width + 1)
@@ -50,7 +66,7 @@ def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, l2: flo
     return _descend(x, lambda z: c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y), l2, steps, rate)
 
 
-def support_vectors(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def support_vectors(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Linear support vector classifier, squared hinge loss; y in {0, 1}."""
     c = np.ones(x.n) if weight is None else weight
     t = 2 * y - 1

@@ -58,13 +58,12 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_kestrel_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:
-        name = Path(d) / "kestrel-package.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f"{root.name}/{f.relative_to(root)}")
-        sc.addPyFile(str(name))
-        sc._kestrel_shipped = True
+    name = Path(tempfile.mkdtemp(prefix="kestrel-")) / "kestrel-package.zip"  # Spark serves this file while the application lives
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(name))
+    sc._kestrel_shipped = True
 
 
 #: Rows of one Arrow batch between the JVM and a Python worker where rows are whole texts.

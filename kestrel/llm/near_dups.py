@@ -3,18 +3,20 @@
 Records are sets of distinct runs of three tokens.  Two sets are joined when
 their Jaccard similarity reaches the threshold (0.7 here: TESTDATA fixes it).
 
-1. *Frequencies.*  Every partition counts its shingles in a table of 2**25
-   hashed one-byte counters; the tables are added up block by block.  A counter
-   never understates a frequency.  The table has a fixed size (32 MB), so it
-   may be broadcast whatever the corpus holds; a fuller table costs time only.
+1. *Frequencies.*  Every partition counts its shingles in a table of hashed
+   one-byte counters; the tables are added up block by block.  A counter never
+   understates a frequency.  The table has about two counters per shingle of
+   the corpus, at most 2**MAX_BITS (128 MB), so it may be broadcast whatever
+   the corpus holds; a fuller table costs time, never a pair.
 2. *Prefixes.*  A set of n shingles, ordered rarest first, needs only its first
    n - ceil(t n) + 1 shingles to meet every partner.  Shingles whose counter is
    1 occur in no other record and are left out.
 3. *Classes.*  Records with the same token sequence are one class.
 4. *Candidates.*  Classes meet on prefix shingles; a meeting must pass the
    length and the positional filter.  Each pair goes on once.
-5. *Suffix filter.*  Histograms of both sets over 32 hash ranges bound the
-   overlap from above.
+5. *Suffix filter.*  Each set has 1024 parity bits over its hashes.  Every bit
+   in which two sets differ stands for a shingle that only one of them holds,
+   which bounds the overlap from above.
 6. *Verification.*  The sets of the surviving classes are rebuilt from their
    texts and intersected once per pair.
 
@@ -32,19 +34,23 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.tokens import raw_tokens
-from kestrel.session import materialized, spread, text_batches
+from kestrel.session import materialized, release, spread, text_batches
 
 THRESHOLD = 0.7
 SHINGLE = 3
 MIN_TOKENS = 40
-#: Counters of the frequency table, and of one block of it.
-TABLE_BITS, BLOCK_BITS = 25, 17
-BINS = 32
-_MERGE_SALTS = 16
+#: Bounds of the frequency table (powers of two), and the size of one block of it.
+MIN_BITS, MAX_BITS, BLOCK_BITS = 20, 27, 17
+#: Characters of text for each shingle, to size the table by.
+CHARACTERS = 7
+#: Partial tables added up by one task.
+MERGE = 2_000
+PARITY_BITS = 1024
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _IDS: dict[str, int] = {}
@@ -80,8 +86,13 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(x)
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def table_bits(n_chars: int) -> int:
+    want = max(1, 2 * n_chars // CHARACTERS)
+    return min(MAX_BITS, max(MIN_BITS, (want - 1).bit_length()))
+
+
+def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _sets(batch):
@@ -92,20 +103,18 @@ def _sets(batch):
             yield k, h, shingles(h)
 
 
-def _count_batches(batches):
-    table = np.zeros(1 << TABLE_BITS, np.uint16)
+def _count_batches(batches, bits, salts):
+    table = np.zeros(1 << bits, np.uint8)
     some = False
     for b in batches:
         parts = [s for _, _, s in _sets(b)]
         if parts:
             some = True
-            u, c = np.unique(_bucket(np.concatenate(parts)), return_counts=True)
-            table[u] = np.minimum(table[u].astype(np.int64) + c, 255)
+            u, c = np.unique(_bucket(np.concatenate(parts), bits), return_counts=True)
+            table[u] = np.minimum(table[u] + c, 255).astype(np.uint8)
     if some:
-        import os
-
-        salt = os.getpid() % _MERGE_SALTS
-        blocks = table.astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
+        salt = TaskContext.get().partitionId() % salts
+        blocks = table.reshape(-1, 1 << BLOCK_BITS)
         for n, row in enumerate(blocks):
             if row.any():
                 yield pa.RecordBatch.from_pydict({"block": [n], "salt": [salt], "counts": [zlib.compress(row.tobytes(), 1)]}, _BLOCK)
@@ -122,12 +131,15 @@ def _add_blocks(pdf):
 
 
 def frequency_table(records: DataFrame) -> np.ndarray:
-    """Saturating counts of hashed shingles over all records; 2**TABLE_BITS bytes whatever the corpus."""
+    """Saturating counts of hashed shingles over all records."""
+    bits = table_bits(records.select(F.sum(F.length("text")).cast("bigint")).first()[0] or 0)
     schema = "block int, salt int, counts binary"
-    parts = records.mapInArrow(_count_batches, schema)
-    merged = parts.groupBy("block", "salt").applyInPandas(_add_blocks, schema).groupBy("block").applyInPandas(_add_blocks, schema)
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    for r in merged.select("block", "counts").toLocalIterator():  # at most 2**(TABLE_BITS - BLOCK_BITS) rows of a fixed size
+    salts = -(-records.rdd.getNumPartitions() // MERGE)
+    merged = records.mapInArrow(partial(_count_batches, bits=bits, salts=salts), schema).groupBy("block", "salt").applyInPandas(_add_blocks, schema)
+    if salts > 1:
+        merged = merged.groupBy("block").applyInPandas(_add_blocks, schema)
+    table = np.zeros(1 << bits, np.uint8)
+    for r in merged.select("block", "counts").toLocalIterator():  # at most 2**(MAX_BITS - BLOCK_BITS) rows of a fixed size
         table[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint8)
     return table
 
@@ -135,16 +147,16 @@ def frequency_table(records: DataFrame) -> np.ndarray:
 _SIGNED = np.int64
 _RECORD = pa.schema(
     [("id", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
-     ("bins", pa.list_(pa.int32()))]
+     ("parity", pa.list_(pa.int64()))]
 )
-RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, bins array<int>"
+RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, parity array<bigint>"
 
 
 def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Prefix shingles that may occur elsewhere, and their places in the rarest-first order."""
     n = len(s)
     keep = n - math.ceil(threshold * n - 1e-9) + 1
-    seen = table[_bucket(s)]
+    seen = table[_bucket(s, len(table).bit_length() - 1)]
     order = np.lexsort((s, seen))[:keep]
     places = np.flatnonzero(seen[order] > 1)
     return s[order[places]], places.astype(np.int32)
@@ -164,7 +176,8 @@ def _record_batches(batches, table, threshold):
             out["n"].append(len(s))
             out["grams"].append(grams.view(_SIGNED))
             out["places"].append(places)
-            out["bins"].append(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32))
+            odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+            out["parity"].append(np.packbits(odd.astype(np.uint8)).view(_SIGNED))
         yield pa.RecordBatch.from_pydict(out, _RECORD)
 
 
@@ -179,17 +192,18 @@ def _set_batches(batches):
 
 
 def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep), (classes: rep, n, grams, places, bins); ``records`` has id, text, parent."""
+    """(members: id, rep), (classes: rep, n, grams, places, parity); ``records`` has id, text, parent."""
     spark = records.sparkSession
     text_batches(spark)
     records = spread(records.select("id", "text", "parent").where("id is not null and text is not null"))
     table = spark.sparkContext.broadcast(frequency_table(records).tobytes())
     made = materialized(records.mapInArrow(partial(_record_batches, table=table, threshold=threshold), RECORD_SCHEMA), "prefixes")
-    reps = made.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"))
-    slim = made.select("id", "sig_a", "sig_b").distinct()
-    members = materialized(slim.join(reps, ["sig_a", "sig_b"]).select("id", "rep"), "members")
-    firsts = made.withColumnRenamed("id", "rep").join(members.where("id = rep").select("rep").distinct(), "rep", "left_semi")
-    return members, firsts.dropDuplicates(["rep"]).select("rep", "n", "grams", "places", "bins")
+    firsts = made.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "grams", "places", "parity")))
+    reps = materialized(firsts, "classes")
+    members = made.select("id", "sig_a", "sig_b").distinct().join(reps.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("id", "rep")
+    members = materialized(members, "members")
+    release(made)
+    return members, reps
 
 
 def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -209,20 +223,19 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[D
         # earlier places may already have met, so only what follows both places and the shorter lead bound the overlap
         & (rest + F.least(F.col("a.place"), F.col("b.place")) >= need),
     ).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    bins = reps.select("rep", "n", "bins")
+    bits = reps.select("rep", "n", "parity")
+    apart = F.aggregate(F.zip_with("par_a", "par_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     near = (
-        met.join(bins.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), "rep_a")
-        .join(bins.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")), "rep_b")
-        .where(
-            F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-            >= F.ceil(t * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
-        )
+        met.join(bits.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("parity").alias("par_a")), "rep_a")
+        .join(bits.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("parity").alias("par_b")), "rep_b")
+        .where((F.col("n_a") + F.col("n_b") - apart) / 2 >= F.ceil(t * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)))
         .select("rep_a", "rep_b")
-    )
+    )
     near = materialized(near, "candidates")
+    release(reps)
     wanted = near.select(F.col("rep_a").alias("id")).union(near.select(F.col("rep_b").alias("id"))).distinct()
     texts = records.select("id", "text", "parent").join(wanted, "id", "left_semi")
-    sets = materialized(texts.mapInArrow(_set_batches, "id bigint, grams array<bigint>").dropDuplicates(["id"]), "sets")
+    sets = materialized(texts.mapInArrow(_set_batches, "id bigint, grams array<bigint>"), "sets")
     sized = (
         near.join(sets.select(F.col("id").alias("rep_a"), F.col("grams").alias("x")), "rep_a")
         .join(sets.select(F.col("id").alias("rep_b"), F.col("grams").alias("y")), "rep_b")
@@ -231,6 +244,8 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     pairs = sized.where(F.col("both") >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - F.col("both")) - F.lit(1e-9)).select(
         "rep_a", "rep_b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("similarity")
     )
+    pairs = materialized(pairs.distinct(), "pairs")
+    release(near, sets)
     return members, pairs
 
 
@@ -241,7 +256,6 @@ def _records(chunks: DataFrame) -> DataFrame:
 def near_pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(chunk_id_a < chunk_id_b): all pairs of similar chunks, copies included."""
     members, pairs = similar_classes(_records(chunks), threshold)
-    pairs = materialized(pairs, "pairs")
     a, b = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
     apart = pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select("x", "y")
     same = a.join(b, F.col("rep_a") == F.col("rep_b")).where("x < y").select("x", "y")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import docs, leaks, near_dups, secrets, truncation, validity
+from kestrel.llm import batches, docs, handwritten, leaks, mixing, near_dups, secrets, truncation, validity
 from kestrel.sources.tables import table
 
 QUERIES: dict = {}
@@ -104,3 +104,38 @@ def p10_found(spark, d):
 @query("p10_rates")
 def p10_rates(spark, d):
     return truncation.cut_rates(_documents(spark, d))
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return handwritten.not_by_hand(_files(spark, d))
+
+
+@query("p2_rates")
+def p2_rates(spark, d):
+    return handwritten.rates(_files(spark, d))
+
+
+@query("p7_batches")
+def p7_batches(spark, d):
+    return batches.packed(_chunks(spark, d), table(spark, d, "embed_models"))
+
+
+@query("p7_report")
+def p7_report(spark, d):
+    return batches.report(_chunks(spark, d), table(spark, d, "embed_models"))
+
+
+@query("p7_buckets_alone")
+def p7_buckets_alone(spark, d):
+    return batches.report(_chunks(spark, d), table(spark, d, "embed_models"), top_up=False)
+
+
+@query("p9_draw")
+def p9_draw(spark, d):
+    return mixing.draw(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    return mixing.shares(_documents(spark, d), table(spark, d, "mix_targets"))

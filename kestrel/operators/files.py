@@ -1,0 +1,120 @@
+"""Listing, filtering, windowing, hashing and incremental indexing of source files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What is never indexed, and the language of each suffix.
+SKIP_DIRS = (
+    ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "env",
+    "__pycache__", ".idea", ".vscode", "dist", "build", "target",
+    ".mypy_cache", ".pytest_cache", ".ruff_cache", "store", ".next",
+    "locale",
+)
+SKIP_SUFFIXES = (".po", ".mo", ".pot", ".min.js", ".min.css", ".map", ".lock")
+LANGUAGE_OF_SUFFIX = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript",
+    ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java",
+}
+MAX_FILE_BYTES = 1_000_000
+WINDOW_LINES, WINDOW_STEP = 60, 50
+CHUNKER_VERSION = 2
+#: Line ends as Python's splitlines knows them.
+LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def language_of(path: Column) -> Column:
+    c = F.lit(None).cast("string")
+    for suffix, lang in reversed(LANGUAGE_OF_SUFFIX.items()):
+        c = F.when(path.endswith(suffix), F.lit(lang)).otherwise(c)
+    return c
+
+
+def file_wanted(path: Column) -> Column:
+    """No environment files, no generated or catalog suffixes (base name, case counts)."""
+    name = basename(path)
+    bad = (name == ".env") | name.startswith(".env.")
+    for s in SKIP_SUFFIXES:
+        bad = bad | name.endswith(s)
+    return ~bad
+
+
+def dirs_wanted(path: Column) -> Column:
+    """No directory on the way is skipped; used where the listing walks a tree."""
+    parts = F.split(path, "/")
+    dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return ~F.exists(dirs, lambda d: d.isin(*SKIP_DIRS) | d.endswith(".egg-info"))
+
+
+def size_wanted(n_bytes: Column) -> Column:
+    return n_bytes <= MAX_FILE_BYTES
+
+
+def normal_newlines(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def decoded(content: Column) -> Column:
+    """Text of valid UTF-8 with line ends translated; null where it isn't valid."""
+    return F.when(F.is_valid_utf8(content), normal_newlines(F.decode(content, "UTF-8")))
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of the indexable files under a root, by walking it; names and sizes are filtered before contents are read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.rstrip("/") + "/"
+    rel = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
+    f = raw.where(F.col("length") <= MAX_FILE_BYTES).select(rel.alias("path"), "content").where(dirs_wanted(F.col("path")) & file_wanted(F.col("path")))
+    return f.select("path", decoded(F.col("content")).alias("text")).where("text is not null")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines without their ends; nothing after a last line end."""
+    parts = F.split(text, LINE_ENDS, -1)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ).otherwise(parts)
+
+
+def windows(files: DataFrame) -> DataFrame:
+    """Overlapping windows of lines of every text: the fallback where nothing else cuts a file.  Keeps all columns but text."""
+    keep = [c for c in files.columns if c != "text"]
+    lined = files.withColumn("lines", split_lines(F.col("text"))).withColumn("n", F.size("lines")).where("n > 0")
+    last = F.when(F.col("n") <= WINDOW_LINES, 0).otherwise((F.ceil((F.col("n") - WINDOW_LINES) / WINDOW_STEP) * WINDOW_STEP).cast("int"))
+    each = lined.withColumn("start", F.explode(F.sequence(F.lit(0), last, F.lit(WINDOW_STEP))))
+    part = F.slice("lines", F.col("start") + 1, F.lit(WINDOW_LINES))
+    return each.select(
+        *keep, F.lit("window").alias("kind"), F.lit(None).cast("string").alias("name"), (F.col("start") + 1).alias("start_line"),
+        (F.col("start") + F.size(part)).alias("end_line"), F.array_join(part, "\n").alias("text"),
+    )
+
+
+def not_blank(text: Column) -> Column:
+    return ~text.rlike("^[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*$")
+
+
+def breadcrumb(text: Column, parent: Column) -> Column:
+    return F.when(parent.isNotNull() & (parent != ""), F.concat(F.lit("# in "), parent, F.lit(":\n"), text)).otherwise(text)
+
+
+def file_hash(text: Column, tag: str) -> Column:
+    """sha1 over the chunker's version, the embedding model's tag and the text."""
+    return F.sha1(F.concat(F.lit(f"v{CHUNKER_VERSION}\0{tag}\0"), text).cast("binary"))
+
+
+def embed_tag(embedder: object) -> str:
+    """``model:dim``: model_name, else a string ``model``, else the class name."""
+    name = getattr(embedder, "model_name", None)
+    if not name:
+        model = getattr(embedder, "model", None)
+        name = model if isinstance(model, str) else type(embedder).__name__
+    return f"{name}:{embedder.dim}"
+
+
+def token_estimate(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 3)).cast("int")

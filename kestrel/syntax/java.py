@@ -119,7 +119,7 @@ class JavaParser(BraceParser):
         else:
             self.ternary()
 
-    def type_declaration(self, outer) -> bool:
+    def type_declaration(self, outer, start=None) -> bool:
         s = self.s
         c = s[self.p]
         if c in (K["class"], K["interface"], K["enum"]):
@@ -134,7 +134,7 @@ class JavaParser(BraceParser):
         self.p += 1
         if s[self.p] != "i":
             self.fail("expected a type name")
-        node = self.open_node(kind, self.p, outer)
+        node = self.open_node(kind, self.p, outer if start is None else start, outer)
         self.p += 1
         if s[self.p] == "<":
             self.type_parameters()
@@ -227,13 +227,16 @@ class JavaParser(BraceParser):
             self.p += s[start] != "{"
             self.block(self.statement)
             return note()
+        while s[self.p] == "@" and s[self.p + 1] == "i":
+            self.annotation()
+        begin = self.p
         self.modifiers()
-        if self.type_declaration(start):
+        if self.type_declaration(start, begin):
             return note((self.scope[-1].children if self.scope else self.top)[-1])
         if s[self.p] == "<":
             self.type_parameters()
         if s[self.p] == "i" and s[self.p + 1] in "({":
-            node = self.open_node("constructor_declaration", self.p, start)
+            node = self.open_node("constructor_declaration", self.p, begin, start)
             self.p += 1
             if s[self.p] == "(":
                 self.parameters()
@@ -244,7 +247,7 @@ class JavaParser(BraceParser):
             return note(node)
         self.type_()
         if s[self.p] == "i" and s[self.p + 1] == "(":
-            node = self.open_node("method_declaration", self.p, start)
+            node = self.open_node("method_declaration", self.p, begin, start)
             self.p += 1
             self.parameters()
             while s[self.p] == "[" and s[self.p + 1] == "]":

@@ -15,13 +15,14 @@ def bucket(text: str, bits: int, seed: int = 0) -> int:
 
 
 class Dense:
-    """Rows of (places, values) as one matrix of single precision, for rows with thousands of places."""
+    """A matrix of single precision, for rows with thousands of places."""
 
-    def __init__(self, rows: list[tuple[list[int], list[float]]], width: int):
-        self.n, self.width = len(rows), width
-        self.x = np.zeros((self.n, width), np.float32)
-        for k, (cols, vals) in enumerate(rows):
-            np.add.at(self.x[k], cols, vals)
+    def __init__(self, n: int, width: int):
+        self.n, self.width = n, width
+        self.x = np.zeros((n, width), np.float32)
+
+    def put(self, row: int, cols: np.ndarray, vals: np.ndarray) -> None:
+        np.add.at(self.x[row], cols, vals)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return (self.x @ w.astype(np.float32)).astype(np.float64)

@@ -40,6 +40,7 @@ class JavaParser(BraceParser):
 
     def __init__(self, src):
         super().__init__(src)
+        self.in_label = False
         self.rules = {
             "{": lambda: self.block(self.statement), ";": self.empty, K["if"]: self.if_, K["for"]: self.for_, K["while"]: self.while_,
             K["do"]: self.do_, K["return"]: self.return_, K["throw"]: self.throw_, K["break"]: self.jump, K["continue"]: self.jump,
@@ -462,7 +463,11 @@ class JavaParser(BraceParser):
 
     def label(self):
         if not self.attempt(self.pattern):
-            self.binary(1)
+            self.in_label = True  # an arrow behind a constant belongs to the case
+            try:
+                self.binary(1)
+            finally:
+                self.in_label = False
 
     def pattern(self):
         s = self.s
@@ -470,7 +475,8 @@ class JavaParser(BraceParser):
         self.type_()
         if self.take("("):
             self.commas(self.pattern, ")", trailing=False)
-            self.take("i")
+            if s[self.p] == "i" and self.word() != "when":
+                self.p += 1
         else:
             if s[self.p] == "i" and self.word() == "when":
                 self.fail("no pattern")
@@ -608,7 +614,7 @@ class JavaParser(BraceParser):
         s = self.s
         c = s[self.p]
         if c in "insv":
-            if c == "i" and s[self.p + 1] == "P":
+            if c == "i" and s[self.p + 1] == "P" and not self.in_label:
                 self.p += 1
                 return self.lambda_body()
             if c == "i" and s[self.p + 1] in "<[.D" and REFERENCE.match(s, self.p):

@@ -125,7 +125,7 @@ _PYSTR = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?"
 PY_PATTERN = _pattern(
     r"[A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+(?![\"'])",
     r"[ ]++(?![ \t\f]*[\n#])",
-    r"[(){}\[\],]",
+    r"[(){}\[\],]|\.\.\.",
     _PYSTR + r'(?:"""[^"\\]*(?:(?:\\[\s\S]|"(?!""))[^"\\]*)*"""|"(?!"")[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|""(?!"))',
     _PYSTR + r"(?:'''[^'\\]*(?:(?:\\[\s\S]|'(?!''))[^'\\]*)*'''|'(?!'')[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|''(?!'))",
     r"[^\W\d]\w*",

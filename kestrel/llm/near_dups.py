@@ -18,7 +18,8 @@ their Jaccard similarity reaches the threshold (0.7 here: TESTDATA fixes it).
    in which two sets differ stands for a shingle that only one of them holds,
    which bounds the overlap from above.
 6. *Verification.*  The sets of the surviving classes are rebuilt from their
-   texts and intersected once per pair.
+   texts and intersected once per pair: on 32 bits of the hashes, and again on
+   all 64 where that overlap is within MARGIN of the one needed.
 
 Defined results: null, empty and short texts (under 40 tokens) have no
 partners; equal token sequences are similar; repeated rows (same id) count
@@ -117,7 +118,22 @@ def _count_batches(batches, bits, salts):
         blocks = table.reshape(-1, 1 << BLOCK_BITS)
         for n, row in enumerate(blocks):
             if row.any():
-                yield pa.RecordBatch.from_pydict({"block": [n], "salt": [salt], "counts": [zlib.compress(row.tobytes(), 1)]}, _BLOCK)
+                yield pa.RecordBatch.from_pydict({"block": [n], "salt": [salt], "counts": [_packed(row)]}, _BLOCK)
+
+
+def _packed(row: np.ndarray) -> bytes:
+    """Counters of a block that are not zero: gaps as two planes of bytes, then the counts, compressed."""
+    at = np.flatnonzero(row)
+    gaps = np.diff(at, prepend=0).astype(np.uint32)
+    planes = [(gaps >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16)]
+    return zlib.compress(b"".join([*planes, row[at].astype(np.uint8).tobytes()]), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts)"""
+    a = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    g = a[0].astype(np.int64) | a[1].astype(np.int64) << 8 | a[2].astype(np.int64) << 16
+    return np.cumsum(g), a[3].astype(np.int64)
 
 
 _BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
@@ -126,8 +142,9 @@ _BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.b
 def _add_blocks(pdf):
     total = np.zeros(1 << BLOCK_BITS, np.int64)
     for raw in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(raw), np.uint8)
-    return pdf.head(1).assign(counts=[zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)])
+        at, n = _unpacked(raw)
+        total[at] += n
+    return pdf.head(1).assign(counts=[_packed(np.minimum(total, 255))])
 
 
 def frequency_table(records: DataFrame) -> np.ndarray:
@@ -140,7 +157,8 @@ def frequency_table(records: DataFrame) -> np.ndarray:
         merged = merged.groupBy("block").applyInPandas(_add_blocks, schema)
     table = np.zeros(1 << bits, np.uint8)
     for r in merged.select("block", "counts").toLocalIterator():  # at most 2**(MAX_BITS - BLOCK_BITS) rows of a fixed size
-        table[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint8)
+        at, n = _unpacked(bytes(r.counts))
+        table[(r.block << BLOCK_BITS) + at] = n
     return table
 
 
@@ -162,8 +180,20 @@ def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.nd
     return s[order[places]], places.astype(np.int32)
 
 
+_TABLE: dict[int, np.ndarray] = {}
+
+
+def _table_of(raw: bytes) -> np.ndarray:
+    """The unpacked frequency table, once per Python worker."""
+    key = zlib.crc32(raw)
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return _TABLE[key]
+
+
 def _record_batches(batches, table, threshold):
-    counts = np.frombuffer(table.value, np.uint8)
+    counts = _table_of(table.value)
     for b in batches:
         ids = b.column("id").to_pylist()
         out = {k: [] for k in _RECORD.names}
@@ -181,34 +211,39 @@ def _record_batches(batches, table, threshold):
         yield pa.RecordBatch.from_pydict(out, _RECORD)
 
 
-_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64())), ("low", pa.list_(pa.int32()))])
+SET_SCHEMA = "id bigint, grams array<bigint>, low array<int>"
+#: Ids that may be sent to every task.
+BROADCAST_IDS = 8_000_000
+#: Overlaps counted on 32-bit hashes are trusted outside this distance from what is needed.
+MARGIN = 2
 
 
 def _set_batches(batches):
     for b in batches:
         ids = b.column("id").to_pylist()
         rows = [(ids[k], s.view(_SIGNED)) for k, _, s in _sets(b)]
-        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1] for r in rows]}, _SET)
+        low = [(r[1] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for r in rows]
+        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1] for r in rows], "low": low}, _SET)
 
 
-def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep), (classes: rep, n, grams, places, parity); ``records`` has id, text, parent."""
+def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: id, rep), (classes: rep, n, grams, places, parity); the table behind; ``records`` has id, text, parent."""
     spark = records.sparkSession
     text_batches(spark)
     records = spread(records.select("id", "text", "parent").where("id is not null and text is not null"))
-    table = spark.sparkContext.broadcast(frequency_table(records).tobytes())
+    table = spark.sparkContext.broadcast(zlib.compress(frequency_table(records).tobytes(), 1))  # sparse, so it packs well
     made = materialized(records.mapInArrow(partial(_record_batches, table=table, threshold=threshold), RECORD_SCHEMA), "prefixes")
-    firsts = made.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "grams", "places", "parity")))
-    reps = materialized(firsts, "classes")
-    members = made.select("id", "sig_a", "sig_b").distinct().join(reps.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("id", "rep")
-    members = materialized(members, "members")
-    release(made)
-    return members, reps
+    slim = made.select("id", "sig_a", "sig_b").distinct()
+    members = materialized(slim.join(slim.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep")), ["sig_a", "sig_b"]).select("id", "rep"), "members")
+    # copies are few as a rule, so that leaving them out needs no shuffle of the prefixes; repeated rows are met by distinct below
+    reps = made.join(members.where("id <> rep").select("id"), "id", "left_anti").withColumnRenamed("id", "rep")
+    return members, reps, made
 
 
 def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): pairs (rep_a < rep_b, similarity) of classes that reach the threshold, each verified once."""
-    members, reps = classes(records, threshold)
+    members, reps, made = classes(records, threshold)
     t = F.lit(threshold / (1 + threshold))
     post = reps.select("rep", "n", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(
         "rep", "n", F.col("g.grams").alias("gram"), F.col("g.places").alias("place")
@@ -229,26 +264,48 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[D
         met.join(bits.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("parity").alias("par_a")), "rep_a")
         .join(bits.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("parity").alias("par_b")), "rep_b")
         .where((F.col("n_a") + F.col("n_b") - apart) / 2 >= F.ceil(t * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)))
-        .select("rep_a", "rep_b")
+        .select("rep_a", "rep_b", "n_a", "n_b")
+        .distinct()
     )
     near = materialized(near, "candidates")
-    release(reps)
-    wanted = near.select(F.col("rep_a").alias("id")).union(near.select(F.col("rep_b").alias("id"))).distinct()
-    texts = records.select("id", "text", "parent").join(wanted, "id", "left_semi")
-    sets = materialized(texts.mapInArrow(_set_batches, "id bigint, grams array<bigint>"), "sets")
-    sized = (
-        near.join(sets.select(F.col("id").alias("rep_a"), F.col("grams").alias("x")), "rep_a")
-        .join(sets.select(F.col("id").alias("rep_b"), F.col("grams").alias("y")), "rep_b")
-        .select("rep_a", "rep_b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("both"))
-    )
-    pairs = sized.where(F.col("both") >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - F.col("both")) - F.lit(1e-9)).select(
-        "rep_a", "rep_b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("similarity")
-    )
+    release(made)
+    sets = materialized(_sets_of(records, near), "sets")
+    side = lambda c, out: sets.select(F.col("id").alias(f"rep_{out[-1]}"), F.col(c).alias(out))
+    total = F.col("n_a") + F.col("n_b")
+    need = F.ceil(t * total - F.lit(1e-9))
+    rough = near.join(side("low", "low_a"), "rep_a").join(side("low", "low_b"), "rep_b").select("rep_a", "rep_b", "n_a", "n_b", F.size(F.array_intersect("low_a", "low_b")).alias("both"))
+    rough = materialized(rough.where(F.col("both") >= need - MARGIN).distinct(), "rough")
+    close = rough.where(F.col("both") <= need + MARGIN).drop("both")
+    exact = close.join(side("grams", "grams_a"), "rep_a").join(side("grams", "grams_b"), "rep_b").select("rep_a", "rep_b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"))
+    sized = rough.where(F.col("both") > need + MARGIN).select("rep_a", "rep_b", "n_a", "n_b", "both").unionByName(exact)
+    pairs = sized.where(F.col("both") >= need).select("rep_a", "rep_b", F.round(F.col("both") / (total - F.col("both")), 6).alias("similarity"))
     pairs = materialized(pairs.distinct(), "pairs")
-    release(near, sets)
+    release(near, sets, rough)
     return members, pairs
 
 
+def _keep_batches(batches, ids):
+    wanted = ids.value
+    for b in batches:
+        keep = np.isin(b.column("id").to_numpy(zero_copy_only=False), wanted)
+        if keep.any():
+            yield from _set_batches([b.filter(pa.array(keep))])
+
+
+def _sets_of(records: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, grams, low): the shingle sets of all classes in candidate pairs, from their texts.
+
+    Up to BROADCAST_IDS ids (64 MB) are sent to the tasks, which then read the
+    texts in place; beyond it the texts are shuffled to the ids.
+    """
+    wanted = near.select(F.col("rep_a").alias("id")).union(near.select(F.col("rep_b").alias("id"))).distinct()
+    records = records.select("id", "text", "parent")
+    if wanted.count() <= BROADCAST_IDS:
+        ids = np.sort(np.array([r.id for r in wanted.toLocalIterator()], dtype=np.int64))
+        return records.where("text is not null").mapInArrow(partial(_keep_batches, ids=records.sparkSession.sparkContext.broadcast(ids)), SET_SCHEMA)
+    return records.join(wanted, "id", "left_semi").mapInArrow(_set_batches, SET_SCHEMA)
+
+
 def _records(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), "text", "parent")
 

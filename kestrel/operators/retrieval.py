@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.tokens import GENERIC_NAME_TOKENS, identifiers, tokens
+from kestrel.session import materialized
 
 #: Fixed values of the ranking functions.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -49,6 +50,12 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
 
 
+def lengths_of(corpus: DataFrame, post: DataFrame) -> DataFrame:
+    """(row_id, dl) from postings already made."""
+    dl = post.groupBy("row_id").agg(F.sum("tf").alias("dl"))
+    return corpus.select("row_id").join(dl, "row_id", "left").select("row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: rows (token-less ones too) and mean length."""
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -157,6 +164,7 @@ def symbol_defs(corpus: DataFrame) -> DataFrame:
 
 def expand(pool: DataFrame, corpus: DataFrame, expand_from: int = EXPAND_FROM, cap: int = EXPAND_CAP) -> DataFrame:
     """The pool with up to ``cap`` rows per query behind it that define what its first rows mention, in other files."""
+    pool = materialized(pool, "pool")  # a few rows a query, used four times below
     rows = corpus.select("row_id", "path", "name", "text", key_of(F.col("path"), F.col("start_line")).alias("key"))
     heads = pool.where(F.col("pos") < expand_from).select("qid", "pos", "row_id").join(rows.drop("key"), "row_id")
     ids = heads.select("qid", "pos", F.col("path").alias("from_path"), F.lower("name").alias("own"), F.explode(identifiers(F.col("text"))).alias("ident"))
@@ -229,7 +237,7 @@ def search(
 ) -> DataFrame:
     """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification."""
     post = postings(corpus) if post is None else post
-    lengths = corpus.select("row_id").join(post.groupBy("row_id").agg(F.sum("tf").alias("dl")), "row_id", "left").select("row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    lengths = lengths_of(corpus, post)
     dense = embedded_top(queries, post, candidates).select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
     lexical = bm25_top(queries, post, lengths, candidates).select("qid", "row_id", "rank", F.lit(1).alias("list_no"))
     rows = corpus.select("row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))

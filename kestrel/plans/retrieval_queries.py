@@ -106,7 +106,8 @@ def one_case(spark, d):
 
 def _index(spark, d):
     c = corpus(spark, d)
-    return c, R.postings(c), R.doc_lengths(c)
+    post = materialized(R.postings(c), "postings")
+    return c, post, R.lengths_of(c, post)
 
 
 @query("tokenize_counts", "WITH " + CORPUS + f" SELECT row_id, len({toks_sql('text')}) AS n_tokens, len(list_distinct({toks_sql('text')})) AS n_distinct FROM corpus")

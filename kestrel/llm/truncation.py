@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.linear import Sparse, balanced, bucket, logistic, platt
+from kestrel.functions.sampling import smallest_hashes
 from kestrel.session import materialized, spread, text_batches
 
 #: Documents the model is fitted on, at most; the first by a hash of their id.
@@ -283,9 +284,9 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # a source has a handful of limits; Spark broadcasts them if they are as small as it checks
     marked = marked.join(lim, ["source", "at"], "left").select("doc_id", "source", "text", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
     marked = spread(marked)
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = smallest_hashes(marked, "doc_id", sample)
     rows = _with_words(few.mapInArrow(partial(_ends, training=True), END_SCHEMA), words).collect()
-    model = spark.sparkContext.broadcast(Model(sorted(tuple(r) for r in rows)))
+    model = spark.sparkContext.broadcast(Model(sorted({tuple(r) for r in rows})))
     ends = _with_words(marked.mapInArrow(partial(_ends, training=False), END_SCHEMA), words)
     return ends.mapInArrow(partial(_judge, model=model), "doc_id bigint, source string, score double")
 

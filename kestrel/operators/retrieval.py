@@ -5,6 +5,10 @@
 are partitioned by qid, and every order ends in a unique column.  Scores are
 ordered and returned rounded to six places, so engines that add in another
 order agree.
+
+``scope`` names columns that the corpus and the queries share (``repo``, say):
+every query then sees the rows of its own scope only, with the frequencies,
+lengths, keys and symbols of that scope, as if each were an index of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +29,16 @@ LAMBDA = 0.7
 DIM = 64
 
 
+#: Columns that keep scopes apart; none: one corpus for all queries.
+Scope = tuple[str, ...]
+
+
+def _joined(a: DataFrame, b: DataFrame, scope: Scope, *on: str) -> DataFrame:
+    """A join on the scope and further columns; of all pairs where there are none."""
+    keys = [*scope, *on]
+    return a.join(b, keys) if keys else a.join(b)
+
+
 # -- corpus -------------------------------------------------------------
 def corpus_of(chunks: DataFrame) -> DataFrame:
     """Index rows of a chunk table, each once; the repository is the first part of the path."""
@@ -37,52 +51,57 @@ def key_of(path: Column, start_line: Column) -> Column:
     return F.concat(path, F.lit(":"), start_line.cast("string"))
 
 
-def postings(corpus: DataFrame) -> DataFrame:
+def postings(corpus: DataFrame, scope: Scope = ()) -> DataFrame:
     """(row_id, tok, tf): partial counts are made before the shuffle."""
-    return corpus.select("row_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("row_id", "tok").agg(F.count("*").alias("tf"))
+    return corpus.select(*scope, "row_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy(*scope, "row_id", "tok").agg(F.count("*").alias("tf"))
 
 
-def doc_freq(post: DataFrame) -> DataFrame:
-    return post.groupBy("tok").agg(F.count("*").alias("df"))
+def doc_freq(post: DataFrame, scope: Scope = ()) -> DataFrame:
+    return post.groupBy(*scope, "tok").agg(F.count("*").alias("df"))
 
 
 def doc_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
 
 
-def lengths_of(corpus: DataFrame, post: DataFrame) -> DataFrame:
+def lengths_of(corpus: DataFrame, post: DataFrame, scope: Scope = ()) -> DataFrame:
     """(row_id, dl) from postings already made."""
     dl = post.groupBy("row_id").agg(F.sum("tf").alias("dl"))
-    return corpus.select("row_id").join(dl, "row_id", "left").select("row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    return corpus.select(*scope, "row_id").join(dl, "row_id", "left").select(*scope, "row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: rows (token-less ones too) and mean length."""
-    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_stats(lengths: DataFrame, scope: Scope = ()) -> DataFrame:
+    """One row (a scope): rows (token-less ones too) and mean length."""
+    return lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
+def query_tokens(queries: DataFrame, scope: Scope = ()) -> DataFrame:
     """(qid, tok, qtf): repeated tokens count repeatedly."""
-    return queries.select("qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
+    return queries.select(*scope, "qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy(*scope, "qid", "tok").agg(F.count("*").alias("qtf"))
 
 
 # -- recall -------------------------------------------------------------
-def inverse_frequencies(df: DataFrame, stats: DataFrame) -> DataFrame:
+def inverse_frequencies(df: DataFrame, stats: DataFrame, scope: Scope = ()) -> DataFrame:
     """(tok, idf); negative ones become EPSILON times the mean over all terms."""
-    raw = df.join(F.broadcast(stats.select("n"))).select("tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    raw = _joined(df, F.broadcast(stats.select(*scope, "n")), scope).select(*scope, "tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.groupBy(*scope).agg(F.avg("idf").alias("mean"))
+    return _joined(raw, F.broadcast(mean), scope).select(*scope, "tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+
 
+def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame, scope: Scope = ()) -> DataFrame:
+    """(qid, row_id, score) of the rows that hold a query token; only their postings are weighed.
 
-def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(qid, row_id, score) of the rows that hold a query token; only their postings are weighed."""
-    stats = corpus_stats(lengths)
-    wanted = query_tokens(queries)
-    idf = inverse_frequencies(doc_freq(post), stats)
-    terms = wanted.join(idf, "tok")
+    Postings meet their row's length before they meet the queries, so what is
+    shuffled is one row per posting, not one per posting and query.
+    """
+    stats = corpus_stats(lengths, scope)
+    wanted = query_tokens(queries, scope)
+    idf = inverse_frequencies(doc_freq(post, scope), stats, scope)
+    terms = idf.join(F.broadcast(wanted), [*scope, "tok"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
+    held = post.join(F.broadcast(wanted.select(*scope, "tok").distinct()), [*scope, "tok"], "left_semi").join(lengths.select("row_id", "dl"), "row_id")
     return (
-        post.join(terms, "tok").join(lengths, "row_id").join(F.broadcast(stats.select("avgdl")))
+        _joined(held.join(F.broadcast(terms), [*scope, "tok"]), F.broadcast(stats.select(*scope, "avgdl")), scope)
         .groupBy("qid", "row_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
     )
@@ -91,14 +110,18 @@ def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame) -> Data
 def top(scores: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
     """The first k rows per query with their 0-based rank (a limit inside the window, not a sort of everything)."""
     w = Window.partitionBy("qid").orderBy(*order)
-    return scores.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
+    # compared with the row number itself, else Spark shuffles and sorts all rows before it cuts them
+    return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
-def bm25_top(queries: DataFrame, post: DataFrame, lengths: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def bm25_top(queries: DataFrame, post: DataFrame, lengths: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
     """(qid, row_id, score, rank): min(k, rows) entries, filled up with rows that score nothing, in row order."""
-    hits = top(bm25_scores(queries, post, lengths).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
+    hits = top(bm25_scores(queries, post, lengths, scope).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
     first = lengths.select("row_id").orderBy("row_id").limit(2 * k)
-    fill = queries.select("qid").join(F.broadcast(first)).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
+    if scope:
+        w = Window.partitionBy(*scope).orderBy("row_id")
+        first = lengths.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
+    fill = _joined(queries.select(*scope, "qid"), F.broadcast(first), scope).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
     return top(hits.unionByName(fill), k, [F.desc("score"), F.col("row_id")])
 
 
@@ -119,65 +142,65 @@ def _hex(k: int) -> Column:
     return F.expr(f"instr('0123456789abcdef', substring(md5(tok), {k}, 1)) - 1")
 
 
-def hashed_embedding(toks: DataFrame, owner: str, count: str) -> DataFrame:
+def hashed_embedding(toks: DataFrame, owner: str, count: str, scope: Scope = ()) -> DataFrame:
     """(owner, b, v, norm): token counts hashed into DIM buckets with signs, from md5; the vectors are kept sparse."""
     b = (_hex(1) * 4 + F.floor(_hex(2) / 4)).cast("int")
     sign = F.when(_hex(3) < 8, 1).otherwise(-1)
-    v = toks.select(owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(owner, "b").agg(F.sum("s").alias("v")).where("v <> 0")
-    norm = v.groupBy(owner).agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return v.join(norm, owner)
+    v = toks.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").alias("v")).where("v <> 0")
+    whole = v.groupBy(*scope, owner).agg(F.collect_list(F.struct("b", "v")).alias("each"), F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
+    return whole.select(*scope, owner, F.explode("each").alias("e"), "norm").select(*scope, owner, "e.b", "e.v", "norm")
 
 
-def embedded_top(queries: DataFrame, post: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(qid, row_id, score, rank) by the hashed embedding of both sides."""
-    q = hashed_embedding(query_tokens(queries), "qid", "qtf").select("qid", "b", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    d = hashed_embedding(post, "row_id", "tf")
-    s = d.join(q, "b").groupBy("qid", "row_id").agg((F.sum(F.col("v") * F.col("qv")) / (F.max("norm") * F.max("qn"))).alias("s"))
+def embedded_top(queries: DataFrame, post: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
+    """(qid, row_id, score, rank) by the hashed embedding of both sides; the queries are the small side."""
+    q = hashed_embedding(query_tokens(queries, scope), "qid", "qtf", scope).select(*scope, "qid", "b", F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    d = hashed_embedding(post, "row_id", "tf", scope)
+    s = d.join(F.broadcast(q), [*scope, "b"]).groupBy("qid", "row_id").agg((F.sum(F.col("v") * F.col("qv")) / (F.max("norm") * F.max("qn"))).alias("s"))
     return top(s.select("qid", "row_id", F.round("s", 6).alias("score")), k, [F.desc("score"), F.col("row_id")])
 
 
 # -- fusion -------------------------------------------------------------
-def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
+def fuse(ranked: DataFrame, k: int = RRF_K, scope: Scope = ()) -> DataFrame:
     """(qid, key, rrf, pos) from (qid, list_no, rank, key): reciprocal ranks added, ties by first appearance."""
-    s = ranked.groupBy("qid", "key").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"))
+    s = ranked.groupBy(*scope, "qid", "key").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"))
     w = Window.partitionBy("qid").orderBy(F.desc("rrf"), F.col("first"))
-    return s.select("qid", "key", "rrf", (F.row_number().over(w) - 1).alias("pos"))
+    return s.select(*scope, "qid", "key", "rrf", (F.row_number().over(w) - 1).alias("pos"))
 
 
-def keyed(corpus: DataFrame) -> DataFrame:
+def keyed(corpus: DataFrame, scope: Scope = ()) -> DataFrame:
     """(key, row_id): where two rows share a key the last one counts."""
-    return corpus.select(key_of(F.col("path"), F.col("start_line")).alias("key"), "row_id").groupBy("key").agg(F.max("row_id").alias("row_id"))
+    return corpus.select(*scope, key_of(F.col("path"), F.col("start_line")).alias("key"), "row_id").groupBy(*scope, "key").agg(F.max("row_id").alias("row_id"))
 
 
-def pool_of(fused: DataFrame, corpus: DataFrame, size: int = POOL) -> DataFrame:
+def pool_of(fused: DataFrame, corpus: DataFrame, size: int = POOL, scope: Scope = ()) -> DataFrame:
     """(qid, pos, key, row_id): the first ``size`` fused keys that exist."""
-    found = fused.join(keyed(corpus), "key")
+    found = fused.join(keyed(corpus, scope), [*scope, "key"])
     w = Window.partitionBy("qid").orderBy("pos")
-    return found.select("qid", "key", "row_id", (F.row_number().over(w) - 1).alias("pos")).where(F.col("pos") < size)
+    return found.select(*scope, "qid", "key", "row_id", (F.row_number().over(w) - 1).alias("pos")).where(F.col("pos") < size)
 
 
-def symbol_defs(corpus: DataFrame) -> DataFrame:
+def symbol_defs(corpus: DataFrame, scope: Scope = ()) -> DataFrame:
     """(symbol, row_id): names of four characters and more that are not generic."""
     s = F.lower("name")
-    return corpus.where(F.col("name").isNotNull() & (F.length("name") >= 4) & ~s.isin(*GENERIC_NAME_TOKENS)).select(s.alias("symbol"), "row_id")
+    return corpus.where(F.col("name").isNotNull() & (F.length("name") >= 4) & ~s.isin(*GENERIC_NAME_TOKENS)).select(*scope, s.alias("symbol"), "row_id")
 
 
-def expand(pool: DataFrame, corpus: DataFrame, expand_from: int = EXPAND_FROM, cap: int = EXPAND_CAP) -> DataFrame:
+def expand(pool: DataFrame, corpus: DataFrame, expand_from: int = EXPAND_FROM, cap: int = EXPAND_CAP, scope: Scope = ()) -> DataFrame:
     """The pool with up to ``cap`` rows per query behind it that define what its first rows mention, in other files."""
     pool = materialized(pool, "pool")  # a few rows a query, used four times below
     rows = corpus.select("row_id", "path", "name", "text", key_of(F.col("path"), F.col("start_line")).alias("key"))
-    heads = pool.where(F.col("pos") < expand_from).select("qid", "pos", "row_id").join(rows.drop("key"), "row_id")
-    ids = heads.select("qid", "pos", F.col("path").alias("from_path"), F.lower("name").alias("own"), F.explode(identifiers(F.col("text"))).alias("ident"))
+    heads = pool.where(F.col("pos") < expand_from).select(*scope, "qid", "pos", "row_id").join(rows.drop("key"), "row_id")
+    ids = heads.select(*scope, "qid", "pos", F.col("path").alias("from_path"), F.lower("name").alias("own"), F.explode(identifiers(F.col("text"))).alias("ident"))
     low = F.lower("ident")
     ids = ids.where((F.length("ident") >= 4) & ~low.isin(*GENERIC_NAME_TOKENS) & ~low.eqNullSafe(F.col("own"))).withColumn("symbol", low)
-    hits = ids.join(symbol_defs(corpus), "symbol").join(rows.select("row_id", "path", "key"), "row_id").where("path <> from_path")
+    hits = ids.join(symbol_defs(corpus, scope), [*scope, "symbol"]).join(rows.select("row_id", "path", "key"), "row_id").where("path <> from_path")
     hits = hits.join(pool.select("qid", "key"), ["qid", "key"], "left_anti")
     w = Window.partitionBy("qid", "key").orderBy("pos", "ident", "row_id")
     once = hits.withColumn("n", F.row_number().over(w)).where("n = 1")
     v = Window.partitionBy("qid").orderBy("pos", "ident", "row_id")
     extra = once.withColumn("k", F.row_number().over(v)).where(F.col("k") <= cap)
     size = pool.groupBy("qid").agg(F.count("*").alias("size"))
-    return pool.unionByName(extra.select("qid", "key", "row_id", "k").join(size, "qid").select("qid", "key", "row_id", (F.col("size") + F.col("k") - 1).cast("int").alias("pos")))
+    return pool.unionByName(extra.select(*scope, "qid", "key", "row_id", "k").join(size, "qid").select(*scope, "qid", "key", "row_id", (F.col("size") + F.col("k") - 1).cast("int").alias("pos")))
 
 
 # -- scoring ------------------------------------------------------------
@@ -233,18 +256,18 @@ def diversify(pool: DataFrame, k: int = RESULTS, lam: float = LAMBDA) -> DataFra
 
 def search(
     queries: DataFrame, corpus: DataFrame, post: DataFrame | None = None, k: int = RESULTS, candidates: int = CANDIDATES, pool: int = POOL,
-    graph: bool = True, rerank: bool = True, lam: float = LAMBDA,
+    graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (),
 ) -> DataFrame:
     """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification."""
-    post = postings(corpus) if post is None else post
-    lengths = lengths_of(corpus, post)
-    dense = embedded_top(queries, post, candidates).select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
-    lexical = bm25_top(queries, post, lengths, candidates).select("qid", "row_id", "rank", F.lit(1).alias("list_no"))
-    rows = corpus.select("row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
-    chosen = pool_of(fuse(dense.union(lexical).join(rows, "row_id").select("qid", "list_no", "rank", "key")), corpus, pool)
+    post = postings(corpus, scope) if post is None else post
+    lengths = lengths_of(corpus, post, scope)
+    dense = embedded_top(queries, post, candidates, scope).select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
+    lexical = bm25_top(queries, post, lengths, candidates, scope).select("qid", "row_id", "rank", F.lit(1).alias("list_no"))
+    rows = corpus.select(*scope, "row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
+    chosen = pool_of(fuse(dense.union(lexical).join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)
     if graph:
-        chosen = expand(chosen, corpus)
-    full = chosen.join(corpus, "row_id").join(queries.select("qid", tokens(F.col("query")).alias("qtoks")), "qid")
+        chosen = expand(chosen, corpus, scope=scope)
+    full = chosen.drop(*scope).join(corpus, "row_id").join(queries.select("qid", tokens(F.col("query")).alias("qtoks")), "qid")
     base = coverage(F.col("qtoks"), F.col("text")) * code_prior(F.col("path"), F.col("kind")) if rerank else 1.0 / (F.col("pos") + 1)
     scored = full.withColumn("relevance", boosted(base, name_matches(F.col("qtoks"), F.col("name"))))
     return diversify(scored, k, lam).select("qid", "rank", "row_id", "key", "path", "kind", "name", "start_line", "end_line", F.round("relevance", 6).alias("relevance"), "mmr")

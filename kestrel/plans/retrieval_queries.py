@@ -156,21 +156,21 @@ def dense_topk(spark, d):
 
 
 @query("embedded_topk", "WITH " + POST + ONE + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
-def embedded_topk(spark, d):
-    return R.embedded_top(one_case(spark, d), R.postings(corpus(spark, d)))
+def embedded_topk(spark, d, of=one_case):
+    return R.embedded_top(of(spark, d), R.postings(corpus(spark, d)))
 
 
-def _ranked(spark, d):
+def _ranked(spark, d, of=one_case):
     c, post, lengths = _index(spark, d)
-    q = one_case(spark, d)
+    q = of(spark, d)
     rows = c.select("row_id", R.key_of(F.col("path"), F.col("start_line")).alias("key"))
     both = R.embedded_top(q, post).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, post, lengths).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
     return c, both.join(rows, "row_id").select("qid", "list_no", "rank", "key")
 
 
 @query("rrf_fuse", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
-def rrf_fuse(spark, d):
-    return R.fuse(_ranked(spark, d)[1])
+def rrf_fuse(spark, d, of=one_case):
+    return R.fuse(_ranked(spark, d, of)[1])
 
 
 
@@ -195,8 +195,8 @@ def key_dedupe(spark, d):
 
 
 @query("pool_cut", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + " SELECT qid, key, row_id, pos::INT AS pos FROM pool")
-def pool_cut(spark, d):
-    c, ranked = _ranked(spark, d)
+def pool_cut(spark, d, of=one_case):
+    c, ranked = _ranked(spark, d, of)
     return R.pool_of(R.fuse(ranked), c)
 
 
@@ -206,8 +206,8 @@ def symbol_defs(spark, d):
 
 
 @query("graph_expand", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + EXPAND + " SELECT qid, key, row_id, pos::INT AS pos FROM wide")
-def graph_expand(spark, d):
-    c, ranked = _ranked(spark, d)
+def graph_expand(spark, d, of=one_case):
+    c, ranked = _ranked(spark, d, of)
     return R.expand(R.pool_of(R.fuse(ranked), c), c)
 
 
@@ -246,9 +246,9 @@ def sigmoid_rerank(spark, d):
 
 
 @query("rank_proxy", "WITH " + LENGTHS + ONE + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
-def rank_proxy(spark, d):
+def rank_proxy(spark, d, of=one_case):
     _, post, lengths = _index(spark, d)
-    return R.bm25_top(one_case(spark, d), post, lengths).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
+    return R.bm25_top(of(spark, d), post, lengths).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
 
 
 def _mmr_sql(lam: float) -> str:
@@ -275,29 +275,107 @@ def mmr_pure(spark, d):
 
 
 @query("hybrid_search", HYBRID + _OUT)
-def hybrid_search(spark, d):
+def hybrid_search(spark, d, of=one_case):
     c = corpus(spark, d)
-    return R.search(one_case(spark, d), c, materialized(R.postings(c), "postings"))
+    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"))
 
 
 @query("hybrid_no_graph", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
-def hybrid_no_graph(spark, d):
+def hybrid_no_graph(spark, d, of=one_case):
     c = corpus(spark, d)
-    return R.search(one_case(spark, d), c, materialized(R.postings(c), "postings"), graph=False)
+    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"), graph=False)
 
 
 @query("hybrid_no_rerank", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
-def hybrid_no_rerank(spark, d):
+def hybrid_no_rerank(spark, d, of=one_case):
     c = corpus(spark, d)
-    return R.search(one_case(spark, d), c, materialized(R.postings(c), "postings"), rerank=False)
+    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"), rerank=False)
 
 
 _FORMAT = """ SELECT qid, rank::INT AS rank, path || ':' || start_line || '-' || end_line || CASE WHEN name IS NOT NULL AND name <> '' THEN ' ' || kind || ' ' || name ELSE '' END AS location FROM best"""
 
 
 @query("format_hits", HYBRID + _FORMAT)
-def format_hits(spark, d):
-    return R.format_hits(hybrid_search(spark, d)).select("qid", "rank", "location")
+def format_hits(spark, d, of=one_case):
+    return R.format_hits(hybrid_search(spark, d, of)).select("qid", "rank", "location")
+
+
+# -- the same over all evaluation cases ----------------------------------
+# The queries above keep to one case, as their SQL does.
+def all_cases(spark, d):
+    return cases(spark, d).select("qid", "query")
+
+
+_HYBRID_ALL = "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", RERANKED, 0.7)
+#: Tokens are taken before the pairs are formed.
+_PAIRS = CASES + f""",
+ct AS (SELECT *, {toks_sql('name')} AS ntoks, {toks_sql('text')} AS ttoks FROM corpus),
+full_ AS (SELECT q.qid, q.qtoks, c.* FROM ct c, (SELECT qid, {toks_sql('query')} AS qtoks FROM queries) q)"""
+
+
+def _pairs(spark, d):
+    q = all_cases(spark, d).select("qid", tokens(F.col("query")).alias("qtoks"))
+    return corpus(spark, d).join(F.broadcast(q))
+
+
+@query("embedded_topk_all", "WITH " + POST + CASES + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
+def embedded_topk_all(spark, d):
+    return embedded_topk(spark, d, all_cases)
+
+
+@query("rrf_fuse_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
+def rrf_fuse_all(spark, d):
+    return rrf_fuse(spark, d, all_cases)
+
+
+@query("pool_cut_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + " SELECT qid, key, row_id, pos::INT AS pos FROM pool")
+def pool_cut_all(spark, d):
+    return pool_cut(spark, d, all_cases)
+
+
+@query("graph_expand_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + " SELECT qid, key, row_id, pos::INT AS pos FROM wide")
+def graph_expand_all(spark, d):
+    return graph_expand(spark, d, all_cases)
+
+
+@query("name_match_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, {MATCHES}::INT AS matches FROM full_")
+def name_match_all(spark, d):
+    return _pairs(spark, d).select("qid", "row_id", R.name_matches(F.col("qtoks"), F.col("name")).alias("matches"))
+
+
+@query("name_boost_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({PRIOR} * (1 + 0.25::DOUBLE * {MATCHES}), 6) AS boosted FROM full_")
+def name_boost_all(spark, d):
+    return _pairs(spark, d).select("qid", "row_id", F.round(R.boosted(R.code_prior(F.col("path"), F.col("kind")), R.name_matches(F.col("qtoks"), F.col("name"))), 6).alias("boosted"))
+
+
+@query("lexical_rerank_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({COVER} * {PRIOR}, 6) AS relevance FROM full_")
+def lexical_rerank_all(spark, d):
+    return _pairs(spark, d).select("qid", "row_id", F.round(R.coverage(F.col("qtoks"), F.col("text")) * R.code_prior(F.col("path"), F.col("kind")), 6).alias("relevance"))
+
+
+@query("rank_proxy_all", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
+def rank_proxy_all(spark, d):
+    return rank_proxy(spark, d, all_cases)
+
+
+@query("hybrid_search_all", _HYBRID_ALL + _OUT)
+def hybrid_search_all(spark, d):
+    return hybrid_search(spark, d, all_cases)
+
+
+@query("hybrid_no_graph_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
+def hybrid_no_graph_all(spark, d):
+    return hybrid_no_graph(spark, d, all_cases)
+
+
+@query("hybrid_no_rerank_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
+def hybrid_no_rerank_all(spark, d):
+    return hybrid_no_rerank(spark, d, all_cases)
+
+
+@query("format_hits_all", _HYBRID_ALL + _FORMAT)
+def format_hits_all(spark, d):
+    return format_hits(spark, d, all_cases)
 
 
 # -- evaluation: lexical retrieval of all cases --------------------------

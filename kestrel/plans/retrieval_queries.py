@@ -412,3 +412,36 @@ def eval_missing(spark, d):
 @query("eval_by_group", "WITH " + _EVAL + " SELECT repo, count(*) AS n_cases, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM per GROUP BY ROLLUP (repo)")
 def eval_by_group(spark, d):
     return R.evaluate(_per_case(spark, d))
+
+# -- evaluation: the whole search of all cases, each in its own repository --
+def own_corpus(spark, d):
+    """Chunks as the index of each repository holds them: paths begin below the repository."""
+    c = table(spark, d, "chunks", "chunk_id", "repo", "path", "kind", "name", "start_line", "end_line", "text")
+    return c.withColumnRenamed("chunk_id", "row_id").dropDuplicates(["row_id"])
+
+
+def _searched(spark, d):
+    c, k = own_corpus(spark, d), cases(spark, d)
+    post = materialized(R.postings(c, ("repo",)), "postings")
+    hits = R.search(k.select("repo", "qid", "query"), c, post, scope=("repo",))
+    return R.recall(hits.select("qid", "path"), k)
+
+
+@query("search_recall_at_k")
+def search_recall_at_k(spark, d):
+    return _searched(spark, d).select("qid", "n_expected", "n_found", "recall")
+
+
+@query("search_hit_at_k")
+def search_hit_at_k(spark, d):
+    return _searched(spark, d).select("qid", "hit")
+
+
+@query("search_missing")
+def search_missing(spark, d):
+    return _searched(spark, d).select("qid", "missing")
+
+
+@query("search_by_group")
+def search_by_group(spark, d):
+    return R.evaluate(_searched(spark, d))

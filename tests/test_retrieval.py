@@ -135,3 +135,37 @@ def test_recall(spark):
     got = {r.qid: (r.recall, r.hit, r.missing) for r in R.recall(hits, cases).collect()}
     assert got == {1: (0.5, 1, "zz"), 2: (0.0, 0, "b.py")}
     assert {r.repo: r.recall for r in R.evaluate(R.recall(hits, cases)).collect()} == {"r": 0.5, "s": 0.0, None: 0.25}
+
+
+def test_scoped_search_is_the_search_of_each_index(spark):
+    rng = random.Random(3)
+    words = "alpha beta gamma delta render_bytes make_pdf loadTree walk file_hash".split()
+    names = ["render_bytes", "make_pdf", "load_tree", None, "walk_all"]
+    schema = CORPUS + ", repo string"
+    rows = [
+        (i, f"{rng.choice(['src', 'tests', 'x'])}/{rng.choice('abcd')}.py", rng.choice(["window", "function_definition"]), rng.choice(names), rng.randint(1, 9), 20, " ".join(rng.choices(words, k=rng.randint(0, 12))), rng.choice("rs"))
+        for i in range(160)
+    ]
+    corpus = spark.createDataFrame(rows, schema)
+    q = spark.createDataFrame([(0, "r", "make the pdf bytes"), (1, "s", "make the pdf bytes"), (2, "s", "walk file hash zzz"), (3, "r", ""), (4, "none", "alpha")], "qid int, repo string, query string")
+    whole = sorted(map(tuple, R.search(q, corpus, scope=("repo",)).collect()))
+    alone = []
+    for repo in ("r", "s"):
+        alone += map(tuple, R.search(q.where(F.col("repo") == repo).select("qid", "query"), corpus.where(F.col("repo") == repo).drop("repo")).collect())
+    assert whole == sorted(alone) and {r[0] for r in whole} == {0, 1, 2, 3}
+
+
+def test_recall_is_measured_on_the_search_in_the_own_repository(spark, tmp_path):
+    from kestrel.plans import retrieval_queries  # noqa: F401  (it registers its queries)
+    from kestrel.plans.queries import QUERIES
+
+    rows = [(i, "other", f"o{i}.py", "function_definition", "quorum", 1, 2, "quorum leases") for i in range(40)]
+    rows += [(100, "mine", "a/store.py", "function_definition", "keep", 1, 2, "def keep(): return quorum + leases + more + and_more")]
+    rows += [(101 + i, "mine", f"m{i}.py", "function_definition", f"fn{i}", 1, 2, "nothing here") for i in range(20)]
+    spark.createDataFrame(rows, "chunk_id bigint, repo string, path string, kind string, name string, start_line int, end_line int, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "mine", "quorum leases", ["a/store.py"])], "case_id bigint, repo string, query string, expect array<string>").write.parquet(f"{tmp_path}/eval_cases.parquet")
+    assert QUERIES["recall_at_k"](spark, str(tmp_path)).first().recall == 0.0  # BM25 over all repositories
+    assert QUERIES["search_recall_at_k"](spark, str(tmp_path)).first().recall == 1.0
+    assert QUERIES["search_hit_at_k"](spark, str(tmp_path)).first().hit == 1
+    assert QUERIES["search_missing"](spark, str(tmp_path)).first().missing == ""
+    assert {r.repo: r.recall for r in QUERIES["search_by_group"](spark, str(tmp_path)).collect()} == {"mine": 1.0, None: 1.0}

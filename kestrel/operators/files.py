@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +66,38 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content), normal_newlines(F.decode(content, "UTF-8")))
 
 
+def walk_files(root: str) -> list[str]:
+    """Paths below a root of what a walk finds; skipped directories are pruned, other hidden and private ones are not."""
+    out = []
+    for at, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in SKIP_DIRS and not d.endswith(".egg-info")]
+        rel = os.path.relpath(at, root)
+        out += [n if rel == "." else f"{rel.replace(os.sep, '/')}/{n}" for n in names if os.path.isfile(os.path.join(at, n))]
+    return sorted(out)
+
+
+def read_files(spark: SparkSession, root: str, listed: list[str]) -> DataFrame:
+    """(path, text) of the indexable ones of the listed files; the tasks read the contents, names and sizes are filtered before."""
+    names = spark.createDataFrame([(p,) for p in listed], "path string").where(file_wanted(F.col("path"))).where(~F.col("path").contains("�"))
+
+    def read(frames):
+        for pdf in frames:
+            texts = []
+            for p in pdf["path"]:
+                full = os.path.join(root, p)
+                try:
+                    ok = os.path.getsize(full) <= MAX_FILE_BYTES
+                    texts.append(open(full, encoding="utf-8").read() if ok else None)
+                except (OSError, UnicodeDecodeError):
+                    texts.append(None)
+            yield pdf.assign(text=texts)
+
+    return names.mapInPandas(read, "path string, text string").where("text is not null")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of the indexable files under a root, by walking it; names and sizes are filtered before contents are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    f = raw.where(F.col("length") <= MAX_FILE_BYTES).select(rel.alias("path"), "content").where(dirs_wanted(F.col("path")) & file_wanted(F.col("path")))
-    return f.select("path", decoded(F.col("content")).alias("text")).where("text is not null")
+    """(path, text) of the indexable files under a root, by walking it."""
+    return read_files(spark, root, walk_files(root))
 
 
 def split_lines(text: Column) -> Column:

@@ -37,22 +37,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     listed = git_files(root)
     if listed is None:
         return FL.read_tree(spark, root)
-    rows = [(p,) for p in listed if os.path.isfile(os.path.join(root, p))]
-    names = spark.createDataFrame(rows, "path string").where(FL.file_wanted(F.col("path"))).where(~F.col("path").contains("�"))
-
-    def read(frames):
-        for pdf in frames:
-            texts = []
-            for p in pdf["path"]:
-                full = os.path.join(root, p)
-                try:
-                    ok = os.path.getsize(full) <= FL.MAX_FILE_BYTES
-                    texts.append(open(full, encoding="utf-8").read() if ok else None)
-                except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield pdf.assign(text=texts)
-
-    return names.mapInPandas(read, "path string, text string").where("text is not null")
+    return FL.read_files(spark, root, [p for p in listed if os.path.isfile(os.path.join(root, p))])
 
 
 def _chunks(files: DataFrame) -> DataFrame:

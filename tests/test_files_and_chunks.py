@@ -151,3 +151,20 @@ def test_events(spark, tmp_path):
         assert len(runs) == 1
     finally:
         q.stop()
+
+
+def test_walk_keeps_private_and_hidden_files(spark, tmp_path):
+    from kestrel.operators import files as FL
+    from kestrel.plans.index import index_repo
+
+    kept = ["pkg/__init__.py", "pkg/_util.py", "pkg/a.py", "_internal/b.py", ".github/c.py", "__tests__/d.js", "top.py", ".hidden.py"]
+    for p in [*kept, "node_modules/x.js", "pkg/__pycache__/y.py", "z.egg-info/z.py", ".env", "a.lock"]:
+        (tmp_path / "repo" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "repo" / p).write_text("x = 1\r\n")
+    (tmp_path / "repo/big.py").write_text("x" * 1_000_001)
+    (tmp_path / "repo/latin.py").write_bytes(b"\xe9")
+    got = {r.path: r.text for r in FL.read_tree(spark, str(tmp_path / "repo")).collect()}
+    assert got == {p: "x = 1\n" for p in kept}
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only/__init__.py").write_text("def f():\n    return 1\n")
+    assert index_repo(spark, str(tmp_path / "only"), "only", store=str(tmp_path / "store")) > 0

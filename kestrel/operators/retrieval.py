@@ -129,7 +129,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays, in double precision."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return dot / (size(a) * size(b))
+    return F.try_divide(dot, size(a) * size(b))  # null where a side is all zeros
 
 
 def dense_top(vectors: DataFrame, query: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -236,6 +236,21 @@ def coverage(qtoks: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
 
 
+def reranked(pool: DataFrame, queries: DataFrame, reranker) -> DataFrame:
+    """(qid, row_id, score) of a pool (qid, row_id, pos, text) by a reranker, one call a query over its pool in order; rows it leaves out score 0."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("pos")
+        score = [0.0] * len(pdf)
+        for i, x in reranker.rerank(pdf["query"].iloc[0], pdf["text"].tolist()):
+            score[i] = float(x)
+        return pdf[["qid", "row_id"]].assign(score=score)
+
+    asked = pool.select("qid", "row_id", "pos", F.coalesce("text", F.lit("")).alias("text")).join(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")), "qid")
+    kinds = dict(asked.dtypes)
+    return asked.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, row_id {kinds['row_id']}, score double")
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -256,19 +271,27 @@ def diversify(pool: DataFrame, k: int = RESULTS, lam: float = LAMBDA) -> DataFra
 
 def search(
     queries: DataFrame, corpus: DataFrame, post: DataFrame | None = None, k: int = RESULTS, candidates: int = CANDIDATES, pool: int = POOL,
-    graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (),
+    graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (), dense: DataFrame | None = None, reranker=None,
 ) -> DataFrame:
-    """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification."""
+    """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification.
+
+    ``dense`` (qid, row_id, rank) replaces the hashed embedding, ``reranker`` the token coverage.
+    """
     post = postings(corpus, scope) if post is None else post
     lengths = lengths_of(corpus, post, scope)
-    dense = embedded_top(queries, post, candidates, scope).select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
+    dense = embedded_top(queries, post, candidates, scope) if dense is None else dense
+    dense = dense.select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
     lexical = bm25_top(queries, post, lengths, candidates, scope).select("qid", "row_id", "rank", F.lit(1).alias("list_no"))
     rows = corpus.select(*scope, "row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
     chosen = pool_of(fuse(dense.union(lexical).join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)
     if graph:
         chosen = expand(chosen, corpus, scope=scope)
     full = chosen.drop(*scope).join(corpus, "row_id").join(queries.select("qid", tokens(F.col("query")).alias("qtoks")), "qid")
-    base = coverage(F.col("qtoks"), F.col("text")) * code_prior(F.col("path"), F.col("kind")) if rerank else 1.0 / (F.col("pos") + 1)
+    by = coverage(F.col("qtoks"), F.col("text"))
+    if rerank and reranker is not None:
+        full = materialized(full, "full")  # a few rows a query; the reranker sees and joins the same ones
+        full, by = full.join(reranked(full, queries, reranker), ["qid", "row_id"]), F.col("score")
+    base = by * code_prior(F.col("path"), F.col("kind")) if rerank else 1.0 / (F.col("pos") + 1)
     scored = full.withColumn("relevance", boosted(base, name_matches(F.col("qtoks"), F.col("name"))))
     return diversify(scored, k, lam).select("qid", "rank", "row_id", "key", "path", "kind", "name", "start_line", "end_line", F.round("relevance", 6).alias("relevance"), "mmr")
 

@@ -5,8 +5,9 @@
 2. *Buckets.*  Dynamic programming over the histogram chooses the length
    boundaries that minimise padding to the boundary.
 3. *Batches.*  From the longest bucket to the shortest, token-budget batches
-   are planned on counts alone: first fit, longest first; a bucket first tops
-   up the room that longer buckets left (``top_up``), else it would stay empty.
+   are planned on counts alone.  With ``top_up`` (the default) sizes are put
+   by decreasing fit into the batch with most room, whatever the buckets, which
+   leave more room when batches keep to them; without it batches keep to them.
 4. *Assignment.*  Every item learns its batch from its rank among the items of
    its size; ranks are counted in salted parts, so a size that a third of all
    items share is spread over many tasks.
@@ -30,41 +31,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 8
-#: Candidate boundaries the dynamic program looks at.
-CANDIDATES = 512
 SALTS = 64
 
 
 def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most ``buckets`` length buckets with least total padding; sizes ascend."""
+    """Upper bounds of at most ``buckets`` length buckets with least total padding; sizes ascend.
+
+    Every size may be a boundary.  The best last bucket begins no earlier for a
+    larger end, so each round halves the ends and the starts to look at.
+    """
     n = len(sizes)
     if n == 0:
         return []
-    ends = np.arange(n)
-    if n > CANDIDATES:
-        mass = np.cumsum(counts * sizes)
-        ends = np.unique(np.append(np.searchsorted(mass, np.linspace(0, mass[-1], CANDIDATES)[1:-1]), n - 1))
-    c = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends + 1])]
-    t = np.concatenate([[0], np.cumsum(counts * sizes)])[np.concatenate([[0], ends + 1])]
-    top = sizes[ends].astype(float)
-    m = len(ends)
-    # pad[i, j]: padding when candidates i..j-1 form one bucket
-    pad = (c[None, 1:] - c[:-1, None]) * top[None, :] - (t[None, 1:] - t[:-1, None])
-    pad = np.where(np.arange(m)[:, None] <= np.arange(m)[None, :], pad, np.inf)
-    best, back = pad[0].copy(), []
-    for _ in range(min(buckets, m) - 1):
-        total = best[:-1, None] + pad[1:, :]
-        at = total.argmin(axis=0)
-        new = total[at, np.arange(m)]
-        use = new < best
-        back.append(np.where(use, at, -1))
-        best = np.where(use, new, best)
-    cuts, j = [m - 1], m - 1
-    for b in reversed(back):
-        if b[j] >= 0:
-            j = int(b[j])
-            cuts.append(j)
-    return [int(sizes[ends[k]]) for k in sorted(set(cuts))]
+    c = np.concatenate([[0], np.cumsum(counts)])
+    t = np.concatenate([[0], np.cumsum(counts * sizes)])
+    best = c[1:] * sizes - t[1:]  # padding of sizes 0..j in one bucket
+    back: list[np.ndarray] = []
+    for b in range(1, min(buckets, n)):
+        new, at = best.copy(), np.zeros(n, dtype=np.int64)
+        todo = [(b, n - 1, b, n - 1)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(first, min(j, last) + 1)
+            total = best[i - 1] + (c[j + 1] - c[i]) * sizes[j] - (t[j + 1] - t[i])
+            k = int(total.argmin())
+            new[j], at[j] = total[k], i[k]
+            todo += [(lo, j - 1, first, int(i[k])), (j + 1, hi, int(i[k]), last)]
+        back.append(at)
+        best = new
+    cuts, j = [n - 1], n - 1
+    for at in reversed(back):
+        j = int(at[j]) - 1
+        cuts.append(j)
+    return [int(sizes[k]) for k in sorted(cuts)]
 
 
 class Plan:

@@ -50,15 +50,30 @@ _WORDS = re.compile(r"[A-Za-z]+|\(c\)|@\w+|\d{4}")
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\d.]*|\"[^\"\n]*\"|'[^'\n]*'")
 
 
+_CLOSES = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+
+
 def header_of(text: str) -> str:
-    """The comment lines at the top, blank lines and declarations between them included, up to 25 lines in."""
+    """The comment lines at the top: the leading comment block to its end, and those up to 25 lines in, with blank lines and declarations between."""
     out = []
-    for k, line in enumerate(text[:6000].split("\n")):
-        if k >= 25:
+    lead, close = True, ""  # still in the leading block; what ends the comment that is open
+    for k, line in enumerate(text.split("\n")):
+        bare = line.strip()
+        if lead and close:
+            out.append(bare)
+            close = "" if close in bare else close
+            continue
+        comment = _COMMENT.match(line)
+        if lead and bare and not comment:
+            lead = False
+        if k >= 25 and not lead:
             break
-        if _COMMENT.match(line):
-            out.append(line.strip())
-        elif line.strip() and out and k > 12:
+        if comment:
+            out.append(bare)
+            opener = next((o for o in _CLOSES if bare.startswith(o)), "")
+            if lead and opener and _CLOSES[opener] not in bare[len(opener) :]:
+                close = _CLOSES[opener]
+        elif bare and out and k > 12:
             break
     return "\n".join(out)
 
@@ -70,7 +85,7 @@ def shape_of(text: str) -> list[float]:
     lines = text.split("\n")
     lens = [len(x) for x in lines]
     full = [x for x in lines if x.strip()]
-    shapes = {re.sub(r"(?:i *, *)+i", "i", _SHAPE.sub("i", x)).strip() for x in full[:4000]} if full else set()
+    shapes = {re.sub(r"(?:i *, *)+i", "i", _SHAPE.sub("i", x)).strip() for x in full}
     digits = float(((b >= 48) & (b <= 57)).sum()) / n
     blank = float(((b == 32) | (b == 9) | (b == 10)).sum()) / n
     letters = float((((b | 32) >= 97) & ((b | 32) <= 122)).sum()) / n
@@ -103,7 +118,7 @@ def giveaways(header: str, path: str) -> list[str]:
     parts = path.lower().split("/")
     name = parts[-1]
     stem = re.split(r"[.\-]", name)[0]
-    words = [w.lower() for w in _WORDS.findall(header)][:80]
+    words = [w.lower() for w in _WORDS.findall(header)]
     year = lambda w: "YEAR" if w.isdigit() else w
     words = [year(w) for w in words]
     f = {"d:" + p for p in parts[1:-1] if p in _KNOWN_DIRS} | {"e:" + ".".join(re.sub(r"[0-9a-z]{8,}", "H", x) if any(c.isdigit() for c in x) else x for x in name.split(".")[1:])}

@@ -56,7 +56,7 @@ def encoder(path: str):
 
 
 def _words(text: str) -> tuple[list[int], list[float]]:
-    seen = {bucket(w.lower(), BITS) for w in _WORD.findall(text)[:2000]}
+    seen = {bucket(w.lower(), BITS) for w in _WORD.findall(text)}
     seen.add(bucket(f"n:{len(text) // 300}", BITS))
     at = sorted(seen)
     return at, [1.0 / len(at) ** 0.5] * len(at)

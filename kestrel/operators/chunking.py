@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,34 +37,35 @@ def language_of_path(path: str) -> str | None:
     return next((g for s, g in LANGUAGE_OF_SUFFIX.items() if path.endswith(s)), None)
 
 
-class _Cutter:
-    """Chunks of one parsed text: (kind, name, first line, last line, text, parent)."""
+class Span(NamedTuple):
+    """What becomes a chunk (``run`` is None) or a part of one: loose members next to each other with the same ``run`` stay together."""
+
+    first: int
+    last: int
+    kind: str
+    name: str | None
+    parent: str | None
+    run: int | None
+    bare: int  # where it starts without decorators
+
+
+class Outline:
+    """The spans of one parsed text, in its order, and the chunks they give."""
 
     def __init__(self, parsed):
-        self.x, self.src, self.out = parsed, parsed.src, []
+        self.x, self.src = parsed, parsed.src
         self.python = parsed.language == "python"
 
-    def is_definition(self, n) -> bool:
-        return n.kind.endswith(DEFINITION_KINDS)
+    @staticmethod
+    def is_definition(n) -> bool:
+        return n is not None and n.kind.endswith(DEFINITION_KINDS)
 
     def lines(self, a: int, b: int) -> tuple[int, int]:
         return self.src.line(self.src.offset(a)), self.src.line(self.src.end_offset(b) - 1)
 
-    def emit(self, kind, name, a, b, parent):
-        text = self.src.text[self.src.offset(a) : self.src.end_offset(b)]
+    def height(self, a: int, b: int) -> int:
         first, last = self.lines(a, b)
-        self.out.append((kind, name, first, last, f"# in {parent}:\n{text}" if parent else text, parent))
-
-    def collect(self, nodes, parent=None):
-        for n in nodes:
-            if not self.is_definition(n):
-                self.collect(n.children, parent)
-                continue
-            first, last = self.lines(n.start, n.end)
-            if last - first < MAX_CHUNK_LINES:
-                self.emit(n.kind, n.name, n.start, n.end, parent)
-            else:
-                self.split(n, parent)
+        return last - first + 1
 
     def members(self, n):
         """(first token, last token, definition or None) of what stands in a definition's block."""
@@ -92,46 +96,65 @@ class _Cutter:
                 merged.append([a, b, d, self.src.s[a] == "@"])
         return [(a, b, d) for a, b, d, _ in merged]
 
-    def split(self, n, parent):
-        inner = n.name or parent
-        before, held = len(self.out), []
-
-        def flush():
-            if held:
-                self.emit("members", None, held[0][0], held[-1][1], inner)
-                held.clear()
-
-        for a, b, d in self.members(n):
-            if d is not None and self.is_definition(d):
-                first, last = self.lines(d.start, d.end)
-                size = last - first + 1
-                if size > MAX_CHUNK_LINES:
-                    flush()
-                    self.split(d, inner)
-                    continue
-                if size >= MIN_STANDALONE_LINES:
-                    flush()
-                    self.emit(d.kind, d.name, d.start, d.end, inner)
-                    continue
-            held.append((a if d is None or held else d.start, b))
-            if self.lines(held[0][0], b)[1] - self.lines(held[0][0], b)[0] + 1 >= MAX_CHUNK_LINES:
-                flush()
-        flush()
-        if len(self.out) == before:
-            self.emit(n.kind, n.name, n.start, n.end, parent)
-
-
-def window_chunks(text: str):
+    def spans(self) -> Iterator[Span]:
+        """Definitions that fit are spans; of larger ones their members are, down to any depth; what is no definition is looked into."""
+        todo: list = [(n, None) for n in reversed(self.x.top)]
+        opened = 0
+        while todo:
+            item = todo.pop()
+            if isinstance(item, Span):
+                yield item
+                continue
+            n, parent = item
+            if not self.is_definition(n):
+                todo += [(c, parent) for c in reversed(n.children)]
+                continue
+            parts = self.members(n) if self.height(n.start, n.end) > MAX_CHUNK_LINES else []
+            if not parts:
+                yield Span(n.start, n.end, n.kind, n.name, parent, None, n.start)
+                continue
+            opened += 1
+            todo += [self._member(*m, n.name or parent, opened) for m in reversed(parts)]
+
+    def _member(self, a: int, b: int, d, parent: str | None, run: int):
+        """A member of an opened definition: to be opened itself, a chunk of its own, or loose."""
+        size = self.height(d.start, d.end) if self.is_definition(d) else 0
+        if size > MAX_CHUNK_LINES:
+            return d, parent
+        if size >= MIN_STANDALONE_LINES:
+            return Span(d.start, d.end, d.kind, d.name, parent, None, d.start)
+        return Span(a, b, "members", None, parent, run, a if d is None else d.start)
+
+    def chunks(self) -> list[tuple]:
+        """(kind, name, first line, last line, text, parent)"""
+        out = []
+        for run, together in groupby(self.spans(), key=lambda s: s.run):
+            some = list(together)
+            for part in ([s] for s in some) if run is None else self._cut(some):
+                out.append(self._chunk(part))
+        return out
+
+    def _cut(self, loose: list[Span]) -> Iterator[list[Span]]:
+        """Neighbours in pieces that end as soon as they are MAX_CHUNK_LINES high."""
+        at = 0
+        for k in range(1, len(loose) + 1):
+            if k == len(loose) or self.height(loose[at].bare, loose[k - 1].last) >= MAX_CHUNK_LINES:
+                yield loose[at:k]
+                at = k
+
+    def _chunk(self, part: list[Span]) -> tuple:
+        s = part[0]
+        a, b = s.bare, part[-1].last
+        text = self.src.text[self.src.offset(a) : self.src.end_offset(b)]
+        return (s.kind, s.name, *self.lines(a, b), f"# in {s.parent}:\n{text}" if s.parent else text, s.parent)
+
+
+def window_chunks(text: str) -> list[tuple]:
     lines = _ENDS.split(text)
-    if lines and not lines[-1]:
-        lines.pop()
-    start = 0
-    while start < len(lines):
-        part = lines[start : start + WINDOW_LINES]
-        yield "window", None, start + 1, start + len(part), "\n".join(part), None
-        if start + WINDOW_LINES >= len(lines):
-            return
-        start += WINDOW_STEP
+    n = len(lines) - (not lines[-1])
+    starts = range(0, max(n - WINDOW_LINES, 0) + WINDOW_STEP, WINDOW_STEP) if n else ()
+    ends = [min(s + WINDOW_LINES, n) for s in starts]
+    return [("window", None, s + 1, e, "\n".join(lines[s:e]), None) for s, e in zip(starts, ends)]
 
 
 def chunk_text(path: str, text: str | None, language: str | None = None) -> list[tuple]:
@@ -143,13 +166,7 @@ def chunk_text(path: str, text: str | None, language: str | None = None) -> list
     out: list[tuple] = []
     if language in LANGUAGES:
         x = parse_text(text, language)
-        if not x.errors:
-            c = _Cutter(x)
-            try:
-                c.collect(x.top)
-                out = c.out
-            except RecursionError:
-                out = []
+        out = Outline(x).chunks()
     return [c for c in out or window_chunks(text) if c[4].strip()]
 
 

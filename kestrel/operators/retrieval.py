@@ -114,6 +114,27 @@ def top(scores: DataFrame, k: int, order: list[Column], rank: str = "rank") -> D
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
+def search_tables() -> dict:
+    """What is published with an index so that searches build nothing: postings sorted by token, with lengths; inverse frequencies; mean length."""
+
+    def post(rows):
+        p = postings(rows)
+        return p.join(p.groupBy("row_id").agg(F.sum("tf").alias("dl")), "row_id").repartitionByRange("tok", "row_id").sortWithinPartitions("tok", "row_id")
+
+    def terms(rows):
+        return inverse_frequencies(doc_freq(postings(rows)), corpus_stats(doc_lengths(rows)))
+
+    return {"postings": post, "terms": terms, "stats": lambda rows: corpus_stats(doc_lengths(rows))}
+
+
+def filled(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The first k of one query's scores, filled up with rows that score nothing, in row order."""
+    hits = top(scores.select("qid", "row_id", "score"), k, [F.desc("score"), F.col("row_id")]).drop("rank")
+    first = rows.select("row_id").orderBy("row_id").limit(2 * k)
+    zero = first.join(hits.select("row_id"), "row_id", "left_anti").select(F.lit(0).alias("qid"), "row_id", F.lit(0.0).alias("score"))
+    return top(hits.unionByName(zero), k, [F.desc("score"), F.col("row_id")])
+
+
 def bm25_top(queries: DataFrame, post: DataFrame, lengths: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
     """(qid, row_id, score, rank): min(k, rows) entries, filled up with rows that score nothing, in row order."""
     hits = top(bm25_scores(queries, post, lengths, scope).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
@@ -271,17 +292,17 @@ def diversify(pool: DataFrame, k: int = RESULTS, lam: float = LAMBDA) -> DataFra
 
 def search(
     queries: DataFrame, corpus: DataFrame, post: DataFrame | None = None, k: int = RESULTS, candidates: int = CANDIDATES, pool: int = POOL,
-    graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (), dense: DataFrame | None = None, reranker=None,
+    graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (), dense: DataFrame | None = None, lexical: DataFrame | None = None, reranker=None,
 ) -> DataFrame:
     """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification.
 
-    ``dense`` (qid, row_id, rank) replaces the hashed embedding, ``reranker`` the token coverage.
+    ``dense`` and ``lexical`` (qid, row_id, rank) replace the lists made from postings, ``reranker`` the token coverage.
     """
-    post = postings(corpus, scope) if post is None else post
-    lengths = lengths_of(corpus, post, scope)
+    if dense is None or lexical is None:
+        post = postings(corpus, scope) if post is None else post
     dense = embedded_top(queries, post, candidates, scope) if dense is None else dense
-    dense = dense.select("qid", "row_id", "rank", F.lit(0).alias("list_no"))
-    lexical = bm25_top(queries, post, lengths, candidates, scope).select("qid", "row_id", "rank", F.lit(1).alias("list_no"))
+    lexical = bm25_top(queries, post, lengths_of(corpus, post, scope), candidates, scope) if lexical is None else lexical
+    dense, lexical = (x.select("qid", "row_id", "rank", F.lit(n).alias("list_no")) for n, x in enumerate((dense, lexical)))
     rows = corpus.select(*scope, "row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
     chosen = pool_of(fuse(dense.union(lexical).join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)
     if graph:

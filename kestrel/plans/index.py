@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import types as T
 
 from kestrel.operators import chunking, embedding
 from kestrel.operators import files as FL
-from kestrel.operators.changes import changed, unchanged
-from kestrel.session import ship_package, text_batches
+from kestrel.operators import retrieval as R
+from kestrel.operators.changes import changed, state_of, unchanged, without_output
+from kestrel.session import materialized, release, ship_package, text_batches
 from kestrel.sources.store import VersionedTable
 
 INDEX_SCHEMA = T.StructType(
@@ -32,12 +34,14 @@ def git_files(root: str) -> list[str] | None:
     return [p.decode("utf-8", "surrogateescape") for p in out.split(b"\0") if p]
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of a repository: what git lists, else what a walk finds (only the walk prunes directories)."""
+def source_listing(root: str) -> list[str]:
+    """Paths of a repository: what git lists, else what a walk finds (only the walk prunes directories)."""
     listed = git_files(root)
-    if listed is None:
-        return FL.read_tree(spark, root)
-    return FL.read_files(spark, root, [p for p in listed if os.path.isfile(os.path.join(root, p))])
+    return FL.walk_files(root) if listed is None else [p for p in listed if os.path.isfile(os.path.join(root, p))]
+
+
+def _hashed(files: DataFrame, embedder: embedding.Embedder) -> DataFrame:
+    return files.withColumn("file_hash", FL.file_hash(F.col("text"), FL.embed_tag(embedder)))
 
 
 def _chunks(files: DataFrame) -> DataFrame:
@@ -46,38 +50,61 @@ def _chunks(files: DataFrame) -> DataFrame:
     return rows.join(files.select("path", "file_hash"), "path").drop("file_id", "repo")
 
 
-def index_repo(spark: SparkSession, root: str, repo: str | None = None, embedder: embedding.Embedder | None = None, store: str = "store") -> int:
-    """Bring a repository's index up to date and return its number of chunks.
+class Indexed(NamedTuple):
+    """What an index run did: chunks in the index, files carried over, files cut anew (those that gave a chunk)."""
+
+    chunks: int
+    reused_files: int
+    changed_files: int
+
 
-    Files whose hash is unchanged keep their rows, only the others are cut and
-    embedded; files that are gone drop out.  A repository without any chunk
-    leaves the old version as it is and returns 0.
+def update_index(spark: SparkSession, root: str, repo: str | None = None, embedder: embedding.Embedder | None = None, store: str = "store") -> Indexed:
+    """Bring a repository's index up to date.
+
+    Files whose hash is unchanged keep their rows and row numbers, only the
+    others are read again, cut and embedded; files that are gone drop out.
+    Files that gave no chunk are kept as known, so they aren't cut again either.
+    A repository without any chunk leaves the old version as it is; one without
+    any change gets its next version without writing anything again.
     """
     ship_package(spark)
     text_batches(spark)
     embedder = embedder or embedding.make_embedder()
     table = VersionedTable(spark, store, repo or os.path.basename(os.path.abspath(root)))
-    files = source_files(spark, root)
-    files = files.withColumn("file_hash", FL.file_hash(F.col("text"), FL.embed_tag(embedder))).persist()
+    base = table.version()
+    listed = source_listing(root)
+    seen = _hashed(FL.read_files(spark, root, listed), embedder).select("path", "file_hash").persist()  # no texts
     try:
-        old = table.read()
-        if old is None:
-            old = spark.createDataFrame([], INDEX_SCHEMA)
-        todo = changed(files, old.select("path", "file_hash").distinct(), ["path"])
-        new = embedding.embed_column(_chunks(todo), embedder)
-        kept = unchanged(old, files, ["path"])
-        rows = kept.withColumnRenamed("row_id", "place").withColumn("part", F.lit(0)).unionByName(
-            new.withColumn("part", F.lit(1)).withColumn("place", F.lit(0).cast("bigint"))
-        )
-        # reused rows first, in their old order; the order of rows breaks ties in searches
-        numbered = rows.orderBy("part", "place", "path", "start_line", "end_line", "kind").withColumn("row_id", F.monotonically_increasing_id())
-        numbered = numbered.select(*[f.name for f in INDEX_SCHEMA.fields]).persist()
+        old = table.read(base) if base else spark.createDataFrame([], INDEX_SCHEMA)
+        known = state_of(table, base, ["path"], "file_hash") if base else old.select("path", "file_hash")
+        todo = [r.path for r in changed(seen, known, ["path"]).select("path").toLocalIterator()]  # names only, as many as were listed on the driver
+        n_known = known.distinct().count()
+        if base and not todo and n_known == seen.count():
+            n = old.count()
+            table.republish(base)
+            return Indexed(n, old.select("path").distinct().count(), 0)
+        files = _hashed(FL.read_files(spark, root, todo), embedder).persist()
         try:
-            n = numbered.count()
+            new = embedding.embed_column(_chunks(files), embedder)
+            first = (old.agg(F.max("row_id")).first()[0] or 0) + 1 if base else 0
+            # reused rows come first, in their old order; the order of rows breaks ties in searches
+            fresh = new.orderBy("path", "start_line", "end_line", "kind").withColumn("row_id", F.monotonically_increasing_id() + F.lit(first))
+            names = [f.name for f in INDEX_SCHEMA.fields]
+            kept = unchanged(old, seen, ["path"]).select(*names)
+            listing = seen.unionByName(files.select("path", "file_hash")).distinct()
+            rows = materialized(kept.unionByName(fresh.select(*names)), "index")
+            per = rows.groupBy("path").agg(F.count("*").alias("n")).join(spark.createDataFrame([(p,) for p in todo], "path string").withColumn("cut", F.lit(True)), "path", "left")
+            n, n_files, n_cut = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count("cut")).first()
             if n:
-                table.publish(numbered)
-            return n
+                table.publish(rows, base or 0, {"empty": lambda w: without_output(listing, w, ["path"], "file_hash"), **R.search_tables()})
+            release(rows)
+            return Indexed(n, n_files - n_cut, n_cut)
         finally:
-            numbered.unpersist()
+            files.unpersist()
     finally:
-        files.unpersist()
+        seen.unpersist()
+
+
+def index_repo(spark: SparkSession, root: str, repo: str | None = None, embedder: embedding.Embedder | None = None, store: str = "store") -> int:
+    """update_index, for its number of chunks."""
+    return update_index(spark, root, repo, embedder, store).chunks

@@ -29,22 +29,15 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "kestrel") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set, else a local one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; without it a local one of our own, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "kestrel-checkpoints")
     return where
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage: the rows are written to the shared folder and read back by all later plans."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core: few large input files are dealt out once, many are left alone."""
     sc = df.sparkSession.sparkContext
@@ -66,20 +59,33 @@ def ship_package(spark: SparkSession) -> None:
     sc._kestrel_shipped = True
 
 
-#: Rows of one Arrow batch between the JVM and a Python worker where rows are whole texts.
-TEXT_BATCH_ROWS = 512
+#: Rows of one Arrow batch between the JVM and a Python worker where rows are whole texts, and bytes a worker works on at a time.
+TEXT_BATCH_ROWS, TEXT_BYTES = 64, 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, so that a worker never holds many megabytes at once."""
+    """Keep Arrow batches of whole texts small.  Spark reads this when a plan is run, so it stays set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def by_bytes(batches, limit: int = TEXT_BYTES):
+    """The same rows in Arrow batches of at most ``limit`` bytes; a longer row goes alone."""
+    for b in batches:
+        todo = [b]
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > limit:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x
+
+
+def materialized(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it is computed once, and lost executors cost nothing."""
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/kestrel-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(where)
     out = spark.read.schema(df.schema).parquet(where)
     out.kestrel_path = where
     return out

@@ -137,10 +137,13 @@ class BraceParser:
             try:
                 rule()
             except Bad as e:
+                lost = self.scope[depth:]
                 del self.scope[depth:]
                 self.recover(e, start)
                 if self.p == start:
                     self.p += 1
+                for n in lost:  # a definition that an error cut off reaches as far as what was skipped
+                    n.end = max(n.start, min(self.p, len(self.src.idx)) - 1)
 
     def block(self, rule):
         self.need("{")

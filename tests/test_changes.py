@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators.changes import apply_changes, change_counts, changed_paths
-from kestrel.sources.store import VersionedTable
+from kestrel.sources.store import Conflict, VersionedTable
 
 T = dt.datetime(2026, 1, 1)
 SCANS = "scan_id bigint, run_id bigint, repo string, path string, file_hash string, scanned_at timestamp, received_at timestamp, path2 string"
@@ -60,3 +60,72 @@ def test_runs_survive_failures(spark, tmp_path):
     assert [r.path for r in table.read().collect()] == ["b"] and made[-1] == 0
     table.drop_old(1)
     assert table.versions() == [3]
+
+
+def test_nulls_are_not_listed(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), "t")
+    src = spark.createDataFrame([("a", "1"), (None, "1"), ("b", None)], "path string, file_hash string")
+    made = []
+
+    def make(df):
+        made.append(sorted(r.path for r in df.collect()))
+        return df
+
+    for _ in range(2):
+        apply_changes(table, src, make, ["path"])
+    assert made == [["a"], []] and [tuple(r) for r in table.read().collect()] == [("a", "1")]
+
+
+def test_records_without_rows_are_not_redone(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), "t")
+    made = []
+
+    def make(df):
+        made.append(sorted(r.path for r in df.collect()))
+        return df.where("path <> 'blank'")
+
+    def run(*rows):
+        apply_changes(table, spark.createDataFrame(list(rows), "path string, file_hash string"), make, ["path"])
+
+    for _ in range(3):
+        run(("a", "1"), ("blank", "1"))
+    run(("a", "1"), ("blank", "2"))
+    run(("a", "1"))
+    run(("a", "1"), ("blank", "2"))
+    assert made == [["a", "blank"], [], [], ["blank"], [], ["blank"]]
+    assert [r.path for r in table.read().collect()] == ["a"]
+
+
+def test_parts_of_the_target_that_a_run_does_not_speak_of_stay(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), "t")
+    rows = "repo string, path string, file_hash string"
+    apply_changes(table, spark.createDataFrame([("r", "a", "1"), ("s", "b", "1")], rows), lambda d: d, ["repo", "path"])
+    apply_changes(table, spark.createDataFrame([("r", "c", "1")], rows), lambda d: d, ["repo", "path"], other=spark.createDataFrame([("s",)], "repo string"))
+    assert sorted(tuple(r) for r in table.read().collect()) == [("r", "c", "1"), ("s", "b", "1")]
+
+
+def test_two_writers_and_a_broken_log(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), "t")
+    base = table.publish(spark.range(3))
+    assert table.publish(spark.range(4), base) == 2
+    with pytest.raises(Conflict):
+        table.publish(spark.range(5), base)
+    assert table.version() == 2 and table.read().count() == 4
+    (tmp_path / "t/_log/2").write_text("?")
+    (tmp_path / "t/_log/.2.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        table.read()
+    with pytest.raises(ValueError):
+        apply_changes(table, spark.createDataFrame([("a", "1")], "path string, file_hash string"), lambda d: d, ["path"])
+    assert table.versions() == [1, 2]
+
+
+def test_the_work_comes_from_published_versions(spark, monkeypatch):
+    """Without the target's state nothing would be left out."""
+    from kestrel.operators import changes
+
+    runs = spark.createDataFrame([(1, "r", 1, "success"), (2, "r", 2, "success")], RUNS)
+    scans = spark.createDataFrame([_scan(1, 1, "a", "aa"), _scan(2, 2, "a", "aa")], SCANS)
+    assert sorted(tuple(r) for r in changed_paths(scans, runs).collect()) == [(1, "a")]
+    monkeypatch.setattr(changes, "state_of", lambda t, *_: t.read().where("false"))
+    assert sorted(tuple(r) for r in changed_paths(scans, runs).collect()) == [(1, "a"), (2, "a")]

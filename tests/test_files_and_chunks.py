@@ -118,8 +118,8 @@ def test_readiness(spark, tmp_path):
 
     s = Service(spark, str(tmp_path), index=fake, cwd="/")
     VersionedTable(spark, str(tmp_path), "old").publish(spark.range(1))
-    assert s.ensure_ready("old", None) is None and calls == []
-    assert s.ensure_ready("old", "/p") is None and s.ensure_ready("old", "/p") is None and s.ensure_ready("old", None) is None
+    assert s.prepare("old", None) is None and calls == []
+    assert s.prepare("old", "/p") is None and s.prepare("old", "/p") is None and s.prepare("old", None) is None
     assert calls == ["/p"] and s.resolve("old", None) == "/p" and s.resolve("old", "/q") == "/q" and s.resolve("none", None) is None
     reg = PathRegistry(str(tmp_path / "bad.json"))
     (tmp_path / "bad.json").write_text("{")
@@ -168,3 +168,73 @@ def test_walk_keeps_private_and_hidden_files(spark, tmp_path):
     (tmp_path / "only").mkdir()
     (tmp_path / "only/__init__.py").write_text("def f():\n    return 1\n")
     assert index_repo(spark, str(tmp_path / "only"), "only", store=str(tmp_path / "store")) > 0
+
+
+def test_steps_before_a_search():
+    from kestrel.plans.service import next_step
+
+    yes, no, cwd, none = lambda: True, lambda: False, lambda: "/here", lambda: None
+    rows = [
+        ((None, "/p", True, "/p", no, none), ("serve", None)), ((None, None, False, None, yes, cwd), ("adopt", None)), ((None, None, False, None, no, cwd), ("index", "/here")),
+        ((None, None, False, None, no, none), ("refuse", None)), ((None, "/p", False, None, yes, cwd), ("index", "/p")), (("/q", "/p", True, "/p", yes, cwd), ("index", "/q")),
+        (("/p", "/p", True, "/p", yes, cwd), ("serve", "/p")), (("/p", None, True, None, yes, cwd), ("index", "/p")),
+    ]
+    for facts, want in rows:
+        assert next_step(*facts) == want
+
+
+def test_indexing_one_repository_does_not_hold_another(spark, tmp_path):
+    import threading
+
+    began, go_on = threading.Event(), threading.Event()
+
+    def slow(spark, root, repo, store):
+        if repo == "slow":
+            began.set()
+            assert go_on.wait(30)
+
+    s = Service(spark, str(tmp_path), index=slow, watch=lambda repo, root: 1 / 0, cwd="/")
+    t = threading.Thread(target=s.prepare, args=("slow", "/a"))
+    t.start()
+    assert began.wait(30) and s.prepare("quick", "/b") is None
+    go_on.set()
+    t.join()
+    assert s.state("slow").served and s.state("slow").watcher is None
+
+
+def test_counts_and_blank_files(spark, tmp_path):
+    from kestrel.plans.index import update_index
+
+    root, store = tmp_path / "r", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    (root / "blank.py").write_text("\n\n")
+    run = lambda: update_index(spark, str(root), "r", store=store)
+    assert tuple(run()) == (1, 0, 1) and tuple(run()) == (1, 1, 0)
+    (root / "b.py").write_text("def g():\n    return 2\n")
+    assert tuple(run()) == (2, 1, 1)
+    before = {r.path: r.row_id for r in VersionedTable(spark, store, "r").read(2).collect()}
+    now = {r.path: r.row_id for r in VersionedTable(spark, store, "r").read().collect()}
+    assert now["a.py"] == before["a.py"] < now["b.py"]
+
+
+def test_definitions_of_a_file_with_an_error_stay():
+    got = chunk_text("a.js", "function one() {\n  return 1;\n}\n\nconst x = = 2;\n\nfunction two() {\n  return 2;\n}\n")
+    assert [(c[0], c[1], c[2], c[3]) for c in got] == [("function_declaration", "one", 1, 3), ("function_declaration", "two", 7, 9)]
+
+
+def test_stored_postings_give_the_scores_of_the_whole_corpus(spark, tmp_path):
+    from kestrel.operators import retrieval as R
+    from kestrel.plans.service import Retriever
+
+    root, store = tmp_path / "r", str(tmp_path / "store")
+    root.mkdir()
+    for i in range(30):
+        (root / f"f{i:02}.py").write_text(f"def load_{'tree' if i % 7 == 0 else 'row'}_{i}(x):\n    return walk(x, {i}) + load(x)\n")
+    index_repo(spark, str(root), "r", store=store)
+    r = Retriever(spark, "r", store)
+    q = spark.createDataFrame([(0, "load the tree tree")], "qid int, query string")
+    post = R.postings(r.corpus)
+    want = [(x.row_id, x.score, x.rank) for x in R.bm25_top(q, post, R.lengths_of(r.corpus, post), 12).orderBy("rank").collect()]
+    assert [(x.row_id, x.score, x.rank) for x in r.lexical("load the tree tree", 12).orderBy("rank").collect()] == want
+    assert "EqualTo(tok,load)" in r.lexical("load", 5)._jdf.queryExecution().toString()  # only the token's row groups are read

@@ -1,10 +1,13 @@
 """Generated, minified, vendored and data files among source files.
 
 Linear support vectors over hashed character n-grams of the whole text, the
-words of the header comment, path components and a few shape figures.  Giveaway
-headers and paths label a bounded sample of files weakly; in a second copy of
-each training row they are masked, so the model also judges files without
-them.  Scores are calibrated on repositories the model has not seen.
+words and word pairs of the header comment, path components and a few shape
+figures.  Patterns of giveaway headers and paths only label a bounded sample of
+files weakly: none of them is a feature.  In a second copy of each training row
+the giveaway lines of the header and the path are masked, for all classes, so
+the weights do not rest on them alone.  Scores are calibrated on repositories
+the model has not seen; ``Model.report`` holds the accuracy there and the
+recall with giveaways masked.
 
 Defined results: null and empty texts count as written by hand; files whose
 language is ``text``, null or unknown are not judged; repeated rows count once;
@@ -14,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import partial
 
@@ -28,20 +32,19 @@ from kestrel.session import spread, text_batches
 from kestrel.syntax import LANGUAGES
 
 #: Files the model is fitted on, at most; the first by a hash of their id.
-SAMPLE = 2_000
-THRESHOLD = 0.45
+SAMPLE = 4_000
+THRESHOLD = 0.35
 GRAM = 4
 GRAM_BITS, WORD_BITS = 12, 12
 _DENSE = 16
 WIDTH = _DENSE + (1 << GRAM_BITS) + (1 << WORD_BITS)
 
-#: Header lines that give a file away; only the comments at its top are looked at.
+#: Header lines that give a file away; only the comments at its top are looked at.  They make labels, not features.
 _GENERATED = re.compile(
-    r"(?i)generated (?:by|with|from|using|on|at)\b|code generated|auto-?\s?generated|machine.generated|@generated|do not (?:edit|modify)|auto-?\s?created by|created (?:by|with) \S+[;,.]? *re-?generate"
-    r"|regenerate instead|(?:manual )?changes will be (?:lost|overwritten)|compiled (?:by|from|with)|autogenerated"
+    r"(?i)generated (?:by|with|from|using)\b|code generated|auto-?\s?generated|machine.generated|@generated|do not (?:edit|modify)|auto-?\s?created by|\bregenerate\b"
+    r"|changes will be (?:lost|overwritten)|compiled (?:by|from|with)"
 )
-_OWN = re.compile(r"(?i)reports are generated|owners of this repository")
-_FOREIGN = re.compile(r"(?i)(?:\(c\)|©|copyright)[^\n]{0,12}\d{4}[^\n]{0,60}|upstream licen[cs]e|@license|@preserve|free licen[cs]e")
+_FOREIGN = re.compile(r"(?i)(?:\(c\)|©|copyright)[^\n]{0,12}\d{4}|@license|@preserve")
 _GENERATED_PATH = re.compile(r"(?:^|/)(?:gen|generated|__generated__|autogen)/|_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$|\.g(?:en(?:erated)?)?\.\w+$|_generated\.\w+$|\.generated\.\w+$|(?:^|/)migrations/\d{4}_")
 _FOREIGN_PATH = re.compile(r"(?:^|/)(?:node_modules|vendor|_vendor|third[_-]?party|bower_components|external|extern|site-packages)/")
 _MINIFIED_PATH = re.compile(r"[.-]min\.\w+$|\.bundle\.js$|-[0-9a-z]{8,}\.js$")
@@ -113,39 +116,35 @@ def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, v / np.linalg.norm(v)
 
 
-def giveaways(header: str, path: str) -> list[str]:
-    """Names of header and path features."""
-    parts = path.lower().split("/")
-    name = parts[-1]
-    stem = re.split(r"[.\-]", name)[0]
-    words = [w.lower() for w in _WORDS.findall(header)]
-    year = lambda w: "YEAR" if w.isdigit() else w
-    words = [year(w) for w in words]
-    f = {"d:" + p for p in parts[1:-1] if p in _KNOWN_DIRS} | {"e:" + ".".join(re.sub(r"[0-9a-z]{8,}", "H", x) if any(c.isdigit() for c in x) else x for x in name.split(".")[1:])}
-    f |= {"h:" + w for w in words if len(w) > 1} | {f"p:{a} {b}" for a, b in zip(words, words[1:])}
-    if _GENERATED.search(_OWN.sub("", header)):
-        f.add("g:generated")
-    if _FOREIGN.search(header):
-        f.add("g:foreign")
-    if stem and stem in header.lower():
-        f.add("g:named")
-    for tag, p in (("path:gen", _GENERATED_PATH), ("path:foreign", _FOREIGN_PATH), ("path:min", _MINIFIED_PATH)):
-        if p.search(path):
-            f.add(tag)
+_HASH = re.compile(r"(?=\w*\d)[0-9a-z]{8,}")
+_NUMBERS = re.compile(r"\d+")
+
+
+def names_of(header: str, path: str) -> list[str]:
+    """Names of header and path features: words, word pairs, path components, the parts of the file's name."""
+    words = ["9" if w.isdigit() else w.lower() for w in _WORDS.findall(header)]
+    f = {"h:" + w for w in words if len(w) > 1} | {f"p:{a} {b}" for a, b in zip(words, words[1:])}
+    if path:
+        *folders, name = path.lower().split("/")
+        f |= {"d:" + _NUMBERS.sub("9", p) for p in folders[1:]}
+        stem, *ends = _HASH.sub("H", name).split(".")
+        f |= {"e:" + ".".join(_NUMBERS.sub("9", x) for x in ends)} | {"s:" + _NUMBERS.sub("9", x) for x in re.split(r"[_\-]", stem)[-2:]}
+        own = re.split(r"[.\-]", name)[0]
+        if len(own) > 3 and own in header.lower():
+            f.add("named")
     return sorted(f)
 
 
-_KNOWN_DIRS = frozenset(
-    "src lib core app apps services internal tests test tools build web static assets vendor vendors _vendor third_party node_modules generated gen dist public data common client api proto migrations "
-    "external util utils scripts docs js main java js_lib target out bin".split()
-)
+def masked(header: str) -> str:
+    """A header without the lines that give the file away."""
+    return "\n".join(x for x in header.split("\n") if not (_GENERATED.search(x) or _FOREIGN.search(x)))
 
 
 def weak_label(text: str, header: str, path: str) -> tuple[int, str]:
     """(1 not written by hand, 0 written by hand; why)."""
-    if _FOREIGN_PATH.search(path) or _FOREIGN.search(_OWN.sub("", header)):
+    if _FOREIGN_PATH.search(path) or _FOREIGN.search(header):
         return 1, "foreign"
-    if _GENERATED_PATH.search(path) or _GENERATED.search(_OWN.sub("", header)):
+    if _GENERATED_PATH.search(path) or _GENERATED.search(header):
         return 1, "generated"
     s = shape_of(text)
     if s[7] < 0.24 and (_MINIFIED_PATH.search(path) or s[1] > 0.84):  # hardly a blank, lines of 150 characters and more on average
@@ -155,18 +154,32 @@ def weak_label(text: str, header: str, path: str) -> tuple[int, str]:
     return 0, ""
 
 
-def features(text: str, header: str, path: str, masked: bool) -> tuple[np.ndarray, np.ndarray]:
-    body = text.replace(header, "") if masked and header else text
-    at, v = grams_of(body)
-    f = min(1.0, (len(body) / 400) ** 0.5)  # a short text's figures say less
-    cols, vals = [np.arange(_DENSE), _DENSE + at], [f * np.array(shape_of(body)), f * v]
-    if not masked:
-        names = giveaways(header, path)
-        cols.append(np.array([_DENSE + (1 << GRAM_BITS) + bucket(x, WORD_BITS) for x in names], dtype=np.int64))
-        vals.append([4.0 if x[:2] in ("g:", "pa") else 0.25 for x in names])
+#: What one header word and one path component weigh beside all n-grams of a text, which weigh 1 together.
+WORD_WEIGHT, PATH_WEIGHT = 0.5, 1.5
+#: Header words and path components count if files of so many repositories of the sample have them.
+NAME_REPOS = 4
+
+
+def features(text: str, header: str, path: str, known: frozenset) -> tuple[np.ndarray, np.ndarray]:
+    """``known``: the names that count."""
+    at, v = grams_of(text)
+    f = min(1.0, (len(text) / 400) ** 0.5)  # a short text's figures say less
+    names = [x for x in names_of(header, path) if x in known]
+    cols = [np.arange(_DENSE), _DENSE + at, np.array([_DENSE + (1 << GRAM_BITS) + bucket(x, WORD_BITS) for x in names], dtype=np.int64)]
+    vals = [f * np.array(shape_of(text)), f * v, np.array([WORD_WEIGHT if x[:2] in ("h:", "p:") else PATH_WEIGHT for x in names])]
     return np.concatenate(cols), np.concatenate(vals)
 
 
+def blind_features(text: str, header: str, known: frozenset) -> tuple[np.ndarray, np.ndarray]:
+    """The same with giveaway header lines and the whole path masked."""
+    rest = masked(header)
+    return features(text.replace(header, rest, 1) if header else text, rest, "", known)
+
+
+#: Weight of a training row's masked copy.
+MASKED_WEIGHT = 0.15
+
+
 class Model:
     def __init__(self, rows: list[tuple[str, str, str]]):
         """rows: repo, path, text."""
@@ -181,21 +194,28 @@ class Model:
         if held.all() or not held.any() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
             held = np.arange(len(rows)) % 5 == 0
         n = len(data)
-        # copies of foreign libraries look like any code once their header and path are masked
-        blind = [i for i in range(n) if not held[i] and labels[i][1] != "foreign"]
-        x = Dense(n + len(blind), WIDTH)
-        for k, (i, masked) in enumerate([(i, False) for i in range(n)] + [(i, True) for i in blind]):
-            _, path, text, head = data[i]
-            x.put(k, *features(text, head, path, masked))
-        yy = np.concatenate([y, y[blind]])
-        out = np.concatenate([held, np.zeros(len(blind), bool)])  # held-out rows have no weight
-        weight = np.zeros(len(yy))
-        weight[~out] = balanced(yy[~out])
-        self.w, self.b = support_vectors(x, yy, weight, l2=1e-4, steps=200)
-        z = (x.dot(self.w) + self.b)[:n][held]
-        self.slope, self.offset = platt(z, y[held])
-        p = self.slope * z + self.offset
-        self.report = {"held_out": float(held.sum()), "accuracy": float(((p >= 0) == (y[held] > 0)).mean())}
+        repos: dict[str, set] = {}
+        for k, (r, p, _, h) in enumerate(data):
+            if not held[k]:
+                for name in names_of(h, p):
+                    repos.setdefault(name, set()).add(r)
+        self.known = frozenset(name for name, where in repos.items() if len(where) >= NAME_REPOS)
+        x = Dense(2 * n, WIDTH)
+        for i, (_, path, text, head) in enumerate(data):
+            x.put(i, *features(text, head, path, self.known))
+            x.put(n + i, *blind_features(text, head, self.known))
+        weight = np.zeros(2 * n)  # held-out rows have none
+        weight[:n][~held] = balanced(y[~held])
+        weight[n:] = MASKED_WEIGHT * weight[:n]
+        self.w, self.b = support_vectors(x, np.concatenate([y, y]), weight, l2=1e-4, steps=200)
+        z = x.dot(self.w) + self.b
+        self.slope, self.offset = platt(z[:n][held], y[held])
+        hit = self.slope * z + self.offset >= math.log(THRESHOLD / (1 - THRESHOLD))
+        self.report = {"held_out": float(held.sum()), "accuracy": float((hit[:n][held] == (y[held] > 0)).mean())}
+        for why in ("foreign", "generated", "minified", "data"):
+            mine = held & np.array([w == why for _, w in labels])
+            if mine.any():
+                self.report[f"recall {why}"], self.report[f"masked recall {why}"] = float(hit[:n][mine].mean()), float(hit[n:][mine].mean())
 
     def score(self, text: str | None, path: str | None) -> float:
         if not text or not text.strip():
@@ -203,7 +223,7 @@ class Model:
         h, path = header_of(text), path or ""
         if not self.fitted:
             return float(weak_label(text, h, path)[0])
-        cols, vals = features(text, h, path, False)
+        cols, vals = features(text, h, path, self.known)
         z = float(np.dot(self.w[cols], vals)) + self.b
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30))))
 

@@ -7,7 +7,7 @@ def test_header_runs_to_the_end_of_the_leading_comment():
     for lines in (["#" + x for x in licence] + ["# Code generated by gen"], ["/*", *licence, "Code generated by gen", "*/"]):
         header = H.header_of("\n".join([*lines, "x = 1", "# not the header"]))
         assert "generated by gen" in header and "not the header" not in header
-        assert "h:generated" in H.giveaways(header, "a/b.py")
+        assert "h:generated" in H.names_of(header, "a/b.py")
     assert H.header_of("x = 1\n" * 30 + "# generated by x") == ""
 
 

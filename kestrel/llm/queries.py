@@ -126,6 +126,11 @@ def p7_report(spark, d):
     return batches.report(_chunks(spark, d), table(spark, d, "embed_models"))
 
 
+@query("p7_totals", batches.TOTALS_SQL)
+def p7_totals(spark, d):
+    return batches.totals(_chunks(spark, d), table(spark, d, "embed_models"))
+
+
 @query("p7_buckets_alone")
 def p7_buckets_alone(spark, d):
     return batches.report(_chunks(spark, d), table(spark, d, "embed_models"), top_up=False)

@@ -1,23 +1,34 @@
 """Mixing sources to target shares of tokens.
 
-1. *Membership.*  A document whose source (without case and blanks) is in the
-   target table belongs to it; for any other a classifier trained on a sample
-   of at most SAMPLE labelled documents gives a posterior over the sources,
-   rounded to sixteenths.
-2. *Rates.*  Documents with the same membership and limit have the same
-   gradient, so their tokens are added up first; projected gradient descent on
-   these totals finds rates in [0, limit] whose expected tokens per source
-   meet the targets in the least squares sense, for the largest total that
-   allows it.
-3. *Draw.*  A rate's whole part is given to every document of its group; the
-   rest to documents in hash order until their tokens reach it, so a source
-   misses its target by one document at most.  Running totals are counted in
-   hash slices, never in one task.
+1. *Membership.*  A classifier fitted on a sample of at most SAMPLE labelled
+   documents gives every document likelihoods of the sources.  The document's
+   own source, where the target table has it (without case and blanks), is
+   further evidence: it is taken to be right with probability LABEL_TRUST.  The
+   product, normalised, is the document's posterior; every document belongs to
+   all sources, one without a usable source by its text alone.
+2. *Rates.*  Projected gradient descent finds a rate in [0, limit] for every
+   document, so that the expected tokens per source meet the targets in the
+   least squares sense.  A step needs one sum per source, which the cluster
+   adds up over all documents; a rate is the outcome of the steps so far, so
+   tasks compute it from the document's own posterior and the list of steps
+   (as many small vectors as there were steps), and nothing is kept in between.
+   The steps are scaled by the sources' second moments, also added up in the
+   cluster.
+3. *Draw.*  A rate's whole part is given to the document.  For the rest, a
+   source's documents are put in the order of a hash divided by that rest, and
+   get one more until their tokens reach what is due to all of them together,
+   so that a source misses its expected tokens by half a document at most.
+   Running sums are taken in slices of that order, whose number grows with the
+   documents, never in one task.
+
+The largest total for which targets and limits agree is aimed at.  Where rates
+can't meet the targets (a source without documents, say), ``shares`` says so in
+``met``.
 
 Defined results: null texts have no tokens and are not drawn, nor are
 documents of a source without a target share; a null or unknown source is
-judged by the classifier and may be used once; repeated rows (same doc_id)
-count once; empty tables give empty results; extra columns are ignored.
+judged by the text and may be used once; repeated rows (same doc_id) count
+once; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +44,19 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.linear import Sparse, balanced, bucket, logistic
 from kestrel.functions.sampling import smallest_hashes
-from kestrel.session import materialized, spread, text_batches
+from kestrel.session import by_bytes, materialized, spread, text_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer's vocabulary wants text cut.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAMPLE = 6_000
 BITS = 13
-STEPS = 16
-SLICES = 1024
+#: How far a document's own source is believed; the rest goes to the other sources by the text.
+LABEL_TRUST = 0.9995
+#: Steps of the descent, at most, and the miss (as a share of all tokens) at which it ends.
+STEPS, TOLERANCE = 40, 1e-6
+#: Documents of a source that one task puts in order, about; with fewer than SLICES times as many, SLICES tasks share them.
+ORDERED_TOGETHER, SLICES = 500_000, 64
 _WORD = re.compile(r"\w+|[^\w\s]|\n")
 
 
@@ -55,20 +70,33 @@ def encoder(path: str):
     return tiktoken.Encoding("kestrel", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_PLACES: dict[str, int] = {}
+_PLACES_MAX = 300_000
+
+
+def _place(w: str) -> int:
+    k = _PLACES.get(w)
+    if k is None:
+        k = bucket(w.lower(), BITS)
+        if len(_PLACES) < _PLACES_MAX:
+            _PLACES[w] = k
+    return k
+
+
 def _words(text: str) -> tuple[list[int], list[float]]:
-    seen = {bucket(w.lower(), BITS) for w in _WORD.findall(text)}
+    seen = {_place(w) for w in set(_WORD.findall(text))}
     seen.add(bucket(f"n:{len(text) // 300}", BITS))
     at = sorted(seen)
     return at, [1.0 / len(at) ** 0.5] * len(at)
 
 
 class Classifier:
-    """One logistic regression per source; posteriors are the normalised probabilities."""
+    """One logistic regression per source, fitted on the labelled table."""
 
     def __init__(self, rows: list[tuple[str, str]], sources: list[str]):
         """rows: source, text."""
         self.sources = sources
-        self.parts = []
+        self.weights, self.bias = np.zeros((1 << BITS, len(sources))), np.zeros(len(sources))
         self.accuracy = None
         if not rows:
             return
@@ -78,41 +106,34 @@ class Classifier:
         x, z = Sparse([f for f, h in zip(feats, test) if not h], 1 << BITS), Sparse([f for f, h in zip(feats, test) if h], 1 << BITS)
         for k in range(len(sources)):
             t = (y[~test] == k).astype(float)
-            self.parts.append(logistic(x, t, balanced(t), steps=120, rate=0.1))
+            self.weights[:, k], self.bias[k] = logistic(x, t, balanced(t), steps=120, rate=0.1)
         if test.any():
-            scores = np.stack([z.dot(w) + b for w, b in self.parts])
+            scores = np.stack([z.dot(self.weights[:, k]) + self.bias[k] for k in range(len(sources))])
             self.accuracy = float((scores.argmax(axis=0) == y[test]).mean())
 
-    def posterior(self, text: str) -> np.ndarray:
-        """Sixteenths per source; they sum to STEPS."""
-        k = len(self.sources)
-        if not self.parts:
-            p = np.full(k, 1 / k)
-        else:
-            at, v = _words(text)
-            z = np.array([float(np.dot(w[at], v)) + b for w, b in self.parts])
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            p /= p.sum()
-        out = np.floor(p * STEPS).astype(int)
-        for j in np.argsort(-(p * STEPS - out), kind="stable")[: STEPS - out.sum()]:
-            out[j] += 1
-        return out
+    def posterior(self, text: str, source: str | None = None) -> np.ndarray:
+        """Probability of each source, from the text and, where it is one of them, the document's own."""
+        at, v = _words(text)
+        z = np.asarray(v) @ self.weights[at] + self.bias
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = np.maximum(p, 1e-6)
+        if source in self.sources and len(p) > 1:
+            p = p * np.where(np.array(self.sources) == source, LABEL_TRUST, (1 - LABEL_TRUST) / (len(p) - 1))
+        return p / p.sum()
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64()), ("member", pa.string())])
-_SCHEMA = "doc_id bigint, source string, tokens bigint, member string"
+_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64()), ("member", pa.list_(pa.float64()))])
+_SCHEMA = "doc_id bigint, source string, tokens bigint, member array<double>"
 
 
 def _measure(batches, model, tokenizer):
     m: Classifier = model.value
     enc = encoder(tokenizer)
-    known = {s: k for k, s in enumerate(m.sources)}
-    one_hot = {s: ",".join(str(STEPS * (j == k)) for j in range(len(m.sources))) for s, k in known.items()}
-    for b in batches:
-        ids, sources, texts = (b.column(n).to_pylist() for n in ("doc_id", "source", "text"))
+    for b in by_bytes(batches):
+        sources, texts = (b.column(n).to_pylist() for n in ("source", "text"))
         tokens = [len(t) for t in enc.encode_ordinary_batch(texts, num_threads=1)]
-        member = [one_hot[s] if s in known else ",".join(map(str, m.posterior(t))) for s, t in zip(sources, texts)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(tokens, pa.int64()), pa.array(member)], schema=_OUT)
+        member = [m.posterior(t, s) for s, t in zip(sources, texts)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(tokens, pa.int64()), pa.array(member, _OUT.field("member").type)], schema=_OUT)
 
 
 def fit(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> Classifier:
@@ -121,79 +142,144 @@ def fit(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> Class
     return Classifier([once[i] for i in sorted(once)], sources)
 
 
-def measured(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE) -> tuple[DataFrame, list[tuple[str, float, int]]]:
-    """Documents with tokens and membership, and the target table's rows."""
+Goal = list[tuple[str, float, int]]
+
+
+def measured(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE) -> tuple[DataFrame, Goal]:
+    """Documents with tokens and posteriors, and the target table's rows (source, share, limit)."""
     spark = documents.sparkSession
     text_batches(spark)
     goal = sorted((r.source.strip().lower(), r.target_share, r.max_repeats) for r in targets.dropDuplicates(["source"]).collect() if r.source and r.target_share and r.target_share > 0)
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
     if not goal:
-        return docs.select("doc_id", "source", F.lit(0).cast("bigint").alias("tokens"), F.lit("").alias("member")).where("false"), goal
+        return docs.select("doc_id", "source", F.lit(0).cast("bigint").alias("tokens"), F.array().cast("array<double>").alias("member")).where("false"), goal
     model = spark.sparkContext.broadcast(fit(docs, [g[0] for g in goal], sample))
     one = spread(docs).mapInArrow(partial(_measure, model=model, tokenizer=tokenizer), _SCHEMA).dropDuplicates(["doc_id"])
     return materialized(one, "tokens"), goal
 
 
-def rates(member: np.ndarray, tokens: np.ndarray, limit: np.ndarray, share: np.ndarray, steps: int = 4000) -> tuple[np.ndarray, float]:
-    """Rates per group, and the total they aim at: projected gradient descent on the least squares distance to the targets.
+# -- rates --------------------------------------------------------------
+class Descent:
+    """The steps of a projected gradient descent; a document's rate follows from them and its own posterior."""
+
+    def __init__(self, goal: Goal):
+        self.limits = {s: float(n) for s, _, n in goal}
+        self.start = 0.0
+        self.steps: list[np.ndarray] = []
+
+    def rates(self, member: np.ndarray, sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(rate, limit) of documents: every step goes against the gradient, then back into [0, limit]."""
+        limit = np.array([self.limits.get(s, 1.0) for s in sources])
+        r = np.minimum(self.start, 1.0) * limit
+        for step in self.steps:
+            r = np.clip(r - member @ step, 0.0, limit)
+        return r, limit
+
+
+def _columns(b):
+    k = len(b.column("member"))
+    member = b.column("member").flatten().to_numpy(zero_copy_only=False).reshape(k, -1) if k else np.zeros((0, 1))
+    return member, b.column("tokens").to_numpy(zero_copy_only=False).astype(float), b.column("source").to_pylist()
+
 
-    member: groups x sources, rows sum to one; tokens, limit: per group.
-    """
-    weight = member * tokens[:, None]
-    have = weight.sum(axis=0)
+def _sums(batches, descent, width):
+    """Partial sums of one step: expected tokens drawn and at the limit per source, and the sources' second moments over documents that can still move."""
+    drawn, most, moments = np.zeros(width), np.zeros(width), np.zeros((width, width))
+    for b in batches:
+        member, tokens, sources = _columns(b)
+        r, limit = descent.rates(member, sources)
+        weight = member * tokens[:, None]
+        drawn += r @ weight
+        most += limit @ weight
+        moments += weight.T @ member
+    yield pa.RecordBatch.from_pydict({"sums": [np.concatenate([drawn, most, moments.ravel()])]}, pa.schema([("sums", pa.list_(pa.float64()))]))
+
+
+def _added(docs: DataFrame, descent: Descent, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(drawn, most, moments) over all documents: one small vector per partition, added up in the cluster by place."""
+    part = docs.mapInArrow(partial(_sums, descent=descent, width=width), "sums array<double>")
+    rows = part.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # width * (width + 2) rows
+    s = np.zeros(width * (width + 2))
+    for r in rows:
+        s[r.k] = r.x
+    return s[:width], s[width : 2 * width], s[2 * width :].reshape(width, width)
+
+
+def descend(docs: DataFrame, goal: Goal) -> tuple[Descent, bool]:
+    """The descent for the largest total that targets and limits allow, and whether it met the targets."""
+    width = len(goal)
+    share = np.array([g[1] for g in goal])
     share = share / share.sum()
-    total = float(np.min((weight * limit[:, None]).sum(axis=0) / share)) if len(tokens) else 0.0
-    for _ in range(60):
-        goal = share * total
-        r = np.minimum(limit, total / max(1.0, (weight * limit[:, None]).sum()) * limit)
-        for _ in range(steps):
-            miss = (r @ weight - goal) / np.maximum(have, 1e-9)
-            if np.abs(r @ weight - goal).max() <= 1e-9 * max(total, 1.0):
-                break
-            r = np.clip(r - 0.9 * member @ miss, 0, limit)
-        if np.abs(r @ weight - goal).max() <= 1e-4 * max(total, 1.0):
-            return r, total
-        total *= 0.97
-    return r, total
+    d = Descent(goal)
+    _, most, moments = _added(docs, d, width)
+    if not most.sum():
+        return d, False
+    reach = most / share
+    there = reach > 0.01 * np.median(reach)  # the others have hardly a document: what is left of them is not met
+    total = float(reach[there].min())
+    want = np.where(there, share, 0.0)
+    scale = np.linalg.pinv(moments + 1e-9 * np.trace(moments) * np.eye(width))
+    d.start = total / most.sum()
+    last = np.inf
+    for _ in range(STEPS):
+        drawn, _, _ = _added(docs, d, width)
+        worst = np.abs(drawn - want * total)[there].max() / total
+        if worst <= TOLERANCE:
+            return d, bool(there.all())
+        if worst > 0.7 * last:  # limits stand in the way: the total comes down to what was reached
+            total *= min(1.0, float((drawn[there] / (want[there] * total)).min()))
+        last = worst
+        d.steps.append(scale @ np.where(there, drawn - want * total, 0.0))
+    return d, False
+
+
+_RATED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64()), ("grp", pa.int32()), ("whole", pa.int32()), ("part", pa.float64())])
+_RATED_SCHEMA = "doc_id bigint, source string, tokens bigint, grp int, whole int, part double"
+
+
+def _rate(batches, descent):
+    names = {s: k for k, s in enumerate(descent.limits)}
+    for b in batches:
+        member, _, sources = _columns(b)
+        r, _ = descent.rates(member, sources)
+        whole = np.floor(r + 1e-9)
+        part = np.where(r - whole > 1e-9, r - whole, 0.0)
+        # documents that stand for the same source: by their own, else by the likeliest
+        grp = np.array([names.get(s, len(names) + k) for s, k in zip(sources, member.argmax(axis=1).tolist())], np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("tokens"), pa.array(grp), pa.array(whole.astype(np.int32)), pa.array(part)], schema=_RATED)
 
 
 def draw(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, tokens, repeats) of every document that is used."""
+    return _drawn(documents, targets, tokenizer, sample)[0]
+
+
+def _drawn(documents: DataFrame, targets: DataFrame, tokenizer: str, sample: int) -> tuple[DataFrame, bool]:
     docs, goal = measured(documents, targets, tokenizer, sample)
     if not goal:
-        return docs.select("doc_id", "source", "tokens", F.lit(0).alias("repeats"))
-    limits = {s: n for s, _, n in goal}
-    # as many groups as sources, and those that sixteenths of a posterior can tell apart
-    groups = [(r.source, r.member, r.t) for r in docs.groupBy("source", "member").agg(F.sum("tokens").alias("t")).toLocalIterator()]
-    groups.sort(key=lambda g: (g[0] or "", g[1]))
-    member = np.array([[int(x) / STEPS for x in g[1].split(",")] for g in groups]).reshape(-1, len(goal))
-    limit = np.array([float(limits.get(g[0], 1)) for g in groups])
-    r, _ = rates(member, np.array([float(g[2]) for g in groups]), limit, np.array([g[1] for g in goal]))
-    spark = documents.sparkSession
-    table = spark.createDataFrame(
-        [(s, m, int(x + 1e-9), float(max(0.0, x - int(x + 1e-9)) * t)) for (s, m, t), x in zip(groups, r.tolist())], "source string, member string, whole int, extra double"
-    )
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 54).cast("int")  # SLICES slices of the hash order
-    d = docs.join(table, docs["member"].eqNullSafe(table["member"]) & docs["source"].eqNullSafe(table["source"])).select(
-        "doc_id", docs["source"], docs["member"], "tokens", "whole", "extra", cell.alias("cell"), F.xxhash64("doc_id").alias("h")
-    )
-    per = d.groupBy("source", "member", "cell").agg(F.sum("tokens").alias("t"))
-    before = per.select("source", "member", "cell", (F.sum("t").over(Window.partitionBy("source", "member").orderBy("cell")) - F.col("t")).alias("before"))
-    w = Window.partitionBy("source", "member", "cell").orderBy("h", "doc_id")
-    e = d.withColumn("upto", F.sum("tokens").over(w)).alias("d")
-    at = e.join(before.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.member") == F.col("b.member")) & (F.col("d.cell") == F.col("b.cell")))
-    n = F.col("whole") + F.when(F.col("before") + F.col("upto") - F.col("tokens") / 2 <= F.col("extra"), 1).otherwise(0)
-    return at.select("d.doc_id", "d.source", "d.tokens", n.cast("int").alias("repeats")).where("repeats > 0")
+        return docs.select("doc_id", "source", "tokens", F.lit(0).alias("repeats")), False
+    descent, met = descend(docs, goal)
+    rated = materialized(docs.mapInArrow(partial(_rate, descent=descent), _RATED_SCHEMA), "rates")
+    slices = max(SLICES, rated.count() // ORDERED_TOGETHER)
+    place = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) / F.col("part")  # a likely document comes early
+    d = rated.where("part > 0").withColumn("place", place).withColumn("cell", F.floor(F.col("place") / (1 + F.col("place")) * slices))
+    per = d.groupBy("grp", "cell").agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("part")).alias("x"))
+    every = Window.partitionBy("grp")  # a row per slice
+    before = per.select("grp", "cell", (F.sum("t").over(every.orderBy("cell")) - F.col("t")).alias("before"), F.sum("x").over(every).alias("due"))
+    e = d.withColumn("upto", F.sum("tokens").over(Window.partitionBy("grp", "cell").orderBy("place", "doc_id"))).join(before, ["grp", "cell"])
+    more = (F.col("before") + F.col("upto") - F.col("tokens") / 2 <= F.col("due")).cast("int")
+    used = e.select("doc_id", "source", "tokens", (F.col("whole") + more).alias("repeats")).unionByName(rated.where("part = 0").select("doc_id", "source", "tokens", F.col("whole").alias("repeats")))
+    return used.where("repeats > 0"), met
 
 
 def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE) -> DataFrame:
-    """Per source: its target, and what the draw reached."""
-    used = draw(documents, targets, tokenizer, sample)
+    """Per source: its target, what the draw reached, and whether the rates could meet all targets."""
+    used, met = _drawn(documents, targets, tokenizer, sample)
     per = used.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_drawn"), F.max("repeats").alias("most_used"))
     t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
     all_ = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(0)))  # over one row per source
     return (
         t.join(per, "source", "full").withColumn("all", all_)
         .select("source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"),
-                F.coalesce("most_used", F.lit(0)).alias("most_used"), F.round(F.coalesce("tokens_drawn", F.lit(0)) / F.col("all"), 6).alias("actual_share"))
+                F.coalesce("most_used", F.lit(0)).alias("most_used"), F.round(F.coalesce("tokens_drawn", F.lit(0)) / F.col("all"), 6).alias("actual_share"), F.lit(met).alias("met"))
     )

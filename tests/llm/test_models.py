@@ -167,3 +167,48 @@ def test_mixing(spark):
     drawn = mixing.draw(docs, targets).collect()
     assert len({r.doc_id for r in drawn}) == len(drawn)
     assert mixing.draw(docs.where("false"), targets).count() == 0 and mixing.draw(docs, targets.where("false")).count() == 0
+
+
+def test_membership_is_soft_and_rates_follow_it(spark):
+    import numpy as np
+
+    rng = random.Random(7)
+    text = lambda s: " ".join(f"{s}{rng.randrange(30)}" if rng.random() < 0.6 else f"shared{rng.randrange(40)}" for _ in range(rng.randint(20, 60)))
+    true = {i: ("wiki", "issue", "chat")[0 if i % 9 < 5 else 1 if i % 9 < 8 else 2] for i in range(1200)}
+    docs = spark.createDataFrame([(i, text(s), None if i % 2 else s) for i, s in true.items()], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("wiki", 0.4, 1), ("issue", 0.4, 1), ("chat", 0.2, 2)], "source string, target_share double, max_repeats int")
+    table, goal = mixing.measured(docs, targets)
+    rows = {r.doc_id: r for r in table.collect()}
+    member = np.array([rows[i].member for i in rows])
+    assert np.allclose(member.sum(axis=1), 1) and (member > 0).all() and len({tuple(m) for m in member.round(12).tolist()}) > 1000  # no groups of alike documents
+    d, met = mixing.descend(table, goal)
+    rates, limit = d.rates(member, [rows[i].source for i in rows])
+    tokens = np.array([rows[i].tokens for i in rows])
+    got = (rates * tokens) @ member
+    assert met and (rates >= 0).all() and (rates <= limit).all() and np.allclose(got / got.sum(), [g[1] for g in goal], atol=1e-4)
+    drawn = mixing.draw(docs, targets).collect()
+    by = {s: sum(r.tokens * r.repeats for r in drawn if true[r.doc_id] == s) for s in ("wiki", "issue", "chat")}
+    assert all(abs(by[s] / sum(by.values()) - x) < 0.03 for s, x in (("wiki", 0.4), ("issue", 0.4), ("chat", 0.2)))
+    assert any(r.source is None for r in drawn)
+
+
+def test_sums_of_a_step_are_added_over_all_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    member = rng.dirichlet([1, 1, 1], 400)
+    rows = [(i, ["a", "b", None][i % 3], int(rng.integers(1, 90)), m.tolist()) for i, m in enumerate(member)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, member array<double>").repartition(7)
+    d = mixing.Descent([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 4)])
+    d.start, d.steps = 0.4, [np.array([0.1, -0.2, 0.3]), np.array([-0.5, 0.2, 0.0])]
+    drawn, most, moments = mixing._added(df, d, 3)
+    r, limit = d.rates(member, [x[1] for x in rows])
+    w = member * np.array([x[2] for x in rows])[:, None]
+    assert np.allclose(drawn, r @ w) and np.allclose(most, limit @ w) and np.allclose(moments, w.T @ member)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} of a wiki page", "wiki") for i in range(50)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("wiki", 0.5, 1), ("chat", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.shares(docs, targets).collect()}
+    assert not got["wiki"].met and got["chat"].n_documents == 0

@@ -1,15 +1,21 @@
 """Texts that were cut off.
 
-1. *Word statistics.*  Over all documents: how often each word occurs, and how
-   often it stands at the end of a sentence or line.
+1. *Ends.*  What a text's end looks like (mark of omission, form and marks of
+   the last line, last words), read from the whole text; nothing else of a text
+   goes on.
 2. *Limits.*  Per source, lengths at which far more texts end than at the
    lengths around them.
-3. *Training.*  A sample of at most SAMPLE documents: texts that end as whole
-   texts do are negatives, the same texts cut at random places (a third of
-   them with a mark of omission) are positives.  Hashed logistic regression on
-   closing characters, punctuation, the form of the last line, the last words'
+3. *Word statistics.*  Over all documents: how often each closing word occurs,
+   how often it stands at the end of a sentence, and the most frequent longer
+   word that begins with it.  Words and their beginnings are counted by hashes
+   made in one pass over the distinct words, whatever their length.
+4. *Training.*  A sample of at most SAMPLE documents: texts that end as whole
+   texts do are negatives, some of them with a mark of omission in place of
+   their last full stop; the same texts cut at pseudo-random places, some with
+   such a mark, are positives.  Hashed logistic regression on closing
+   characters, punctuation, the form of the last line, the last words'
    statistics and whether the length is the source's limit.
-4. *Scoring.*  Every document; cut if the calibrated probability is at least
+5. *Scoring.*  Every document; cut if the calibrated probability is at least
    THRESHOLD.
 
 Defined results: null and empty texts are whole; sources are compared without
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.linear import Sparse, balanced, bucket, logistic, platt
 from kestrel.functions.sampling import smallest_hashes
-from kestrel.session import materialized, spread, text_batches
+from kestrel.session import by_bytes, materialized, release, spread, text_batches
 
 #: Documents the model is fitted on, at most; the first by a hash of their id.
 SAMPLE = 12_000
@@ -89,46 +96,70 @@ def form_of(text: str) -> tuple[str, str, str, str, str]:
     return mark, form, close, word, before[1].lower() if before else ""
 
 
-def features(text: str, source: str, at_limit: bool, seen: int, ends: int, longer: int) -> list[str]:
-    """Feature names of a text's end; ``seen`` and ``ends`` are the last word's statistics."""
+class End(NamedTuple):
+    """What a text's end looks like."""
+
+    mark: str
+    form: str
+    close: str
+    word: str
+    before: str
+    odd: str
+    words: int
+    head: str
+    first: str
+    blank: int
+
+
+def end_of(text: str) -> End:
     mark, form, close, word, before = form_of(text)
     e = text.rstrip()
     if mark:
         e = _MARK.sub("", e).rstrip()
     at = e.rfind("\n")
     last = e[at + 1 :]
+    odd = f"{last.count('`') % 2}{last.count(chr(34)) % 2}{int(last.count('(') > last.count(')'))}"
+    head = e[: at if at > 0 else 0].rstrip().rsplit("\n", 1)[-1]
+    return End(
+        mark, form, close, word, before, odd, len(last.split()), head if len(head) < 14 else "", last.split(" ", 1)[0] if form in ("trailer", "short") else "", int(at > 0 and e[:at].endswith("\n")),
+    )
+
+
+def features(end: End, source: str, at_limit: bool, seen: int, ends: int, longer: int) -> list[str]:
+    """Feature names of a text's end; ``seen``, ``ends`` and ``longer`` are the last word's statistics."""
+    mark, form, close, word, before, odd, words, head, first, blank = end
     rate = "-" if not word else "n" if seen < 3 else str(min(4, int(5 * ends / max(1, seen) + 0.999)))
     freq = "-" if not word else str(min(4, int(np.log2(seen + 1) / 2)))
-    odd = f"{last.count('`') % 2}{last.count(chr(34)) % 2}{int(last.count('(') > last.count(')'))}"
     more = "-" if not word else str(min(5, int(np.log2((longer + 1) / (seen + 1) + 1))))
     lim = "L" if at_limit else "l"
-    head = e[: at if at > 0 else 0].rstrip().rsplit("\n", 1)[-1]
-    blank = int(e[:at].endswith("\n")) if at > 0 else 0
-    n = str(min(6, len(last.split())))
     open_ = "o" if close in "a0A,`" else "c"
-    f = [
+    n = str(min(6, words))
+    return [
         f"fc:{form}:{close}:{mark}", f"fcl:{form}:{close}:{lim}", f"sfc:{source}:{form}:{close}", f"odd:{odd}:{close}", f"odf:{odd}:{form}", f"l:{lim}:{open_}",
         f"r:{form}:{rate}:{mark}", f"fr:{form}:{freq}:{mark}", f"rf:{rate}:{freq}:{close}", f"w:{word}:{mark}", f"wf:{form}:{word}", f"b:{before}:{word}", f"n:{form}:{n}:{close}",
-        f"h:{head[:12] if len(head) < 14 else ''}:{form}", f"fw:{last.split(' ', 1)[0][:14] if form in ('trailer', 'short') else ''}:{form}", f"k:{form}:{blank}:{close}", f"m:{mark}:{close}:{rate}",
-        f"x:{form}:{more}:{freq}", f"xl:{more}:{lim}:{close}", f"xn:{form}:{n}:{more}:{rate}",
+        f"h:{head}:{form}", f"fw:{first}:{form}", f"k:{form}:{blank}:{close}", f"m:{mark}:{close}:{rate}", f"x:{form}:{more}:{freq}", f"xl:{more}:{lim}:{close}", f"xn:{form}:{n}:{more}:{rate}",
     ]
-    return f
 
 
 def _places(names: list[str]) -> list[int]:
     return [bucket(x, BITS) for x in names]
 
 
-def looks_whole(text: str, at_limit: bool) -> bool:
+def looks_whole(end: End, at_limit: bool) -> bool:
     """Whether a sampled text may serve as a negative: nothing about its end speaks of a cut."""
-    mark, form, close, *_ = form_of(text)
-    if mark:
-        return True  # decided by how often its last words stand before a mark
-    if form == "infence":
+    if end.mark or end.form == "infence":
         return False
-    if close in "a0A`,;-" and form in ("text", "single") and not (close == "`" and form == "single"):
+    loose = end.close in "a0A`,;-"
+    if loose and end.form in ("text", "single") and not (end.close == "`" and end.form == "single"):
         return False
-    return not (at_limit and close in "a0A`,;-")
+    return not (at_limit and loose)
+
+
+def trailing(text: str, seed: int) -> str | None:
+    """The whole text with a mark of omission in place of its last full stop, as if its writer let it trail off; None where it has none or the seed says so."""
+    e = text.rstrip()
+    k = xxhash.xxh64_intdigest(e, seed) % 6
+    return e[:-1] + ("..." if k else "…") if k < 2 and len(e) > 20 and e[-1] in ".!?" and e[-2].isalnum() else None
 
 
 def cut(text: str, seed: int) -> str | None:
@@ -148,70 +179,128 @@ def cut(text: str, seed: int) -> str | None:
 
 
 # -- statistics over all documents ---------------------------------------
-_WORD_END = r"[\p{L}\p{N}]+[.!?]?"
+_WORD_END = r"[\p{L}\p{N}]+[.!?…]?"
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def beginnings(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whose) of every beginning of every word, the whole word last: one number per character, made in one pass."""
+    lens = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(lens) - lens
+    whose = np.repeat(np.arange(len(words)), lens)
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    at = np.arange(len(chars)) - starts[whose]
+    power = np.full(int(lens.max(initial=1)), _BASE, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    v = chars * power[at]
+    c = np.cumsum(v, dtype=np.uint64)
+    h = c - (c[starts] - v[starts])[whose] if len(words) and len(chars) else c
+    h ^= h >> np.uint64(31)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29)), whose
+
+
+def word_hash(word: str) -> int:
+    """The hash of a word as it stands among ``beginnings``; 0 for none."""
+    return int(beginnings([word])[0][-1].astype(np.int64)) if word else 0
+
+
+_STAT = pa.schema([("h", pa.int64()), ("seen", pa.int64()), ("ends", pa.int64()), ("longer", pa.int64())])
+STAT_SCHEMA = "h bigint, seen bigint, ends bigint, longer bigint"
 
 
-def word_statistics(docs: DataFrame) -> DataFrame:
-    """(word, seen, ends, longer) over all documents: occurrences, those that close a sentence, and the most frequent longer word that begins so."""
+def _stat_batches(batches):
+    """Per distinct word its counts under its own hash, and under the hashes of its beginnings its count as that of a longer word."""
+    for b in batches:
+        words = b.column("word").to_pylist()
+        if not words:
+            continue
+        seen, ends = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("seen", "ends"))
+        h, whose = beginnings(words)
+        last = np.append(whose[1:] != whose[:-1], True)
+        own, more = h[last].astype(np.int64), h[~last].astype(np.int64)
+        order = np.lexsort((-seen[whose[~last]], more))  # of each beginning the most frequent word of this batch goes on
+        more, count = more[order], seen[whose[~last]][order]
+        first = np.append(True, more[1:] != more[:-1]) if len(more) else np.empty(0, bool)
+        zero = np.zeros(int(first.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(x)) for x in ((own, more[first]), (seen, zero), (ends, zero), (np.zeros(len(own), np.int64), count[first]))], schema=_STAT
+        )
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, seen, ends) of every word, ``ends`` where a sentence ends with it; texts are read once, counts are made before the shuffle."""
     w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD_END), F.lit(0))).alias("t"))
+    ended = F.col("t").rlike("[.!?…]$")
     one = w.groupBy("t").agg(F.count("*").alias("n"))
-    ended = F.col("t").rlike("[.!?]$")
-    words = one.select(F.regexp_replace("t", "[.!?]$", "").alias("word"), "n", ended.alias("e")).groupBy("word").agg(
+    return one.select(F.regexp_replace("t", "[.!?…]$", "").alias("word"), "n", ended.alias("e")).groupBy("word").agg(
         F.sum("n").alias("seen"), F.sum(F.when(F.col("e"), F.col("n")).otherwise(0)).alias("ends")
     )
-    whole = words.where((F.col("seen") >= 5) & (F.length("word") <= 40))
-    starts = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), lambda n: F.substring("word", F.lit(1), n))).alias("word"), "seen")
-    longer = starts.where("length(word) > 0").groupBy("word").agg(F.max("seen").alias("longer"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return words.join(longer, "word", "full").select("word", zero("seen"), zero("ends"), zero("longer"))
+
+
+def word_statistics(counts: DataFrame) -> DataFrame:
+    """(h, seen, ends, longer) by the hashes of words and their beginnings."""
+    return counts.mapInArrow(_stat_batches, STAT_SCHEMA).groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"), F.max("longer").alias("longer"))
 
 
 def limits(docs: DataFrame) -> DataFrame:
-    """(source, at): lengths at which at least five texts and five times the mean of the lengths around them end."""
-    n = docs.select(normal_source(F.col("source")).alias("source"), F.length("text").alias("at")).groupBy("source", "at").agg(F.count("*").alias("n"))
+    """(s, at, at_limit): lengths at which at least five texts and five times the mean of the lengths around them end."""
+    n = docs.select(F.coalesce(normal_source(F.col("source")), F.lit("")).alias("source"), F.length("text").cast("bigint").alias("at")).groupBy("source", "at").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("at").rangeBetween(-15, 15)
     around = n.withColumn("around", (F.sum("n").over(w) - F.col("n")) / 30)
-    return around.where((F.col("n") >= 5) & (F.col("n") >= 5 * F.col("around")) & (F.col("at") > 60)).select("source", "at")
-
+    return around.where((F.col("n") >= 5) & (F.col("n") >= 5 * F.col("around")) & (F.col("at") > 60)).select(F.col("source").alias("s"), "at", F.lit(True).alias("at_limit"))
 
-_END = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("source", pa.string()), ("text", pa.string()), ("at_limit", pa.bool_()), ("word", pa.string())])
-END_SCHEMA = "key bigint, label int, source string, text string, at_limit boolean, word string"
-#: Only the end of a text goes on; fences are counted before.
-TAIL = 400
 
-
-def _tail(text: str) -> str:
-    e = text.rstrip()
-    if len(e) <= TAIL:
-        return e
-    t = e[-TAIL:]
-    if e.count("```") % 2 != t.count("```") % 2:
-        t = "```\n" + t[t.find("\n") + 1 if "\n" in t[:200] else 0 :]
-    return t
+_FIELDS = [("key", pa.int64()), ("label", pa.int32()), ("nth", pa.int32()), ("source", pa.string()), ("at", pa.int64()), ("h", pa.int64())]
+_KINDS = {"words": pa.int32(), "blank": pa.int32()}
+_END = pa.schema([*_FIELDS, *((n, _KINDS.get(n, pa.string())) for n in End._fields)])
+END_SCHEMA = "key bigint, label int, nth int, source string, at bigint, h bigint, " + ", ".join(f"{n} {'int' if n in _KINDS else 'string'}" for n in End._fields)
 
 
 def _ends(batches, training):
-    for b in batches:
+    """Ends of texts: label -1 to be judged; in training 0 the text as it is, 2 as it is with a mark for its full stop, 1 cut."""
+    for b in by_bytes(batches):
         rows = []
-        for k, s, t, lim in zip(*(b.column(n).to_pylist() for n in ("doc_id", "source", "text", "at_limit"))):
-            s = s or ""
+        for k, s, t in zip(*(b.column(n).to_pylist() for n in ("doc_id", "source", "text"))):
             if not t or not t.strip():
                 continue
-            if not training:
-                rows.append((k, -1, s, _tail(t), lim, form_of(t)[3]))
-                continue
-            if looks_whole(t, lim):
-                rows.append((k, 0, s, _tail(t), lim, form_of(t)[3]))
-                for n in range(CUTS):
-                    c = cut(t, n)
-                    if c is not None:
-                        # cuts at a limit are as frequent among positives as limits are among texts that end there
-                        rows.append((k, 1, s, _tail(c), bool(lim or n == 0 and k % 2 == 0), form_of(c)[3]))
+            made = [(-1, 0, t)]
+            if training:
+                made = [(0, 0, t), (2, 0, trailing(t, 5)), *((1, n, cut(t, n)) for n in range(CUTS))]
+            for label, n, x in made:
+                if x is not None:
+                    e = end_of(x)
+                    rows.append((k, label, n, s, len(t), word_hash(e.word), *e))
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _END.types[n]) for n in range(len(_END.names))], schema=_END)
 
 
-def _with_words(ends: DataFrame, words: DataFrame) -> DataFrame:
-    return ends.join(words, "word", "left").select("key", "label", "source", "text", "at_limit", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("longer", F.lit(0)).alias("longer"))
+#: A word that closes more than one text in so many is joined apart; there are fewer than so many such words.
+HOT = 1_000
+
+
+def _with_statistics(ends: DataFrame, statistics: DataFrame, lim: DataFrame) -> DataFrame:
+    """Ends with their closing words' statistics and whether they lie at a limit.
+
+    Ends without a word need none; words that close very many texts, fewer than
+    HOT of them, are joined by broadcast, so that no task gets all their texts.
+    """
+    worded = ends.where("h <> 0").groupBy("h").agg(F.count("*").alias("n"))
+    worded = materialized(worded, "closing")
+    least = (worded.agg(F.sum("n")).first()[0] or 0) / HOT
+    known = materialized(statistics.join(worded, "h"), "statistics")  # of closing words only
+    hot = F.broadcast(known.where(F.col("n") > least).drop("n"))
+    some = ends.where("h <> 0")
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("seen", "ends", "longer")]
+    joined = (
+        some.join(hot, "h").unionByName(some.join(hot.select("h"), "h", "left_anti").join(known.where(F.col("n") <= least).drop("n"), "h", "left"))
+        .unionByName(ends.where("h = 0").select("*", *none))
+    )
+    name = normal_source(F.col("source"))
+    limited = joined.withColumn("s", F.coalesce(name, F.lit(""))).join(F.broadcast(lim), ["s", "at"], "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "ends", "longer")]
+    return limited.select("key", "label", "nth", F.col("s").alias("source"), F.col("at_limit").isNotNull().alias("at_limit"), *zero, *End._fields)
 
 
 def fold_of(key: int) -> int:
@@ -225,20 +314,21 @@ class Model:
     document as whole must not be the one that judges it.
     """
 
-    def __init__(self, rows: list[tuple]):
-        """rows: key, label, source, text, at_limit, seen, ends, longer."""
-        before: dict[tuple, int] = {}
-        for _, label, _, t, *_ in rows:
-            m = form_of(t)
-            if not label and m[0]:
-                before[m[3:]] = before.get(m[3:], 0) + 1
-        rows = [r for r in rows if r[1] or not (m := form_of(r[3]))[0] or before[m[3:]] >= 3]
+    def __init__(self, found: list[tuple]):
+        """found: key, label, nth, source, at_limit, seen, ends, longer, and the fields of End, of sampled texts and of what was made of them."""
+        whole = {r[0] for r in found if r[1] == 0 and looks_whole(End(*r[8:]), r[4])}
+        rows = []
+        for key, label, nth, source, at_limit, seen, ends, longer, *end in found:
+            if key in whole:
+                # cuts at a limit are as frequent among positives as limits are among texts that end there
+                at = at_limit or label == 1 and nth == 0 and key % 2 == 0
+                rows.append((key, int(label == 1), End(*end), source, at, seen, ends, longer))
         y = np.array([r[1] for r in rows], float)
         self.fitted = len(rows) > 20 and 0 < y.sum() < len(y)
         self.report: dict[str, float] = {}
         if not self.fitted:
             return
-        feats = [_places(features(r[3], r[2], *r[4:])) for r in rows]
+        feats = [_places(features(*r[2:])) for r in rows]
         fold = np.array([fold_of(r[0]) for r in rows])
         pack = lambda idx: Sparse([(feats[i], [1.0] * len(feats[i])) for i in idx], 1 << BITS)
         self.parts = []
@@ -255,22 +345,21 @@ class Model:
             self.parts.append((w, b, slope, offset))
         self.report = {"rows": float(len(rows)), "accuracy": right / len(rows)}
 
-    def score(self, key: int, text: str, source: str, at_limit: bool, seen: int, ends: int, longer: int) -> float:
+    def score(self, key: int, end: End, source: str, at_limit: bool, seen: int, ends: int, longer: int) -> float:
         """By the half of the model that was not fitted on this document."""
         if not self.fitted:
             return 0.0
         w, b, slope, offset = self.parts[fold_of(key)]
-        z = float(w[_places(features(text, source, at_limit, seen, ends, longer))].sum()) + b
+        z = float(w[_places(features(end, source, at_limit, seen, ends, longer))].sum()) + b
         return float(1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30))))
 
 
 def _judge(batches, model):
     m: Model = model.value
     for b in batches:
-        cols = [b.column(n).to_pylist() for n in ("key", "text", "source", "at_limit", "seen", "ends", "longer")]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("key"), b.column("source"), pa.array([m.score(*x) for x in zip(*cols)], pa.float64())], names=["doc_id", "source", "score"]
-        )
+        cols = [b.column(n).to_pylist() for n in ("key", "source", "at_limit", "seen", "ends", "longer", *End._fields)]
+        p = [m.score(k, End(*end), s, lim, seen, ends, longer) for k, s, lim, seen, ends, longer, *end in zip(*cols)]
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(p, pa.float64())], names=["doc_id", "source", "score"])
 
 
 def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -278,17 +367,16 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = documents.sparkSession
     text_batches(spark)
     docs = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null")
-    words = materialized(word_statistics(docs), "words")
-    lim = limits(docs).withColumn("at_limit", F.lit(True))
-    marked = docs.select("doc_id", normal_source(F.col("source")).alias("source"), "text", F.length("text").alias("at"))
-    # a source has a handful of limits; Spark broadcasts them if they are as small as it checks
-    marked = marked.join(lim, ["source", "at"], "left").select("doc_id", "source", "text", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
-    marked = spread(marked)
-    few = smallest_hashes(marked, "doc_id", sample)
-    rows = _with_words(few.mapInArrow(partial(_ends, training=True), END_SCHEMA), words).collect()
+    lim = materialized(limits(docs), "limits")
+    counts = materialized(word_counts(docs), "words")
+    wide = spread(docs)
+    few = smallest_hashes(docs, "doc_id", sample)
+    ends = materialized(wide.mapInArrow(partial(_ends, training=False), END_SCHEMA).unionByName(spread(few).mapInArrow(partial(_ends, training=True), END_SCHEMA)), "ends")
+    known = materialized(_with_statistics(ends, word_statistics(counts), lim), "known")
+    rows = known.where("label >= 0").collect()  # at most SAMPLE texts, CUTS + 2 rows each
     model = spark.sparkContext.broadcast(Model(sorted({tuple(r) for r in rows})))
-    ends = _with_words(marked.mapInArrow(partial(_ends, training=False), END_SCHEMA), words)
-    return ends.mapInArrow(partial(_judge, model=model), "doc_id bigint, source string, score double")
+    release(counts, ends)
+    return known.where("label < 0").mapInArrow(partial(_judge, model=model), "doc_id bigint, source string, score double")
 
 
 def cut_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,4 +386,4 @@ def cut_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def cut_rates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per source: documents, cut documents, rate."""
     one = scored(documents).groupBy("doc_id").agg(F.first("source").alias("source"), F.max((F.col("score") >= threshold).cast("int")).alias("cut"))
-    return one.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("cut").alias("n_cut"), F.round(F.avg("cut"), 6).alias("cut_rate"))
+    return one.groupBy(F.when(F.col("source") != "", F.col("source")).alias("source")).agg(F.count("*").alias("n_documents"), F.sum("cut").alias("n_cut"), F.round(F.avg("cut"), 6).alias("cut_rate"))

@@ -285,3 +285,46 @@ def test_label_patterns_are_no_features(monkeypatch):
         monkeypatch.setattr(secrets, name, re.compile("(?!)"))
     monkeypatch.setattr(secrets, "weak_label", lambda *_: 1 / 0)
     assert [m.score(*a) for a in asked] == before
+
+
+def test_beginnings_have_the_hashes_of_words():
+    words = ["a", "abc", "émile", "x" * 5000, "\U00020000b"]
+    h, whose = truncation.beginnings(words)
+    at = 0
+    for n, w in enumerate(words):
+        for k in range(1, len(w) + 1, max(1, len(w) // 7)):
+            assert int(h[at + k - 1].astype("int64")) == truncation.word_hash(w[:k]) and whose[at + k - 1] == n
+        at += len(w)
+    assert len(set(h[:9].tolist())) == len({w[:k] for w in words[:3] for k in range(1, len(w) + 1)}) and truncation.word_hash("") == 0
+
+
+def test_word_statistics_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["run", "runs", "running", "r" * 60, "r" * 90, "Tür", "once"]) + rng.choice(["", "", ".", "…"]) for _ in range(30)) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    got = {r.h: (r.seen, r.ends, r.longer) for r in truncation.word_statistics(truncation.word_counts(df)).collect()}
+    seen, ends = {}, {}
+    for t in texts:
+        for w in t.lower().split():
+            bare = w.rstrip(".…")
+            seen[bare] = seen.get(bare, 0) + 1
+            ends[bare] = ends.get(bare, 0) + (w != bare)
+    for w in [*seen, "ru", "o", "r" * 80]:
+        longer = max((n for x, n in seen.items() if x != w and x.startswith(w)), default=0)
+        assert got[truncation.word_hash(w)] == (seen.get(w, 0), ends.get(w, 0), longer)
+
+
+def test_ends_are_read_from_whole_texts():
+    far = 'He said "' + "many words " * 200
+    assert truncation.end_of("First line.\n" + far + "end").odd == "010" and truncation.end_of("First line.\n" + far + 'end"').odd == "000"
+    assert truncation.end_of("First.\n[12:05] " + far).form == "chat" and truncation.end_of("First.\n- " + far).form == "list" and truncation.end_of("```\n" + far).form == "infence"
+
+
+def test_words_that_close_very_many_texts(spark):
+    rows = [(i, 0, 0, "s", 100, truncation.word_hash(w), *truncation.end_of(f"Some text with {w}")) for i, w in enumerate(["hot"] * 3000 + ["cold", "new"])] + [(9000, 0, 0, None, 100, 0, *truncation.end_of("Done."))]
+    ends = spark.createDataFrame(rows, truncation.END_SCHEMA)
+    stats = spark.createDataFrame([(truncation.word_hash(w), n, 1, 2) for w, n in (("hot", 5000), ("cold", 7), ("other", 9))], truncation.STAT_SCHEMA)
+    lim = spark.createDataFrame([("s", 100, True)], "s string, at bigint, at_limit boolean")
+    got = {(r.word, r.seen, r.ends, r.longer, r.at_limit): 0 for r in truncation._with_statistics(ends, stats, lim).collect()}
+    assert set(got) == {("hot", 5000, 1, 2, True), ("cold", 7, 1, 2, True), ("new", 0, 0, 0, True), ("", 0, 0, 0, False)}
+    assert truncation._with_statistics(ends, stats, lim).count() == len(rows)

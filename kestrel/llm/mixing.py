@@ -34,7 +34,6 @@ once; empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from functools import cache, partial
 
 import numpy as np
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.linear import Sparse, balanced, bucket, logistic
+from kestrel.functions.linear import Sparse, balanced, logistic
 from kestrel.functions.sampling import smallest_hashes
 from kestrel.session import by_bytes, materialized, spread, text_batches
 
@@ -57,7 +56,6 @@ LABEL_TRUST = 0.9995
 STEPS, TOLERANCE = 40, 1e-6
 #: Documents of a source that one task puts in order, about; with fewer than SLICES times as many, SLICES tasks share them.
 ORDERED_TOGETHER, SLICES = 500_000, 64
-_WORD = re.compile(r"\w+|[^\w\s]|\n")
 
 
 @cache
@@ -70,37 +68,30 @@ def encoder(path: str):
     return tiktoken.Encoding("kestrel", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_PLACES: dict[str, int] = {}
-_PLACES_MAX = 300_000
-
-
-def _place(w: str) -> int:
-    k = _PLACES.get(w)
-    if k is None:
-        k = bucket(w.lower(), BITS)
-        if len(_PLACES) < _PLACES_MAX:
-            _PLACES[w] = k
-    return k
-
-
-def _words(text: str) -> tuple[list[int], list[float]]:
-    seen = {_place(w) for w in set(_WORD.findall(text))}
-    seen.add(bucket(f"n:{len(text) // 300}", BITS))
-    at = sorted(seen)
-    return at, [1.0 / len(at) ** 0.5] * len(at)
+def places(tokens: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place) of each document's distinct tokens and of its length's order, for all documents of a batch; sorted."""
+    lens = np.array([len(t) for t in tokens], np.int64)
+    ids = np.array([x for t in tokens for x in t], dtype=np.uint64)
+    docs = np.arange(len(tokens), dtype=np.uint64)
+    ids = np.concatenate([ids, np.uint64(1 << 31) + np.log2(lens + 1).astype(np.uint64)])
+    owner = np.concatenate([np.repeat(docs, lens), docs])
+    mixed = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+    both = np.unique((owner << np.uint64(BITS)) | mixed).astype(np.int64)
+    return both >> BITS, both & ((1 << BITS) - 1)
 
 
 class Classifier:
-    """One logistic regression per source, fitted on the labelled table."""
+    """One logistic regression per source on the tokens of a text, fitted on the labelled table."""
 
-    def __init__(self, rows: list[tuple[str, str]], sources: list[str]):
-        """rows: source, text."""
+    def __init__(self, rows: list[tuple[str, list[int]]], sources: list[str]):
+        """rows: source, tokens."""
         self.sources = sources
         self.weights, self.bias = np.zeros((1 << BITS, len(sources))), np.zeros(len(sources))
         self.accuracy = None
         if not rows:
             return
-        feats = [_words(t) for _, t in rows]
+        doc, place = places([t for _, t in rows])
+        feats = [(p.tolist(), [1.0 / len(p) ** 0.5] * len(p)) for p in np.split(place, np.flatnonzero(np.diff(doc)) + 1)]
         y = np.array([sources.index(s) for s, _ in rows])
         test = np.arange(len(rows)) % 5 == 0
         x, z = Sparse([f for f, h in zip(feats, test) if not h], 1 << BITS), Sparse([f for f, h in zip(feats, test) if h], 1 << BITS)
@@ -111,15 +102,21 @@ class Classifier:
             scores = np.stack([z.dot(self.weights[:, k]) + self.bias[k] for k in range(len(sources))])
             self.accuracy = float((scores.argmax(axis=0) == y[test]).mean())
 
-    def posterior(self, text: str, source: str | None = None) -> np.ndarray:
-        """Probability of each source, from the text and, where it is one of them, the document's own."""
-        at, v = _words(text)
-        z = np.asarray(v) @ self.weights[at] + self.bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p = np.maximum(p, 1e-6)
-        if source in self.sources and len(p) > 1:
-            p = p * np.where(np.array(self.sources) == source, LABEL_TRUST, (1 - LABEL_TRUST) / (len(p) - 1))
-        return p / p.sum()
+    def posteriors(self, tokens: list[list[int]], own: list[str | None]) -> np.ndarray:
+        """Probability of each source for each document, from its tokens and, where it is one of the sources, its own."""
+        k = len(self.sources)
+        doc, place = places(tokens)
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        many = np.diff(np.append(starts, len(doc)))
+        z = np.add.reduceat(self.weights[place], starts, axis=0) / np.sqrt(many)[:, None] + self.bias if len(tokens) else np.zeros((0, k))
+        p = np.maximum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-6)
+        at = {s: n for n, s in enumerate(self.sources)}
+        label = np.array([at.get(s, -1) for s in own], np.int64)
+        known = np.flatnonzero(label >= 0)
+        if k > 1:
+            p[known] *= (1 - LABEL_TRUST) / (k - 1)
+            p[known, label[known]] *= LABEL_TRUST * (k - 1) / (1 - LABEL_TRUST)
+        return p / p.sum(axis=1, keepdims=True)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64()), ("member", pa.list_(pa.float64()))])
@@ -130,16 +127,17 @@ def _measure(batches, model, tokenizer):
     m: Classifier = model.value
     enc = encoder(tokenizer)
     for b in by_bytes(batches):
-        sources, texts = (b.column(n).to_pylist() for n in ("source", "text"))
-        tokens = [len(t) for t in enc.encode_ordinary_batch(texts, num_threads=1)]
-        member = [m.posterior(t, s) for s, t in zip(sources, texts)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(tokens, pa.int64()), pa.array(member, _OUT.field("member").type)], schema=_OUT)
+        tokens = enc.encode_ordinary_batch(b.column("text").to_pylist(), num_threads=1)
+        p = m.posteriors(tokens, b.column("source").to_pylist())
+        member = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([len(t) for t in tokens], pa.int64()), member], schema=_OUT)
 
 
-def fit(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> Classifier:
+def fit(documents: DataFrame, sources: list[str], tokenizer: str = TOKENIZER, sample: int = SAMPLE) -> Classifier:
     few = smallest_hashes(documents.where(F.col("source").isin(*sources)).select("source", "text", "doc_id"), "doc_id", sample)
     once = {r.doc_id: (r.source, r.text) for r in few.toLocalIterator()}
-    return Classifier([once[i] for i in sorted(once)], sources)
+    rows = [once[i] for i in sorted(once)]
+    return Classifier(list(zip([s for s, _ in rows], encoder(tokenizer).encode_ordinary_batch([t for _, t in rows]))), sources)
 
 
 Goal = list[tuple[str, float, int]]
@@ -153,7 +151,7 @@ def measured(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
     if not goal:
         return docs.select("doc_id", "source", F.lit(0).cast("bigint").alias("tokens"), F.array().cast("array<double>").alias("member")).where("false"), goal
-    model = spark.sparkContext.broadcast(fit(docs, [g[0] for g in goal], sample))
+    model = spark.sparkContext.broadcast(fit(docs, [g[0] for g in goal], tokenizer, sample))
     one = spread(docs).mapInArrow(partial(_measure, model=model, tokenizer=tokenizer), _SCHEMA).dropDuplicates(["doc_id"])
     return materialized(one, "tokens"), goal
 

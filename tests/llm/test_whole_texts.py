@@ -17,7 +17,10 @@ def test_shapes_are_counted_over_all_lines():
     assert shape[10] == 1.0 and shape[11] == 0.0  # variety; repetitive
 
 
-def test_all_words_count_for_a_source():
-    many = " ".join(["one"] * 3000)
-    a, b = mixing._words(many + " zebra")[0], mixing._words(many + " quagga")[0]
-    assert a != b
+def test_all_tokens_count_for_a_source():
+    many = [1] * 3000
+    _, a = mixing.places([[*many, 77]])
+    _, b = mixing.places([[*many, 78]])
+    assert a.tolist() != b.tolist()
+    doc, place = mixing.places([[5, 6, 5], [], [6]])
+    assert doc.tolist() == [0, 0, 0, 1, 2, 2] and set(place[:3].tolist()) & set(place[4:].tolist())

@@ -4,22 +4,24 @@ Records are sets of distinct runs of three tokens.  Two sets are joined when
 their Jaccard similarity reaches the threshold (0.7 here: TESTDATA fixes it).
 
 1. *Frequencies.*  Every partition counts its shingles in a table of hashed
-   one-byte counters; the tables are added up block by block.  A counter never
-   understates a frequency.  The table has about two counters per shingle of
-   the corpus, at most 2**MAX_BITS (128 MB), so it may be broadcast whatever
-   the corpus holds; a fuller table costs time, never a pair.
+   counters; the tables are added up block by block and kept as one byte per
+   counter, exact up to 64 and in steps of an eighth of a doubling above, so
+   frequent shingles are told from rare ones whatever the corpus holds.  The
+   table has about two counters per shingle of the corpus, at most 2**MAX_BITS
+   (128 MB), so it may be broadcast; a fuller table costs time, never a pair.
 2. *Prefixes.*  A set of n shingles, ordered rarest first, needs only its first
    n - ceil(t n) + 1 shingles to meet every partner.  Shingles whose counter is
    1 occur in no other record and are left out.
 3. *Classes.*  Records with the same token sequence are one class.
 4. *Candidates.*  Classes meet on prefix shingles; a meeting must pass the
-   length and the positional filter.  Each pair goes on once.
-5. *Suffix filter.*  Each set has 1024 parity bits over its hashes.  Every bit
-   in which two sets differ stands for a shingle that only one of them holds,
+   length and the positional filter.  The postings of a shingle that far more
+   records hold than its counter's share are dealt into blocks, and pairs of
+   blocks meet in tasks of their own.  Each pair goes on once.
+5. *Suffix filter.*  Both sets are parted at PIVOTS fixed pivots of the hash
+   order; between two pivots they share no more than the smaller part holds,
    which bounds the overlap from above.
-6. *Verification.*  The sets of the surviving classes are rebuilt from their
-   texts and intersected once per pair: on 32 bits of the hashes, and again on
-   all 64 where that overlap is within MARGIN of the one needed.
+6. *Verification.*  Sets that pass are intersected once per pair, on all 64
+   bits of the hashes.
 
 Defined results: null, empty and short texts (under 40 tokens) have no
 partners; equal token sequences are similar; repeated rows (same id) count
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.tokens import raw_tokens
-from kestrel.session import materialized, release, spread, text_batches
+from kestrel.session import by_bytes, materialized, release, spread, text_batches
 
 THRESHOLD = 0.7
 SHINGLE = 3
@@ -51,7 +53,10 @@ MIN_BITS, MAX_BITS, BLOCK_BITS = 20, 27, 17
 CHARACTERS = 7
 #: Partial tables added up by one task.
 MERGE = 2_000
-PARITY_BITS = 1024
+#: Places at which sets are parted by the suffix filter (a power of two).
+PIVOTS = 256
+#: Records beyond the usual ones that a block of a frequent shingle's postings holds, about.
+BLOCK_POSTINGS = 4_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _IDS: dict[str, int] = {}
@@ -104,6 +109,22 @@ def _sets(batch):
             yield k, h, shingles(h)
 
 
+#: Counters up to EXACT are kept as they are, larger ones by their logarithm.
+EXACT, OCTAVE = 64, 8
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """One byte per counter, in the order of the counters."""
+    big = EXACT + OCTAVE * np.log2(np.maximum(counts, EXACT) / EXACT)
+    return np.minimum(np.where(counts <= EXACT, counts, big), 255).astype(np.uint8)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    """About the counters that were coded."""
+    c = codes.astype(np.float64)
+    return np.where(c <= EXACT, c, EXACT * 2 ** ((c - EXACT) / OCTAVE))
+
+
 def _count_batches(batches, bits, salts):
     table = np.zeros(1 << bits, np.uint8)
     some = False
@@ -139,22 +160,38 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
 
+def _packed_sums(total: np.ndarray) -> bytes:
+    return zlib.compress(total.astype("<i8").tobytes(), 1)
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
+
+
 def _add_blocks(pdf):
+    """Counters of a block over some partitions."""
     total = np.zeros(1 << BLOCK_BITS, np.int64)
     for raw in pdf["counts"]:
         at, n = _unpacked(raw)
         total[at] += n
-    return pdf.head(1).assign(counts=[_packed(np.minimum(total, 255))])
+    return pdf.head(1).assign(counts=[_packed_sums(total)])
+
+
+def _code_blocks(pdf):
+    """The sums of a block, coded."""
+    return pdf.head(1).assign(counts=[_packed(coded(np.sum([_sums(raw) for raw in pdf["counts"]], axis=0)))])
 
 
 def frequency_table(records: DataFrame) -> np.ndarray:
-    """Saturating counts of hashed shingles over all records."""
+    """Coded counts of hashed shingles over all records."""
     bits = table_bits(records.select(F.sum(F.length("text")).cast("bigint")).first()[0] or 0)
     schema = "block int, salt int, counts binary"
     salts = -(-records.rdd.getNumPartitions() // MERGE)
-    merged = records.mapInArrow(partial(_count_batches, bits=bits, salts=salts), schema).groupBy("block", "salt").applyInPandas(_add_blocks, schema)
+    counted = records.mapInArrow(partial(_count_batches, bits=bits, salts=salts), schema)
     if salts > 1:
-        merged = merged.groupBy("block").applyInPandas(_add_blocks, schema)
+        merged = counted.groupBy("block", "salt").applyInPandas(_add_blocks, schema).groupBy("block").applyInPandas(_code_blocks, schema)
+    else:
+        merged = counted.groupBy("block").applyInPandas(lambda pdf: _code_blocks(_add_blocks(pdf)), schema)
     table = np.zeros(1 << bits, np.uint8)
     for r in merged.select("block", "counts").toLocalIterator():  # at most 2**(MAX_BITS - BLOCK_BITS) rows of a fixed size
         at, n = _unpacked(bytes(r.counts))
@@ -165,70 +202,106 @@ def frequency_table(records: DataFrame) -> np.ndarray:
 _SIGNED = np.int64
 _RECORD = pa.schema(
     [("id", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
-     ("parity", pa.list_(pa.int64()))]
+     ("blocks", pa.list_(pa.int32()))]
 )
-RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, parity array<bigint>"
+RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, blocks array<int>"
+
 
+def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float, usual: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles that may occur elsewhere, their places in the rarest-first order, into how many blocks their postings are dealt.
 
-def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix shingles that may occur elsewhere, and their places in the rarest-first order."""
+    ``usual``: what a counter holds on average.
+    """
     n = len(s)
     keep = n - math.ceil(threshold * n - 1e-9) + 1
     seen = table[_bucket(s, len(table).bit_length() - 1)]
     order = np.lexsort((s, seen))[:keep]
     places = np.flatnonzero(seen[order] > 1)
-    return s[order[places]], places.astype(np.int32)
+    chosen = order[places]
+    blocks = 1 + np.maximum(0, decoded(seen[chosen]) - 4 * usual) // BLOCK_POSTINGS
+    return s[chosen], places.astype(np.int32), blocks.astype(np.int32)
 
 
-_TABLE: dict[int, np.ndarray] = {}
+_TABLE: dict[int, tuple[np.ndarray, float]] = {}
 
 
-def _table_of(raw: bytes) -> np.ndarray:
-    """The unpacked frequency table, once per Python worker."""
+def _table_of(raw: bytes) -> tuple[np.ndarray, float]:
+    """The unpacked frequency table and what a counter holds on average, once per Python worker."""
     key = zlib.crc32(raw)
     if key not in _TABLE:
         _TABLE.clear()
-        _TABLE[key] = np.frombuffer(zlib.decompress(raw), np.uint8)
+        table = np.frombuffer(zlib.decompress(raw), np.uint8)
+        many = np.bincount(table, minlength=256)
+        _TABLE[key] = table, float(many @ decoded(np.arange(256)) / len(table))
     return _TABLE[key]
 
 
 def _record_batches(batches, table, threshold):
-    counts = _table_of(table.value)
-    for b in batches:
+    counts, usual = _table_of(table.value)
+    for b in by_bytes(batches):
         ids = b.column("id").to_pylist()
         out = {k: [] for k in _RECORD.names}
         for k, h, s in _sets(b):
             raw = h.tobytes()
-            grams, places = prefix_of(s, counts, threshold)
+            grams, places, blocks = prefix_of(s, counts, threshold, usual)
             out["id"].append(ids[k])
             out["sig_a"].append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
             out["sig_b"].append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
             out["n"].append(len(s))
             out["grams"].append(grams.view(_SIGNED))
             out["places"].append(places)
-            odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-            out["parity"].append(np.packbits(odd.astype(np.uint8)).view(_SIGNED))
+            out["blocks"].append(blocks)
         yield pa.RecordBatch.from_pydict(out, _RECORD)
 
 
-_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64())), ("low", pa.list_(pa.int32()))])
-SET_SCHEMA = "id bigint, grams array<bigint>, low array<int>"
+_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+SET_SCHEMA = "id bigint, grams array<bigint>"
 #: Ids that may be sent to every task.
 BROADCAST_IDS = 8_000_000
-#: Overlaps counted on 32-bit hashes are trusted outside this distance from what is needed.
-MARGIN = 2
 
 
 def _set_batches(batches):
-    for b in batches:
+    for b in by_bytes(batches):
         ids = b.column("id").to_pylist()
         rows = [(ids[k], s.view(_SIGNED)) for k, _, s in _sets(b)]
-        low = [(r[1] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for r in rows]
-        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1] for r in rows], "low": low}, _SET)
+        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1] for r in rows]}, _SET)
+
+
+def parts(s: np.ndarray) -> np.ndarray:
+    """How many hashes of a set lie between each two pivots."""
+    return np.bincount((s >> np.uint64(65 - PIVOTS.bit_length())).astype(np.int64), minlength=PIVOTS)
+
+
+def passes_suffix_filter(a: np.ndarray, b: np.ndarray, need: int) -> bool:
+    """Whether two sets may share ``need`` hashes: no more than the smaller part between each two pivots."""
+    return int(np.minimum(parts(a), parts(b)).sum()) >= need
+
+
+def needed(n_a: int, n_b: int, threshold: float) -> int:
+    """The overlap two sets must have."""
+    return math.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+
+
+_PAIR = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64()), ("similarity", pa.float64())])
+
+
+def _verify(batches, threshold):
+    for b in by_bytes(batches, 16 << 20):
+        cols = [b.column(c).to_pylist() for c in ("rep_a", "rep_b")]
+        sets = [b.column(c) for c in ("grams_a", "grams_b")]
+        rows = []
+        for k, (i, j) in enumerate(zip(*cols)):
+            x, y = (c[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in sets)
+            need = needed(len(x), len(y), threshold)
+            if passes_suffix_filter(x, y, need):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= need:
+                    rows.append((i, j, round(both / (len(x) + len(y) - both), 6)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _PAIR.types[n]) for n in range(3)], schema=_PAIR)
 
 
 def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: id, rep), (classes: rep, n, grams, places, parity); the table behind; ``records`` has id, text, parent."""
+    """(members: id, rep), (classes: rep, n, grams, places, blocks); the table behind; ``records`` has id, text, parent."""
     spark = records.sparkSession
     text_batches(spark)
     records = spread(records.select("id", "text", "parent").where("id is not null and text is not null"))
@@ -241,46 +314,42 @@ def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     return members, reps, made
 
 
-def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): pairs (rep_a < rep_b, similarity) of classes that reach the threshold, each verified once."""
-    members, reps, made = classes(records, threshold)
-    t = F.lit(threshold / (1 + threshold))
-    post = reps.select("rep", "n", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(
-        "rep", "n", F.col("g.grams").alias("gram"), F.col("g.places").alias("place")
+def met_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep_a < rep_b) of classes that meet on a prefix shingle and pass the length and positional filters, each pair once.
+
+    A posting lies in block x of its shingle's blocks; it is the left side of
+    the block pairs (x, y >= x) and the right side of (y <= x, x).
+    """
+    g = F.col("g")
+    post = reps.select("rep", "n", F.explode(F.arrays_zip("grams", "places", "blocks")).alias("g")).select(
+        "rep", "n", g.grams.alias("gram"), g.places.alias("place"), g.blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), g.blocks).cast("int").alias("x")
     )
-    a, b = post.alias("a"), post.alias("b")
+    a = post.select("*", F.explode(F.sequence("x", F.col("blocks") - 1)).alias("y")).alias("a")
+    b = post.select("rep", "n", "gram", "place", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "x")).alias("x")).alias("b")
+    t = F.lit(threshold / (1 + threshold))
     need = F.ceil(t * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
     rest = F.lit(1) + F.least(F.col("a.n") - F.col("a.place") - 1, F.col("b.n") - F.col("b.place") - 1)
+    other = F.when(F.col("a.x") == F.col("a.y"), F.col("a.rep") < F.col("b.rep")).otherwise(F.col("a.rep") != F.col("b.rep"))
     met = a.join(
         b,
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep"))
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & other
         & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - F.lit(1e-9)) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - F.lit(1e-9))
         # earlier places may already have met, so only what follows both places and the shorter lead bound the overlap
         & (rest + F.least(F.col("a.place"), F.col("b.place")) >= need),
-    ).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    bits = reps.select("rep", "n", "parity")
-    apart = F.aggregate(F.zip_with("par_a", "par_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = (
-        met.join(bits.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("parity").alias("par_a")), "rep_a")
-        .join(bits.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("parity").alias("par_b")), "rep_b")
-        .where((F.col("n_a") + F.col("n_b") - apart) / 2 >= F.ceil(t * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)))
-        .select("rep_a", "rep_b", "n_a", "n_b")
-        .distinct()
-    )
-    near = materialized(near, "candidates")
+    )
+    return met.select(F.least("a.rep", "b.rep").alias("rep_a"), F.greatest("a.rep", "b.rep").alias("rep_b")).distinct()
+
+
+def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): pairs (rep_a < rep_b, similarity) of classes that reach the threshold, each verified once."""
+    members, reps, made = classes(records, threshold)
+    near = materialized(met_pairs(reps, threshold), "candidates")
     release(made)
     sets = materialized(_sets_of(records, near), "sets")
-    side = lambda c, out: sets.select(F.col("id").alias(f"rep_{out[-1]}"), F.col(c).alias(out))
-    total = F.col("n_a") + F.col("n_b")
-    need = F.ceil(t * total - F.lit(1e-9))
-    rough = near.join(side("low", "low_a"), "rep_a").join(side("low", "low_b"), "rep_b").select("rep_a", "rep_b", "n_a", "n_b", F.size(F.array_intersect("low_a", "low_b")).alias("both"))
-    rough = materialized(rough.where(F.col("both") >= need - MARGIN).distinct(), "rough")
-    close = rough.where(F.col("both") <= need + MARGIN).drop("both")
-    exact = close.join(side("grams", "grams_a"), "rep_a").join(side("grams", "grams_b"), "rep_b").select("rep_a", "rep_b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"))
-    sized = rough.where(F.col("both") > need + MARGIN).select("rep_a", "rep_b", "n_a", "n_b", "both").unionByName(exact)
-    pairs = sized.where(F.col("both") >= need).select("rep_a", "rep_b", F.round(F.col("both") / (total - F.col("both")), 6).alias("similarity"))
-    pairs = materialized(pairs.distinct(), "pairs")
-    release(near, sets, rough)
+    side = lambda x: sets.select(F.col("id").alias(f"rep_{x}"), F.col("grams").alias(f"grams_{x}"))
+    checked = near.join(side("a"), "rep_a").join(side("b"), "rep_b").mapInArrow(partial(_verify, threshold=threshold), "rep_a bigint, rep_b bigint, similarity double")
+    pairs = materialized(checked.distinct(), "pairs")  # repeated rows give a set twice
+    release(near, sets)
     return members, pairs
 
 
@@ -293,7 +362,7 @@ def _keep_batches(batches, ids):
 
 
 def _sets_of(records: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, grams, low): the shingle sets of all classes in candidate pairs, from their texts.
+    """(id, grams): the shingle sets of all classes in candidate pairs, from their texts.
 
     Up to BROADCAST_IDS ids (64 MB) are sent to the tasks, which then read the
     texts in place; beyond it the texts are shuffled to the ids.
@@ -301,7 +370,7 @@ def _sets_of(records: DataFrame, near: DataFrame) -> DataFrame:
     wanted = near.select(F.col("rep_a").alias("id")).union(near.select(F.col("rep_b").alias("id"))).distinct()
     records = records.select("id", "text", "parent")
     if wanted.count() <= BROADCAST_IDS:
-        ids = np.sort(np.array([r.id for r in wanted.toLocalIterator()], dtype=np.int64))
+        ids = np.sort(wanted.toArrow().column("id").to_numpy())  # packed, 8 bytes each
         return records.where("text is not null").mapInArrow(partial(_keep_batches, ids=records.sparkSession.sparkContext.broadcast(ids)), SET_SCHEMA)
     return records.join(wanted, "id", "left_semi").mapInArrow(_set_batches, SET_SCHEMA)
 
@@ -319,6 +388,16 @@ def near_pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return apart.union(same).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).where("chunk_id_a < chunk_id_b").distinct()
 
 
+def class_pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(class_a < class_b, similarity): links between classes, by their representatives; with ``class_members`` all pairs without expanding copies."""
+    return similar_classes(_records(chunks), threshold)[1].select(F.col("rep_a").alias("class_a"), F.col("rep_b").alias("class_b"), "similarity")
+
+
+def class_members(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(chunk_id, class_id) of every chunk that is long enough: a class is represented by its smallest id."""
+    return classes(_records(chunks), threshold)[0].select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"))
+
+
 def near_links(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per chunk that has a partner: its class and the numbers of copies and of similar other classes."""
     members, pairs = similar_classes(_records(chunks), threshold)

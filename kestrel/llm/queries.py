@@ -52,6 +52,16 @@ def p4_links(spark, d):
     return near_dups.near_links(_chunks(spark, d))
 
 
+@query("p4_class_pairs")
+def p4_class_pairs(spark, d):
+    return near_dups.class_pairs(_chunks(spark, d))
+
+
+@query("p4_class_members")
+def p4_class_members(spark, d):
+    return near_dups.class_members(_chunks(spark, d))
+
+
 @query("p6_found")
 def p6_found(spark, d):
     return docs.documented_lines(_files(spark, d))

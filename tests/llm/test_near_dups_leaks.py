@@ -57,6 +57,60 @@ def test_table_size_is_bounded():
     assert at.tolist() == [0, 5, 70_000, 131_071] and n.tolist() == [1, 255, 3, 9]
 
 
+def _verified(a, b, threshold=0.7):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"rep_a": [1], "rep_b": [2], "grams_a": [a.view("int64")], "grams_b": [b.view("int64")]})
+    return [r for out in near_dups._verify([batch], threshold) for r in out.to_pylist()]
+
+
+def test_pairs_at_the_threshold_are_kept_however_long():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (50, 4_000, 400_000):
+        for _ in range(5):
+            pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+            rng.shuffle(pool)
+            need = near_dups.needed(n, n, 0.7)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:need], pool[n : 2 * n - need]]))
+            assert len(b) == n and len(_verified(a, b)) == 1
+            assert _verified(a, np.sort(np.concatenate([pool[: need - 1], pool[n : 2 * n - need + 1]]))) == []
+
+
+def test_suffix_filter_bounds_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rejected = 0
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 2**64, rng.integers(40, 300), dtype=np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b, a[: rng.integers(0, len(a))]]))
+        both = len(np.intersect1d(a, b))
+        assert near_dups.passes_suffix_filter(a, b, both)
+        rejected += not near_dups.passes_suffix_filter(a, b, near_dups.needed(len(a), len(b), 0.7))
+    assert rejected > 100
+
+
+def test_coded_counters_keep_their_order():
+    import numpy as np
+
+    n = np.unique(np.concatenate([np.arange(200), np.logspace(2, 10, 500).astype(np.int64)]))
+    c = near_dups.coded(n)
+    assert (np.diff(c.astype(int)) >= 0).all() and (c[:65] == np.arange(65)).all() and c[n > 10**6].min() > c[n < 10**5].max()
+    assert (np.abs(near_dups.decoded(c) / np.maximum(n, 1) - 1)[n > 0][c[n > 0] < 255] < 0.1).all()
+
+
+def test_frequent_shingles_meet_in_blocks(spark):
+    """Blocks of postings give the pairs of one large group, each once."""
+    rng = random.Random(5)
+    rows = [(i, rng.randint(40, 44), [7, 1000 + i % 9], [0, 1], [4, 1]) for i in range(90)]
+    reps = spark.createDataFrame(rows, "rep bigint, n int, grams array<bigint>, places array<int>, blocks array<int>")
+    one = reps.selectExpr("rep", "n", "grams", "places", "array(1, 1) AS blocks")
+    got = sorted(tuple(r) for r in near_dups.met_pairs(reps, 0.7).collect())
+    assert got == sorted(tuple(r) for r in near_dups.met_pairs(one, 0.7).collect()) and len(got) == len(set(got)) == 90 * 89 // 2
+
+
 def test_leaks(spark):
     p = [f"word{i}" for i in range(40)]
     passage = " ".join(p)

@@ -13,6 +13,10 @@ lengths, keys and symbols of that scope, as if each were an index of its own.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,30 +158,103 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top(vectors: DataFrame, query: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Exact scan: (qid, row_id, score, rank) of the nearest vectors; ``query`` (qid, qvec) is the small side."""
+    """Exact scan for one query: (qid, row_id, score, rank) of the nearest vectors; ``query`` (qid, qvec) has one row."""
     s = vectors.join(F.broadcast(query)).select("qid", "row_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))
     return top(s, k, [F.desc("score"), F.col("row_id")])
 
 
+#: Queries that go to the tasks at a time: their vectors are all that is broadcast.
+QUERY_BLOCK = 2_048
+
+
+def _unit(column) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lengths) of an Arrow column of vectors in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _nearest(batches, block, k, sharing):
+    """The k best rows of a task for each query of a block, by one matrix product per batch."""
+    qids, q, q_size, q_scope = block.value
+    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows or not len(qids):
+            continue
+        x, size = _unit(b.column("vec"))
+        ids = b.column("row_id").to_numpy(zero_copy_only=False)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.round((q @ x.T) / (q_size[:, None] * size[None, :]), 6)
+        s[~np.isfinite(s)] = -2.0  # a side of zeros: behind all others
+        out = (q_scope[:, None] != np.array(b.column("scope").to_pylist(), dtype=object)[None, :]) if q_scope is not None else None
+        if sharing:
+            none = ((q != 0).astype(np.float32) @ (x != 0).astype(np.float32).T) == 0
+            out = none if out is None else out | none
+        if out is not None:
+            s[out] = -3.0
+        where, what = np.nonzero(s > -3.0)
+        new = where, s[where, what], ids[what]
+        held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+        if len(held[0]) > 4 * k * len(qids):
+            held = _best(*held, k)
+    if held is not None and len(held[0]):
+        where, score, row = _best(*held, k)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[where]), pa.array(row), pa.array(np.where(score > -2.0, score, np.nan), from_pandas=True)], names=["qid", "row_id", "score"])
+
+
+def _best(where: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first per query by score, then row."""
+    order = np.lexsort((row, -score, where))
+    where, score, row = where[order], score[order], row[order]
+    start = np.searchsorted(where, where)  # where the query's rows begin
+    first = np.arange(len(where)) - start < k
+    return where[first], score[first], row[first]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, scope: Scope = (), sharing: bool = False) -> DataFrame:
+    """Exact scan for many queries: (qid, row_id, score, rank) of the nearest vectors (row_id, vec) for each query (qid, qvec).
+
+    Queries go out in blocks of about QUERY_BLOCK, every task keeps its k best
+    rows per query, so k rows a query and task are shuffled, not all scores.
+    With ``sharing`` only rows count that have a place in common with the
+    query's vector that is not zero.
+    """
+    spark = vectors.sparkSession
+    key = F.concat_ws("\0", *scope) if scope else F.lit(None).cast("string")
+    rows = vectors.select("row_id", "vec", key.alias("scope"))
+    asked = queries.select("qid", "qvec", key.alias("scope"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    parts = []
+    for n in range(blocks):
+        t = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n).toArrow()
+        if not t.num_rows and n:
+            continue
+        q, size = _unit(t.column("qvec").combine_chunks())
+        names = np.array(t.column("scope").to_pylist(), dtype=object) if scope else None
+        block = spark.sparkContext.broadcast((t.column("qid").to_numpy(), q, size, names))
+        parts.append(rows.mapInArrow(partial(_nearest, block=block, k=k, sharing=sharing), f"qid {kinds['qid']}, row_id {kinds['row_id']}, score double"))
+    return top(reduce(DataFrame.unionByName, parts), k, [F.desc_nulls_last("score"), F.col("row_id")])
+
+
 def _hex(k: int) -> Column:
     return F.expr(f"instr('0123456789abcdef', substring(md5(tok), {k}, 1)) - 1")
 
 
-def hashed_embedding(toks: DataFrame, owner: str, count: str, scope: Scope = ()) -> DataFrame:
-    """(owner, b, v, norm): token counts hashed into DIM buckets with signs, from md5; the vectors are kept sparse."""
+def hashed_vectors(toks: DataFrame, owner: str, count: str, out: str, scope: Scope = ()) -> DataFrame:
+    """(owner, out): token counts hashed into DIM buckets with signs, from md5; a token is hashed once per row that holds it."""
     b = (_hex(1) * 4 + F.floor(_hex(2) / 4)).cast("int")
     sign = F.when(_hex(3) < 8, 1).otherwise(-1)
-    v = toks.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").alias("v")).where("v <> 0")
-    whole = v.groupBy(*scope, owner).agg(F.collect_list(F.struct("b", "v")).alias("each"), F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return whole.select(*scope, owner, F.explode("each").alias("e"), "norm").select(*scope, owner, "e.b", "e.v", "norm")
+    v = toks.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").cast("double").alias("v")).where("v <> 0")
+    at = F.map_from_entries(F.collect_list(F.struct("b", "v")))
+    whole = v.groupBy(*scope, owner).agg(at.alias("at"))
+    return whole.select(*scope, owner, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.coalesce(F.col("at")[k], F.lit(0.0))).alias(out))
 
 
 def embedded_top(queries: DataFrame, post: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
-    """(qid, row_id, score, rank) by the hashed embedding of both sides; the queries are the small side."""
-    q = hashed_embedding(query_tokens(queries, scope), "qid", "qtf", scope).select(*scope, "qid", "b", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    d = hashed_embedding(post, "row_id", "tf", scope)
-    s = d.join(F.broadcast(q), [*scope, "b"]).groupBy("qid", "row_id").agg((F.sum(F.col("v") * F.col("qv")) / (F.max("norm") * F.max("qn"))).alias("s"))
-    return top(s.select("qid", "row_id", F.round("s", 6).alias("score")), k, [F.desc("score"), F.col("row_id")])
+    """(qid, row_id, score, rank) by the hashed embedding of both sides."""
+    q = hashed_vectors(query_tokens(queries, scope), "qid", "qtf", "qvec", scope)
+    return nearest(hashed_vectors(post, "row_id", "tf", "vec", scope), q, k, scope, sharing=True)
 
 
 # -- fusion -------------------------------------------------------------
@@ -334,6 +411,16 @@ def recall(hits: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+def ndcg(hits: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, ndcg): gain of the hits (qid, row_id, rank from 0) discounted by rank, against the best order of ``relevance`` (qid, row_id, grade)."""
+    gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("place") + 2)
+    got = hits.where(F.col("rank") < k).select("qid", "row_id", F.col("rank").alias("place")).join(relevance, ["qid", "row_id"]).groupBy("qid").agg(F.sum(gain).alias("dcg"))
+    w = Window.partitionBy("qid").orderBy(F.desc("grade"), "row_id")
+    best = relevance.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place") - 1)
+    ideal = best.groupBy("qid").agg(F.sum(gain).alias("best"))
+    return ideal.join(got, "qid", "left").select("qid", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("best"), 6).alias("ndcg"))
+
+
 def evaluate(per_case: DataFrame) -> DataFrame:
     """Means per repository and over all cases (repo null)."""
     return per_case.rollup("repo").agg(F.count("*").alias("n_cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("hit"), 6).alias("hit"))

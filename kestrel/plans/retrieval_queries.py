@@ -34,8 +34,8 @@ idf AS (SELECT tok, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) EL
 CASES = f""",
 queries AS (SELECT case_id AS qid, query FROM eval_cases),
 qt AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT qid, unnest({toks_sql('query')}) AS tok FROM queries) GROUP BY ALL)"""
-ONE = CASES.replace("FROM eval_cases)", "FROM eval_cases WHERE case_id = (SELECT min(case_id) FROM eval_cases))")
-NONE = CASES.replace("SELECT case_id AS qid, query FROM eval_cases", "SELECT 1 AS qid, 'zzqx wvvk' AS query UNION ALL SELECT 2, 'quorum zzqx'")
+#: Queries whose tokens hardly occur: all places beyond the few hits are filled up.
+NONE = CASES.replace("SELECT case_id AS qid, query FROM eval_cases", "SELECT case_id AS qid, reverse(query) AS query FROM eval_cases")
 BM25 = """,
 hits AS (SELECT q.qid, p.row_id, sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / s.avgdl))) AS score
   FROM qt q JOIN post p USING (tok) JOIN idf i USING (tok) JOIN lengths l USING (row_id), stats s GROUP BY ALL),
@@ -87,7 +87,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m
 
 RERANKED = f"({COVER} * {PRIOR})"
 _OUT = "SELECT qid, rank::INT AS rank, row_id, key, path, kind, name, start_line, end_line, round(relevance, 6) AS relevance, mmr FROM best"
-HYBRID = "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", RERANKED, 0.7)
+HYBRID = "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", RERANKED, 0.7)
 
 
 # -- inputs -------------------------------------------------------------
@@ -99,9 +99,8 @@ def cases(spark, d):
     return table(spark, d, "eval_cases").select(F.col("case_id").alias("qid"), "repo", "query", "expect")
 
 
-def one_case(spark, d):
-    q = cases(spark, d).select("qid", "query")
-    return q.join(F.broadcast(q.agg(F.min("qid").alias("qid"))), "qid")
+def all_cases(spark, d):
+    return cases(spark, d).select("qid", "query")
 
 
 def _index(spark, d):
@@ -140,7 +139,7 @@ def bm25_topk(spark, d):
 @query("bm25_zero_fill", "WITH " + LENGTHS + NONE + BM25 + " SELECT qid, row_id, score, rank::INT AS rank FROM bm")
 def bm25_zero_fill(spark, d):
     _, post, lengths = _index(spark, d)
-    return R.bm25_top(spark.createDataFrame([(1, "zzqx wvvk"), (2, "quorum zzqx")], "qid int, query string"), post, lengths)
+    return R.bm25_top(all_cases(spark, d).select("qid", F.reverse("query").alias("query")), post, lengths)
 
 
 @query("dense_topk", """
@@ -152,27 +151,25 @@ def dense_topk(spark, d):
     """Every twentieth vector as a query against all vectors, exactly."""
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return R.dense_top(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")), q)
+    return R.nearest(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")), q)
 
 
-@query("embedded_topk", "WITH " + POST + ONE + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
-def embedded_topk(spark, d, of=one_case):
-    return R.embedded_top(of(spark, d), R.postings(corpus(spark, d)))
+@query("embedded_topk", "WITH " + POST + CASES + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
+def embedded_topk(spark, d):
+    return R.embedded_top(all_cases(spark, d), R.postings(corpus(spark, d)))
 
 
-def _ranked(spark, d, of=one_case):
+def _ranked(spark, d):
     c, post, lengths = _index(spark, d)
-    q = of(spark, d)
+    q = all_cases(spark, d)
     rows = c.select("row_id", R.key_of(F.col("path"), F.col("start_line")).alias("key"))
     both = R.embedded_top(q, post).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, post, lengths).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
     return c, both.join(rows, "row_id").select("qid", "list_no", "rank", "key")
 
 
-@query("rrf_fuse", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
-def rrf_fuse(spark, d, of=one_case):
-    return R.fuse(_ranked(spark, d, of)[1])
-
-
+@query("rrf_fuse", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
+def rrf_fuse(spark, d):
+    return R.fuse(_ranked(spark, d)[1])
 
 
 @query("rrf_ties", """WITH ranked AS (SELECT label AS qid, 0 AS list_no, vec_id AS rank, vec_id::VARCHAR AS key FROM embeddings UNION ALL SELECT label, 1, 1000000 - vec_id, vec_id::VARCHAR FROM embeddings
@@ -194,9 +191,9 @@ def key_dedupe(spark, d):
     return R.keyed(corpus(spark, d))
 
 
-@query("pool_cut", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + " SELECT qid, key, row_id, pos::INT AS pos FROM pool")
-def pool_cut(spark, d, of=one_case):
-    c, ranked = _ranked(spark, d, of)
+@query("pool_cut", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + " SELECT qid, key, row_id, pos::INT AS pos FROM pool")
+def pool_cut(spark, d):
+    c, ranked = _ranked(spark, d)
     return R.pool_of(R.fuse(ranked), c)
 
 
@@ -205,9 +202,9 @@ def symbol_defs(spark, d):
     return R.symbol_defs(corpus(spark, d))
 
 
-@query("graph_expand", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + EXPAND + " SELECT qid, key, row_id, pos::INT AS pos FROM wide")
-def graph_expand(spark, d, of=one_case):
-    c, ranked = _ranked(spark, d, of)
+@query("graph_expand", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + " SELECT qid, key, row_id, pos::INT AS pos FROM wide")
+def graph_expand(spark, d):
+    c, ranked = _ranked(spark, d)
     return R.expand(R.pool_of(R.fuse(ranked), c), c)
 
 
@@ -216,28 +213,30 @@ def code_prior(spark, d):
     return corpus(spark, d).select("row_id", F.round(R.code_prior(F.col("path"), F.col("kind")), 6).alias("prior"))
 
 
-_WITH_QUERY = ONE + f""",
-full_ AS (SELECT q.qid, c.*, {toks_sql('q.query')} AS qtoks, {toks_sql('c.name')} AS ntoks, {toks_sql('c.text')} AS ttoks FROM corpus c, queries q)"""
+#: Tokens are taken before the pairs are formed.
+_PAIRS = CASES + f""",
+ct AS (SELECT *, {toks_sql('name')} AS ntoks, {toks_sql('text')} AS ttoks FROM corpus),
+full_ AS (SELECT q.qid, q.qtoks, c.* FROM ct c, (SELECT qid, {toks_sql('query')} AS qtoks FROM queries) q)"""
 
 
-def _with_query(spark, d):
-    q = one_case(spark, d).select("qid", tokens(F.col("query")).alias("qtoks"))
+def _pairs(spark, d):
+    q = all_cases(spark, d).select("qid", tokens(F.col("query")).alias("qtoks"))
     return corpus(spark, d).join(F.broadcast(q))
 
 
-@query("name_match", "WITH " + CORPUS + _WITH_QUERY + f" SELECT row_id, {MATCHES}::INT AS matches FROM full_")
+@query("name_match", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, {MATCHES}::INT AS matches FROM full_")
 def name_match(spark, d):
-    return _with_query(spark, d).select("row_id", R.name_matches(F.col("qtoks"), F.col("name")).alias("matches"))
+    return _pairs(spark, d).select("qid", "row_id", R.name_matches(F.col("qtoks"), F.col("name")).alias("matches"))
 
 
-@query("name_boost", "WITH " + CORPUS + _WITH_QUERY + f" SELECT row_id, round({PRIOR} * (1 + 0.25::DOUBLE * {MATCHES}), 6) AS boosted FROM full_")
+@query("name_boost", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({PRIOR} * (1 + 0.25::DOUBLE * {MATCHES}), 6) AS boosted FROM full_")
 def name_boost(spark, d):
-    return _with_query(spark, d).select("row_id", F.round(R.boosted(R.code_prior(F.col("path"), F.col("kind")), R.name_matches(F.col("qtoks"), F.col("name"))), 6).alias("boosted"))
+    return _pairs(spark, d).select("qid", "row_id", F.round(R.boosted(R.code_prior(F.col("path"), F.col("kind")), R.name_matches(F.col("qtoks"), F.col("name"))), 6).alias("boosted"))
 
 
-@query("lexical_rerank", "WITH " + CORPUS + _WITH_QUERY + f" SELECT row_id, round({COVER} * {PRIOR}, 6) AS relevance FROM full_")
+@query("lexical_rerank", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({COVER} * {PRIOR}, 6) AS relevance FROM full_")
 def lexical_rerank(spark, d):
-    return _with_query(spark, d).select("row_id", F.round(R.coverage(F.col("qtoks"), F.col("text")) * R.code_prior(F.col("path"), F.col("kind")), 6).alias("relevance"))
+    return _pairs(spark, d).select("qid", "row_id", F.round(R.coverage(F.col("qtoks"), F.col("text")) * R.code_prior(F.col("path"), F.col("kind")), 6).alias("relevance"))
 
 
 @query("sigmoid_rerank", "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS score FROM events")
@@ -245,10 +244,10 @@ def sigmoid_rerank(spark, d):
     return table(spark, d, "events", "event_id", "value").select("event_id", F.round(R.sigmoid(F.col("value") / 100), 6).alias("score"))
 
 
-@query("rank_proxy", "WITH " + LENGTHS + ONE + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
-def rank_proxy(spark, d, of=one_case):
+@query("rank_proxy", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
+def rank_proxy(spark, d):
     _, post, lengths = _index(spark, d)
-    return R.bm25_top(of(spark, d), post, lengths).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
+    return R.bm25_top(all_cases(spark, d), post, lengths).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
 
 
 def _mmr_sql(lam: float) -> str:
@@ -275,107 +274,29 @@ def mmr_pure(spark, d):
 
 
 @query("hybrid_search", HYBRID + _OUT)
-def hybrid_search(spark, d, of=one_case):
+def hybrid_search(spark, d):
     c = corpus(spark, d)
-    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"))
+    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"))
 
 
-@query("hybrid_no_graph", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
-def hybrid_no_graph(spark, d, of=one_case):
+@query("hybrid_no_graph", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
+def hybrid_no_graph(spark, d):
     c = corpus(spark, d)
-    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"), graph=False)
+    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"), graph=False)
 
 
-@query("hybrid_no_rerank", "WITH " + LENGTHS + ONE + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
-def hybrid_no_rerank(spark, d, of=one_case):
+@query("hybrid_no_rerank", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
+def hybrid_no_rerank(spark, d):
     c = corpus(spark, d)
-    return R.search(of(spark, d), c, materialized(R.postings(c), "postings"), rerank=False)
+    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"), rerank=False)
 
 
 _FORMAT = """ SELECT qid, rank::INT AS rank, path || ':' || start_line || '-' || end_line || CASE WHEN name IS NOT NULL AND name <> '' THEN ' ' || kind || ' ' || name ELSE '' END AS location FROM best"""
 
 
 @query("format_hits", HYBRID + _FORMAT)
-def format_hits(spark, d, of=one_case):
-    return R.format_hits(hybrid_search(spark, d, of)).select("qid", "rank", "location")
-
-
-# -- the same over all evaluation cases ----------------------------------
-# The queries above keep to one case, as their SQL does.
-def all_cases(spark, d):
-    return cases(spark, d).select("qid", "query")
-
-
-_HYBRID_ALL = "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", RERANKED, 0.7)
-#: Tokens are taken before the pairs are formed.
-_PAIRS = CASES + f""",
-ct AS (SELECT *, {toks_sql('name')} AS ntoks, {toks_sql('text')} AS ttoks FROM corpus),
-full_ AS (SELECT q.qid, q.qtoks, c.* FROM ct c, (SELECT qid, {toks_sql('query')} AS qtoks FROM queries) q)"""
-
-
-def _pairs(spark, d):
-    q = all_cases(spark, d).select("qid", tokens(F.col("query")).alias("qtoks"))
-    return corpus(spark, d).join(F.broadcast(q))
-
-
-@query("embedded_topk_all", "WITH " + POST + CASES + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
-def embedded_topk_all(spark, d):
-    return embedded_topk(spark, d, all_cases)
-
-
-@query("rrf_fuse_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
-def rrf_fuse_all(spark, d):
-    return rrf_fuse(spark, d, all_cases)
-
-
-@query("pool_cut_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + " SELECT qid, key, row_id, pos::INT AS pos FROM pool")
-def pool_cut_all(spark, d):
-    return pool_cut(spark, d, all_cases)
-
-
-@query("graph_expand_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + " SELECT qid, key, row_id, pos::INT AS pos FROM wide")
-def graph_expand_all(spark, d):
-    return graph_expand(spark, d, all_cases)
-
-
-@query("name_match_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, {MATCHES}::INT AS matches FROM full_")
-def name_match_all(spark, d):
-    return _pairs(spark, d).select("qid", "row_id", R.name_matches(F.col("qtoks"), F.col("name")).alias("matches"))
-
-
-@query("name_boost_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({PRIOR} * (1 + 0.25::DOUBLE * {MATCHES}), 6) AS boosted FROM full_")
-def name_boost_all(spark, d):
-    return _pairs(spark, d).select("qid", "row_id", F.round(R.boosted(R.code_prior(F.col("path"), F.col("kind")), R.name_matches(F.col("qtoks"), F.col("name"))), 6).alias("boosted"))
-
-
-@query("lexical_rerank_all", "WITH " + CORPUS + _PAIRS + f" SELECT qid, row_id, round({COVER} * {PRIOR}, 6) AS relevance FROM full_")
-def lexical_rerank_all(spark, d):
-    return _pairs(spark, d).select("qid", "row_id", F.round(R.coverage(F.col("qtoks"), F.col("text")) * R.code_prior(F.col("path"), F.col("kind")), 6).alias("relevance"))
-
-
-@query("rank_proxy_all", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
-def rank_proxy_all(spark, d):
-    return rank_proxy(spark, d, all_cases)
-
-
-@query("hybrid_search_all", _HYBRID_ALL + _OUT)
-def hybrid_search_all(spark, d):
-    return hybrid_search(spark, d, all_cases)
-
-
-@query("hybrid_no_graph_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
-def hybrid_no_graph_all(spark, d):
-    return hybrid_no_graph(spark, d, all_cases)
-
-
-@query("hybrid_no_rerank_all", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
-def hybrid_no_rerank_all(spark, d):
-    return hybrid_no_rerank(spark, d, all_cases)
-
-
-@query("format_hits_all", _HYBRID_ALL + _FORMAT)
-def format_hits_all(spark, d):
-    return format_hits(spark, d, all_cases)
+def format_hits(spark, d):
+    return R.format_hits(hybrid_search(spark, d)).select("qid", "rank", "location")
 
 
 # -- evaluation: lexical retrieval of all cases --------------------------

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from kestrel.operators import retrieval as R
 
 SF = "/root/testdata/sf0.001"
-NAMES = "embedded_topk_all rrf_fuse_all pool_cut_all graph_expand_all name_match_all name_boost_all lexical_rerank_all rank_proxy_all hybrid_search_all hybrid_no_graph_all hybrid_no_rerank_all format_hits_all".split()
+NAMES = "embedded_topk rrf_fuse pool_cut graph_expand name_match name_boost lexical_rerank rank_proxy hybrid_search hybrid_no_graph hybrid_no_rerank format_hits".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

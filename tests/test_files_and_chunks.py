@@ -135,7 +135,7 @@ def test_events(spark, tmp_path):
     assert [r.path for r in df.where(W.wanted_event(F.col("path"), F.col("is_directory"), ("/store",))).collect()] == ["/r/a.py"]
     log, runs = tmp_path / "log", []
     log.mkdir()
-    q = W.start_watch(spark, str(log), lambda: runs.append(1), str(tmp_path / "cp"), trigger="500 milliseconds")
+    q = W.start_watch(spark, str(log), lambda: runs.append(1), str(tmp_path / "cp"), quiet=0.5)
     try:
         tmp = tmp_path / "e.json"
         tmp.write_text("\n".join('{"ts":"2026-01-01T00:00:00","path":"/r/a%d.py","is_directory":false}' % i for i in range(8)))
@@ -143,11 +143,12 @@ def test_events(spark, tmp_path):
         end = time.time() + 40
         while not runs and time.time() < end:
             time.sleep(0.2)
-        q.processAllAvailable()
+        q.query.processAllAvailable()
         assert len(runs) == 1
         tmp.write_text('{"ts":"2026-01-01T00:00:00","path":"/r/.git/a","is_directory":false}')
         tmp.rename(log / "e2.json")
-        q.processAllAvailable()
+        q.query.processAllAvailable()
+        time.sleep(0.7)
         assert len(runs) == 1
     finally:
         q.stop()
@@ -238,3 +239,58 @@ def test_stored_postings_give_the_scores_of_the_whole_corpus(spark, tmp_path):
     want = [(x.row_id, x.score, x.rank) for x in R.bm25_top(q, post, R.lengths_of(r.corpus, post), 12).orderBy("rank").collect()]
     assert [(x.row_id, x.score, x.rank) for x in r.lexical("load the tree tree", 12).orderBy("rank").collect()] == want
     assert "EqualTo(tok,load)" in r.lexical("load", 5)._jdf.queryExecution().toString()  # only the token's row groups are read
+
+
+def test_bursts_are_put_off_until_they_end():
+    runs = []
+    d = W.Debounce(lambda: runs.append(time.monotonic()), 0.4)
+    try:
+        for _ in range(8):  # longer than the quiet time in all
+            d()
+            time.sleep(0.1)
+        last = time.monotonic()
+        assert runs == []
+        time.sleep(0.8)
+        assert len(runs) == 1 and runs[0] > last
+        d()
+        time.sleep(0.8)
+        assert len(runs) == 2
+    finally:
+        d.stop()
+    d()
+    time.sleep(0.6)
+    assert len(runs) == 2
+
+
+def test_file_events(spark, tmp_path):
+    import json
+
+    root, log = tmp_path / "r", tmp_path / "log"
+    (root / ".git").mkdir(parents=True)
+    (root / "a.py").write_text("1")
+    (root / "b.py").write_text("1")
+    e = W.FileEvents(str(root), str(log), ignore=(str(root / "store"),))
+    assert e.look() == []
+    (root / "a.py").write_text("22")
+    (root / "b.py").unlink()
+    (root / "c.py").write_text("")
+    (root / ".git/x").write_text("")
+    (root / "store").mkdir()
+    (root / "store/y").write_text("")
+    assert e.look() == [str(root / n) for n in ("a.py", "b.py", "c.py")] and e.look() == []
+    files = [f for f in log.iterdir()]
+    assert len(files) == 1 and [json.loads(x)["path"] for x in files[0].read_text().splitlines()] == [str(root / n) for n in ("a.py", "b.py", "c.py")]
+
+
+def test_a_watched_tree_is_indexed_again(spark, tmp_path):
+    root, runs = tmp_path / "r", []
+    root.mkdir()
+    w = W.start_watch(spark, str(tmp_path / "log"), lambda: runs.append(1), str(tmp_path / "cp"), quiet=0.3, root=str(root))
+    try:
+        (root / "a.py").write_text("x = 1")
+        end = time.time() + 40
+        while not runs and time.time() < end:
+            time.sleep(0.1)
+        assert runs == [1]
+    finally:
+        w.stop()

@@ -46,3 +46,68 @@ def test_default_models_stay(spark, tmp_path):
     (root / "b.py").write_text("def other():\n    return 1\n")
     index_repo(spark, str(root), "r", None, store)
     assert Retriever(spark, "r", store, reranker=embedding.CoverageReranker()).search("load the tree").first().path == "a.py"
+
+
+def test_clients_of_model_services(monkeypatch):
+    import pickle
+
+    asked = []
+
+    def send(url, body, headers):
+        asked.append((url, body, headers))
+        if len(asked) == 1:
+            raise embedding.RateLimited
+        if "documents" in body:
+            return {"data": [{"index": i, "relevance_score": 0.1 * len(d)} for i, d in enumerate(body["documents"])]}
+        return {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    monkeypatch.setenv("KESTREL_MODEL_KEY", "k")
+    monkeypatch.setattr(embedding.time, "sleep", lambda s: None)
+    e = embedding.RemoteEmbedder("http://m/embed", "code-2", 2, send=send)
+    assert e.embed_query("abc") == [3.0, 1.0] and asked[-1][1]["input_type"] == "query" and asked[-1][2] == {"Authorization": "Bearer k"}
+    assert e.embed_documents(["a", "bb"]) == [[1.0, 1.0], [2.0, 1.0]] and asked[-1][1]["input_type"] == "document"
+    r = embedding.RemoteReranker("http://m/rerank", "lite", send=send)
+    assert r.rerank("q", ["a", "ccc", "bb"]) == [(1, pytest.approx(0.3)), (2, pytest.approx(0.2)), (0, pytest.approx(0.1))] and r.rerank("q", []) == []
+    assert b"Bearer" not in pickle.dumps((e.url, e.model, e.key_variable))
+
+
+def test_local_models(monkeypatch):
+    import numpy as np
+
+    loaded = []
+
+    def load(model, tokenizer, most):
+        loaded.append((model, tokenizer, most))
+        return lambda texts: np.array([[len(t), 0.0] if isinstance(t, str) else [len(t[1]) - 2.0] for t in texts])
+
+    monkeypatch.setenv("KESTREL_EMBED_BATCH", "2")
+    e = embedding.LocalEmbedder("m.onnx", "t.json", 2, query_prompt="query: ", load=load)
+    assert e.embed_documents(["abc", "d", "ef"]) == [[1.0, 0.0]] * 3 and e.embed_query("x") == [1.0, 0.0] and len(loaded) == 1 and e.model_name == "m.onnx"
+    c = embedding.CrossEncoder("m", "t", load=load)
+    got = c.rerank("q", ["a", "abcd", "ab"])
+    assert [i for i, _ in got] == [1, 2, 0] and got[1][1] == 0.5 and c.rerank("q", []) == []
+
+
+def test_unknown_models_are_an_error(monkeypatch):
+    with pytest.raises(LookupError, match="no embedder"):
+        embedding.make_embedder("nope")
+    monkeypatch.setenv("KESTREL_RERANKER", "nope")
+    with pytest.raises(LookupError, match="no reranker"):
+        embedding.make_reranker()
+    monkeypatch.setenv("KESTREL_RERANKER", "none")
+    assert embedding.make_reranker() is None
+
+
+def test_evaluation_of_searches(spark, tmp_path):
+    import json
+
+    from kestrel.plans.service import evaluate
+
+    root, store = tmp_path / "r", str(tmp_path / "store")
+    root.mkdir()
+    (root / "tree.py").write_text("def load_tree():\n    return 1\n")
+    (root / "row.py").write_text("def other_row():\n    return 1\n")
+    index_repo(spark, str(root), "r", store=store)
+    (tmp_path / "cases.json").write_text(json.dumps([{"repo": "r", "query": "load the tree", "expect": ["tree.py"]}, {"repo": "r", "query": "other", "expect": ["row.py", "none.py"]}]))
+    out = evaluate(spark, str(tmp_path / "cases.json"), 1, store).splitlines()
+    assert out == ["r: load the tree: recall 1.00, missing nothing", "r: other: recall 0.50, missing none.py", "r: 2 cases, recall@1 0.750, hit@1 1.000", "all: 2 cases, recall@1 0.750, hit@1 1.000"]

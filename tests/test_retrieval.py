@@ -169,3 +169,48 @@ def test_recall_is_measured_on_the_search_in_the_own_repository(spark, tmp_path)
     assert QUERIES["search_hit_at_k"](spark, str(tmp_path)).first().hit == 1
     assert QUERIES["search_missing"](spark, str(tmp_path)).first().missing == ""
     assert {r.repo: r.recall for r in QUERIES["search_by_group"](spark, str(tmp_path)).collect()} == {"mine": 1.0, None: 1.0}
+
+
+def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from kestrel.operators import retrieval as R
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (300, 8)).astype(float)
+    x[7] = 0
+    rows = [(i, v.tolist(), f"s{i % 3}") for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "row_id bigint, vec array<double>, scope_ string").repartition(5)
+    queries = spark.createDataFrame([(i, v, s) for i, v, s in rows[:40]], "qid bigint, qvec array<double>, scope_ string")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 9)
+
+    def brute(scoped, sharing):
+        out = {}
+        for q in range(40):
+            some = []
+            for i in range(300):
+                if scoped and i % 3 != q % 3 or sharing and not ((x[i] != 0) & (x[q] != 0)).any():
+                    continue
+                n = np.linalg.norm(x[i]) * np.linalg.norm(x[q])
+                some.append((-round(float(x[i] @ x[q] / n), 6) if n else 2.0, i))
+            out[q] = [i for _, i in sorted(some)[:10]]
+        return out
+
+    for scoped in (False, True):
+        for sharing in (False, True):
+            got = {}
+            for r in R.nearest(vectors, queries, 10, ("scope_",) if scoped else (), sharing).orderBy("qid", "rank").collect():
+                got.setdefault(r.qid, []).append(r.row_id)
+            assert {q: v for q, v in brute(scoped, sharing).items() if v} == got
+    assert R.nearest(vectors.where("false"), queries, 10).count() == 0 and R.nearest(vectors, queries.where("false"), 10).count() == 0
+
+
+def test_ndcg(spark):
+    from math import log2
+
+    from kestrel.operators import retrieval as R
+
+    hits = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (1, 7, 2), (2, 5, 0)], "qid int, row_id int, rank int")
+    grades = spark.createDataFrame([(1, 6, 2), (1, 7, 1), (1, 9, 1), (2, 8, 1)], "qid int, row_id int, grade int")
+    got = {r.qid: r.ndcg for r in R.ndcg(hits, grades).collect()}
+    assert got == {1: round((3 / log2(3) + 1 / log2(4)) / (3 + 1 / log2(3) + 1 / log2(4)), 6), 2: 0.0}

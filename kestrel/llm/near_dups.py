@@ -19,9 +19,13 @@ their Jaccard similarity reaches the threshold (0.7 here: TESTDATA fixes it).
    blocks meet in tasks of their own.  Each pair goes on once.
 5. *Suffix filter.*  Both sets are parted at PIVOTS fixed pivots of the hash
    order; between two pivots they share no more than the smaller part holds,
-   which bounds the overlap from above.
-6. *Verification.*  Sets that pass are intersected once per pair, on all 64
-   bits of the hashes.
+   which bounds the overlap from above.  Sizes of parts travel as half bytes;
+   parts of 15 and more on both sides bound nothing, and the pair goes on.
+6. *Verification.*  Sets that pass are intersected once per pair on 32 bits of
+   the hashes.  Two sets lose at most as many common hashes by that as the one
+   that loses fewer has hashes that coincide on 32 bits, so no pair below the
+   overlap needed less that number can be one; pairs from there to a margin
+   above, which grows with the product of the sizes, are intersected on 64.
 
 Defined results: null, empty and short texts (under 40 tokens) have no
 partners; equal token sequences are similar; repeated rows (same id) count
@@ -202,9 +206,9 @@ def frequency_table(records: DataFrame) -> np.ndarray:
 _SIGNED = np.int64
 _RECORD = pa.schema(
     [("id", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
-     ("blocks", pa.list_(pa.int32()))]
+     ("blocks", pa.list_(pa.int32())), ("parts", pa.binary())]
 )
-RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, blocks array<int>"
+RECORD_SCHEMA = "id bigint, sig_a bigint, sig_b bigint, n int, grams array<bigint>, places array<int>, blocks array<int>, parts binary"
 
 
 def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float, usual: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +235,8 @@ def _table_of(raw: bytes) -> tuple[np.ndarray, float]:
     if key not in _TABLE:
         _TABLE.clear()
         table = np.frombuffer(zlib.decompress(raw), np.uint8)
-        many = np.bincount(table, minlength=256)
+        step = 1 << BLOCK_BITS  # counted piece by piece: numpy widens what it counts
+        many = sum(np.bincount(table[k : k + step], minlength=256) for k in range(0, len(table), step))
         _TABLE[key] = table, float(many @ decoded(np.arange(256)) / len(table))
     return _TABLE[key]
 
@@ -251,57 +256,89 @@ def _record_batches(batches, table, threshold):
             out["grams"].append(grams.view(_SIGNED))
             out["places"].append(places)
             out["blocks"].append(blocks)
+            out["parts"].append(parts_of(s))
         yield pa.RecordBatch.from_pydict(out, _RECORD)
 
 
-_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
-SET_SCHEMA = "id bigint, grams array<bigint>"
+_SET = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64())), ("low", pa.list_(pa.int32()))])
+SET_SCHEMA = "id bigint, grams array<bigint>, low array<int>"
 #: Ids that may be sent to every task.
 BROADCAST_IDS = 8_000_000
 
 
+def low_bits(s: np.ndarray) -> np.ndarray:
+    """The distinct values of 32 bits of a set's hashes."""
+    return np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
 def _set_batches(batches):
     for b in by_bytes(batches):
         ids = b.column("id").to_pylist()
-        rows = [(ids[k], s.view(_SIGNED)) for k, _, s in _sets(b)]
-        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1] for r in rows]}, _SET)
+        rows = [(ids[k], s) for k, _, s in _sets(b)]
+        yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1].view(_SIGNED) for r in rows], "low": [low_bits(r[1]).view(np.int32) for r in rows]}, _SET)
+
 
+_FULL = 15
 
-def parts(s: np.ndarray) -> np.ndarray:
-    """How many hashes of a set lie between each two pivots."""
-    return np.bincount((s >> np.uint64(65 - PIVOTS.bit_length())).astype(np.int64), minlength=PIVOTS)
 
+def parts_of(s: np.ndarray) -> bytes:
+    """How many hashes of a set lie between each two pivots, up to _FULL, as half bytes."""
+    n = np.minimum(np.bincount((s >> np.uint64(65 - PIVOTS.bit_length())).astype(np.int64), minlength=PIVOTS), _FULL).astype(np.uint8)
+    return (n[0::2] | n[1::2] << 4).tobytes()
 
-def passes_suffix_filter(a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Whether two sets may share ``need`` hashes: no more than the smaller part between each two pivots."""
-    return int(np.minimum(parts(a), parts(b)).sum()) >= need
 
+def most_shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Per pair of sets, how many hashes they may share at most by their parts; very many where that can't be told."""
+    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(len(p), -1) for p in (a, b))
+    total = np.zeros(len(a), np.int64)
+    for u, v in ((x & 15, y & 15), (x >> 4, y >> 4)):
+        least = np.minimum(u, v).astype(np.int64)
+        total += np.where(least == _FULL, 1 << 40, least).sum(axis=1)
+    return total
 
-def needed(n_a: int, n_b: int, threshold: float) -> int:
+
+def needed(n_a, n_b, threshold: float):
     """The overlap two sets must have."""
-    return math.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+    return np.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9).astype(np.int64)
+
+
+def margin(n_a: int, n_b: int) -> float:
+    """Hashes that coincide on 32 bits by chance stay below this: eight and sixteen times as many as are to be expected."""
+    return 8 + 16 * n_a * n_b / 2**32
 
 
-_PAIR = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64()), ("similarity", pa.float64())])
+def _suffix_filter(batches, threshold):
+    for b in batches:
+        if b.num_rows:
+            n_a, n_b = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            keep = most_shared(*(b.column(c).to_pylist() for c in ("parts_a", "parts_b"))) >= needed(n_a, n_b, threshold)
+            yield b.filter(pa.array(keep)).select(["rep_a", "rep_b", "n_a", "n_b"])
+
+
+_CHECKED = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("similarity", pa.float64())])
+_CHECKED_SCHEMA = "rep_a bigint, rep_b bigint, n_a int, n_b int, similarity double"
 
 
-def _verify(batches, threshold):
+def _verify(batches, threshold, exact):
+    """Pairs that reach the threshold with their similarity; on 32 bits null where only 64 can tell."""
     for b in by_bytes(batches, 16 << 20):
-        cols = [b.column(c).to_pylist() for c in ("rep_a", "rep_b")]
-        sets = [b.column(c) for c in ("grams_a", "grams_b")]
         rows = []
-        for k, (i, j) in enumerate(zip(*cols)):
-            x, y = (c[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in sets)
-            need = needed(len(x), len(y), threshold)
-            if passes_suffix_filter(x, y, need):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= need:
-                    rows.append((i, j, round(both / (len(x) + len(y) - both), 6)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _PAIR.types[n]) for n in range(3)], schema=_PAIR)
+        for k, (i, j, n_a, n_b) in enumerate(zip(*(b.column(c).to_pylist() for c in ("rep_a", "rep_b", "n_a", "n_b")))):
+            x, y = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("set_a", "set_b"))
+            need, both = int(needed(n_a, n_b, threshold)), len(np.intersect1d(x, y, assume_unique=True))
+            if exact:
+                sure = both >= need
+            else:
+                sure = both >= need + margin(n_a, n_b)
+                if not sure and both >= need - min(n_a - len(x), n_b - len(y)):
+                    rows.append((i, j, n_a, n_b, None))
+            if sure:
+                rows.append((i, j, n_a, n_b, round(both / (n_a + n_b - both), 6)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _CHECKED.types[n]) for n in range(5)], schema=_CHECKED)
 
 
 def classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: id, rep), (classes: rep, n, grams, places, blocks); the table behind; ``records`` has id, text, parent."""
+    """(members: id, rep), (classes: rep, n, grams, places, blocks, parts); the table behind; ``records`` has id, text, parent."""
     spark = records.sparkSession
     text_batches(spark)
     records = spread(records.select("id", "text", "parent").where("id is not null and text is not null"))
@@ -343,13 +380,18 @@ def met_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 def similar_classes(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): pairs (rep_a < rep_b, similarity) of classes that reach the threshold, each verified once."""
     members, reps, made = classes(records, threshold)
-    near = materialized(met_pairs(reps, threshold), "candidates")
+    size = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
+    met = met_pairs(reps, threshold).join(size("a"), "rep_a").join(size("b"), "rep_b")
+    near = met.mapInArrow(partial(_suffix_filter, threshold=threshold), "rep_a bigint, rep_b bigint, n_a int, n_b int").distinct()  # repeated rows give sizes twice
+    near = materialized(near, "candidates")
     release(made)
     sets = materialized(_sets_of(records, near), "sets")
-    side = lambda x: sets.select(F.col("id").alias(f"rep_{x}"), F.col("grams").alias(f"grams_{x}"))
-    checked = near.join(side("a"), "rep_a").join(side("b"), "rep_b").mapInArrow(partial(_verify, threshold=threshold), "rep_a bigint, rep_b bigint, similarity double")
-    pairs = materialized(checked.distinct(), "pairs")  # repeated rows give a set twice
-    release(near, sets)
+    side = lambda c, x: sets.select(F.col("id").alias(f"rep_{x}"), F.col(c).alias(f"set_{x}"))
+    check = lambda pairs, c, exact: pairs.join(side(c, "a"), "rep_a").join(side(c, "b"), "rep_b").mapInArrow(partial(_verify, threshold=threshold, exact=exact), _CHECKED_SCHEMA).distinct()
+    rough = materialized(check(near, "low", False), "rough")
+    exact = check(rough.where("similarity is null").drop("similarity"), "grams", True)
+    pairs = materialized(rough.where("similarity is not null").unionByName(exact).select("rep_a", "rep_b", "similarity"), "pairs")
+    release(near, sets, rough)
     return members, pairs
 
 
@@ -362,7 +404,7 @@ def _keep_batches(batches, ids):
 
 
 def _sets_of(records: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, grams): the shingle sets of all classes in candidate pairs, from their texts.
+    """(id, grams, low): the shingle sets of all classes in candidate pairs, from their texts.
 
     Up to BROADCAST_IDS ids (64 MB) are sent to the tasks, which then read the
     texts in place; beyond it the texts are shuffled to the ids.
@@ -407,3 +449,14 @@ def near_links(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         members.join(sizes, "rep").join(ends, "rep", "left").where("n_copies > 1 or n_links is not null")
         .select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+
+
+#: All pairs through all shared shingles: for small tables.
+FOUND_SQL = r"""
+WITH one AS (SELECT DISTINCT chunk_id, CASE WHEN parent IS NOT NULL AND starts_with(text, '# in ') THEN substr(text, strpos(text, chr(10)) + 1) ELSE text END AS text FROM chunks),
+t AS (SELECT chunk_id, list_transform(regexp_extract_all(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda z: lower(z)) AS k FROM one),
+s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS g FROM t WHERE len(k) >= 40),
+e AS (SELECT chunk_id, len(g) AS n, unnest(g) AS x FROM s)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM e a JOIN e b ON a.x = b.x AND a.chunk_id < b.chunk_id
+GROUP BY a.chunk_id, b.chunk_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9
+"""

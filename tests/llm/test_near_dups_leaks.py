@@ -58,10 +58,15 @@ def test_table_size_is_bounded():
 
 
 def _verified(a, b, threshold=0.7):
+    """What both rounds of verification make of a pair; the second is asked only where the first can't tell."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"rep_a": [1], "rep_b": [2], "grams_a": [a.view("int64")], "grams_b": [b.view("int64")]})
-    return [r for out in near_dups._verify([batch], threshold) for r in out.to_pylist()]
+    def ask(x, y, exact):
+        batch = pa.RecordBatch.from_pydict({"rep_a": [1], "rep_b": [2], "n_a": [len(a)], "n_b": [len(b)], "set_a": [x], "set_b": [y]})
+        return [r["similarity"] for out in near_dups._verify([batch], threshold, exact) for r in out.to_pylist()]
+
+    got = ask(near_dups.low_bits(a), near_dups.low_bits(b), False)
+    return ask(a, b, True) if got == [None] else got
 
 
 def test_pairs_at_the_threshold_are_kept_however_long():
@@ -72,9 +77,10 @@ def test_pairs_at_the_threshold_are_kept_however_long():
         for _ in range(5):
             pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
             rng.shuffle(pool)
-            need = near_dups.needed(n, n, 0.7)
+            need = int(near_dups.needed(np.array(n), np.array(n), 0.7))
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:need], pool[n : 2 * n - need]]))
             assert len(b) == n and len(_verified(a, b)) == 1
+            assert near_dups.most_shared([near_dups.parts_of(a)], [near_dups.parts_of(b)])[0] >= need
             assert _verified(a, np.sort(np.concatenate([pool[: need - 1], pool[n : 2 * n - need + 1]]))) == []
 
 
@@ -84,11 +90,11 @@ def test_suffix_filter_bounds_the_overlap():
     rng = np.random.default_rng(8)
     rejected = 0
     for _ in range(300):
-        a, b = (np.unique(rng.integers(0, 2**64, rng.integers(40, 300), dtype=np.uint64)) for _ in range(2))
+        a, b = (np.unique(rng.integers(0, 2**64, rng.integers(40, 3000), dtype=np.uint64)) for _ in range(2))
         b = np.unique(np.concatenate([b, a[: rng.integers(0, len(a))]]))
-        both = len(np.intersect1d(a, b))
-        assert near_dups.passes_suffix_filter(a, b, both)
-        rejected += not near_dups.passes_suffix_filter(a, b, near_dups.needed(len(a), len(b), 0.7))
+        most = near_dups.most_shared([near_dups.parts_of(a)], [near_dups.parts_of(b)])[0]
+        assert most >= len(np.intersect1d(a, b))
+        rejected += most < near_dups.needed(np.array(len(a)), np.array(len(b)), 0.7)
     assert rejected > 100
 
 

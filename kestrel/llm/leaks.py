@@ -280,3 +280,20 @@ def leak_report(documents: DataFrame, cases: DataFrame) -> DataFrame:
     )
     split = cases.groupBy("case_id").agg(F.min("repo").alias("repo"), F.min("split").alias("split"))
     return per.join(split, "case_id").select("case_id", "repo", "split", "n_documents", "n_exact", "n_whole", "n_edited", "best")
+
+
+def _words_sql(text: str) -> str:
+    plain = f"regexp_replace(lower({text}), '</?[a-z][^<>\\n]*>|<!--(?:.|\\n)*?-->', ' ', 'g')"
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("#39", "''"), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{mark}')"
+    return f"regexp_extract_all({plain}, '[\\p{{L}}\\p{{N}}]+(?:_+[\\p{{L}}\\p{{N}}]+)*')"
+
+
+#: Every run of 13 words of every passage looked up among those of every document.
+FOUND_SQL = f"""
+WITH p AS (SELECT case_id, {_words_sql("passage")} AS w FROM eval_cases WHERE passage IS NOT NULL AND case_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+pr AS (SELECT DISTINCT case_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS x FROM p WHERE len(w) >= 13),
+dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS x FROM d WHERE len(w) >= 13)
+SELECT DISTINCT case_id, doc_id FROM pr JOIN dr USING (x)
+"""

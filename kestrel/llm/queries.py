@@ -37,12 +37,22 @@ def p1_errors(spark, d):
     return validity.file_errors(_files(spark, d), _chunks(spark, d))
 
 
+@query("p1_all_errors")
+def p1_all_errors(spark, d):
+    return validity.all_errors(_files(spark, d))
+
+
+@query("p1_acceptance")
+def p1_acceptance(spark, d):
+    return validity.acceptance(_files(spark, d))
+
+
 @query("p1_rates")
 def p1_rates(spark, d):
     return validity.error_rates(_files(spark, d))
 
 
-@query("p4_found")
+@query("p4_found", near_dups.FOUND_SQL)
 def p4_found(spark, d):
     return near_dups.near_pairs(_chunks(spark, d))
 
@@ -81,7 +91,7 @@ def _documents(spark, d):
     return table(spark, d, "documents")
 
 
-@query("p8_found")
+@query("p8_found", leaks.FOUND_SQL)
 def p8_found(spark, d):
     return leaks.leaked(_documents(spark, d), table(spark, d, "eval_cases"))
 

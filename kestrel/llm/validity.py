@@ -72,6 +72,23 @@ def file_errors(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def all_errors(files: DataFrame) -> DataFrame:
+    """One row per error of every file, in order of place; the first is the cause."""
+    once = parsed_files(files).where(F.size("errors") > 0).groupBy("file_id").agg(
+        F.first("repo").alias("repo"), F.first("path").alias("path"), F.first("language").alias("language"), F.first("errors").alias("errors")
+    )
+    each = once.select("file_id", "repo", "path", "language", F.posexplode("errors").alias("k", "e"))
+    return each.select("file_id", "repo", "path", "language", (F.col("k") + 1).alias("error_no"), (F.col("k") == 0).alias("is_first"), F.col("e.line").alias("line"), F.col("e.cause").alias("cause"))
+
+
+def acceptance(files: DataFrame) -> DataFrame:
+    """Per language: files, files that its grammar accepts, their share, errors in the others."""
+    one = parsed_files(files).groupBy("file_id").agg(F.first("language").alias("language"), F.max(F.size("errors")).alias("n"))
+    return one.groupBy("language").agg(
+        F.count("*").alias("n_files"), F.sum((F.col("n") == 0).cast("int")).alias("n_accepted"), F.round(F.avg((F.col("n") == 0).cast("int")), 6).alias("acceptance"), F.sum("n").alias("n_errors")
+    )
+
+
 def error_rates(files: DataFrame) -> DataFrame:
     """Per repository and language: files, files that do not parse, their rate."""
     one = parsed_files(files).groupBy("file_id").agg(

@@ -64,15 +64,15 @@ def window_chunks(spark, d):
     return FL.windows(_files(spark, d)).select("file_id", "start_line", "end_line", F.md5("text").alias("text_md5"))
 
 
-@query("blank_drop", _WINDOWS + " SELECT count(*) AS n_windows, sum(CASE WHEN regexp_matches(text, '\\S') THEN 1 ELSE 0 END)::BIGINT AS n_kept FROM w")
+@query("blank_drop", _WINDOWS + " SELECT file_id, start_line, regexp_matches(text, '\\S') AS kept FROM w")
 def blank_drop(spark, d):
-    return FL.windows(_files(spark, d)).agg(F.count("*").alias("n_windows"), F.sum(FL.not_blank(F.col("text")).cast("int")).alias("n_kept"))
+    return FL.windows(_files(spark, d)).select("file_id", "start_line", FL.not_blank(F.col("text")).alias("kept"))
 
 
-@query("breadcrumb", """SELECT DISTINCT chunk_id, md5(CASE WHEN parent IS NOT NULL AND parent <> '' THEN '# in ' || parent || ':' || chr(10) || name ELSE name END) AS text_md5 FROM chunks WHERE name IS NOT NULL""")
+@query("breadcrumb", """SELECT DISTINCT chunk_id, md5(CASE WHEN parent IS NOT NULL AND parent <> '' THEN '# in ' || parent || ':' || chr(10) || text ELSE text END) AS text_md5 FROM chunks""")
 def breadcrumb(spark, d):
-    c = table(spark, d, "chunks", "chunk_id", "name", "parent").where("name is not null")
-    return c.select("chunk_id", F.md5(FL.breadcrumb(F.col("name"), F.col("parent"))).alias("text_md5")).distinct()
+    c = table(spark, d, "chunks", "chunk_id", "text", "parent")
+    return c.select("chunk_id", F.md5(FL.breadcrumb(F.col("text"), F.col("parent"))).alias("text_md5")).distinct()
 
 
 @query("syntax_chunks")
@@ -141,6 +141,25 @@ def greedy_batches(spark, d):
     return embedding.batch_numbers(c.distinct(), 3, 1500)
 
 
+#: Chunk ids that share a stream of batches; a group is never larger.
+STREAM = 2_000
+
+
+@query("greedy_batches_default", """
+WITH RECURSIVE c AS (SELECT DISTINCT repo || '/' || (chunk_id // 2000) AS grp, chunk_id AS id, greatest(1, length(text) // 3)::INT AS tokens FROM chunks),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS k FROM c),
+r AS (SELECT grp, id, tokens, k, 0 AS batch_no, 1 AS held, tokens AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.grp, o.id, o.tokens, o.k, CASE WHEN r.held = 128 OR r.used + o.tokens > 80000 THEN r.batch_no + 1 ELSE r.batch_no END,
+    CASE WHEN r.held = 128 OR r.used + o.tokens > 80000 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held = 128 OR r.used + o.tokens > 80000 THEN o.tokens ELSE r.used + o.tokens END
+  FROM r JOIN o ON o.grp = r.grp AND o.k = r.k + 1)
+SELECT grp, id, tokens, batch_no::INT AS batch_no FROM r""")
+def greedy_batches_default(spark, d):
+    """Greedy batches with the limits of the remote model, over stretches of each repository's chunks."""
+    c = table(spark, d, "chunks", "chunk_id", "repo", "text")
+    grp = F.concat("repo", F.lit("/"), F.floor(F.col("chunk_id") / STREAM).cast("string"))
+    return embedding.batch_numbers(c.select(grp.alias("grp"), F.col("chunk_id").alias("id"), FL.token_estimate(F.col("text")).alias("tokens")).distinct())
+
+
 _EVENTS = """ev AS (SELECT event_id, ts, user_id, '/repo/' || event_type || CASE WHEN event_id % 5 = 0 THEN '/.git/x' WHEN event_id % 7 = 0 THEN '/node_modules/x' ELSE '/src/x' END AS path, event_id % 11 = 0 AS is_directory FROM events)"""
 
 

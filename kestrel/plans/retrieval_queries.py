@@ -366,3 +366,59 @@ def search_missing(spark, d):
 @query("search_by_group")
 def search_by_group(spark, d):
     return R.evaluate(_searched(spark, d))
+
+
+# -- evaluation on cases whose answer exists: the name of every twentieth chunk that has one, and its file --
+_FOUND_CASES = f""",
+queries AS (SELECT row_id AS qid, array_to_string({toks_sql('name')}, ' ') AS query FROM corpus WHERE row_id % 20 = 0 AND len({toks_sql('name')}) > 0),
+qt AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT qid, unnest({toks_sql('query')}) AS tok FROM queries) GROUP BY ALL)"""
+
+
+def _found_sql(k: int) -> str:
+    return "WITH " + LENGTHS + _FOUND_CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", RERANKED, 0.7, k)
+
+
+_FOUND = _found_sql(R.RESULTS) + """,
+want AS (SELECT row_id AS qid, split_part(path, '/', 1) AS repo, path AS part FROM corpus WHERE row_id IN (SELECT qid FROM queries)),
+per AS (SELECT w.qid, w.repo, w.part, max(CASE WHEN contains(h.path, w.part) THEN 1 ELSE 0 END) AS found FROM want w LEFT JOIN best h USING (qid) GROUP BY ALL)"""
+
+
+def _found_cases(spark, d):
+    t = tokens(F.col("name"))
+    named = corpus(spark, d).where((F.col("row_id") % 20 == 0) & (F.size(t) > 0))
+    return named.select(F.col("row_id").alias("qid"), F.split("path", "/")[0].alias("repo"), F.array_join(t, " ").alias("query"), F.array("path").alias("expect"))
+
+
+def _found(spark, d):
+    c, k = corpus(spark, d), _found_cases(spark, d)
+    hits = R.search(k.select("qid", "query"), c, materialized(R.postings(c), "postings"))
+    return R.recall(hits.select("qid", "path"), k)
+
+
+@query("found_recall_at_k", _FOUND + " SELECT qid, 1::BIGINT AS n_expected, found::BIGINT AS n_found, found::DOUBLE AS recall FROM per")
+def found_recall_at_k(spark, d):
+    return _found(spark, d).select("qid", "n_expected", "n_found", "recall")
+
+
+@query("found_missing", _FOUND + " SELECT qid, found::INT AS hit, CASE WHEN found = 0 THEN part ELSE '' END AS missing FROM per")
+def found_missing(spark, d):
+    return _found(spark, d).select("qid", "hit", "missing")
+
+
+@query("found_by_group", _FOUND + " SELECT repo, count(*) AS n_cases, round(avg(found), 6) AS recall, round(avg(found), 6) AS hit FROM per GROUP BY ROLLUP (repo)")
+def found_by_group(spark, d):
+    return R.evaluate(_found(spark, d))
+
+
+@query("found_ndcg", _found_sql(10) + """,
+grades AS (SELECT a.row_id AS qid, b.row_id, CASE WHEN a.row_id = b.row_id THEN 2 ELSE 1 END AS grade FROM corpus a JOIN corpus b ON a.path = b.path WHERE a.row_id IN (SELECT qid FROM queries)),
+ideal AS (SELECT qid, sum((pow(2.0, grade) - 1) / log2(place + 2)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, row_id) - 1 AS place FROM grades) WHERE place < 10 GROUP BY qid),
+got AS (SELECT g.qid, sum((pow(2.0, g.grade) - 1) / log2(h.rank + 2)) AS dcg FROM best h JOIN grades g ON g.qid = h.qid AND g.row_id = h.row_id GROUP BY g.qid)
+SELECT i.qid, round(coalesce(g.dcg, 0) / i.best, 6) AS ndcg FROM ideal i LEFT JOIN got g USING (qid)""")
+def found_ndcg(spark, d):
+    """NDCG at 10 of the searches for those names: the chunk itself is worth most, others of its file less."""
+    c, k = corpus(spark, d), _found_cases(spark, d)
+    hits = R.search(k.select("qid", "query"), c, materialized(R.postings(c), "postings"), k=10)
+    rows = c.select("row_id", "path")
+    grades = rows.join(k.select("qid", F.col("expect")[0].alias("path")), "path").select("qid", "row_id", F.when(F.col("qid") == F.col("row_id"), 2).otherwise(1).alias("grade"))
+    return R.ndcg(hits, grades)

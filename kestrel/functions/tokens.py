@@ -24,11 +24,6 @@ def tokenize(text: str) -> list[str]:
     return [t.lower() for t in _TOKEN.findall(text)]
 
 
-def raw_tokens(text: str) -> list[str]:
-    """Tokens before lower-casing."""
-    return _TOKEN.findall(text)
-
-
 def tokens(text: Column) -> Column:
     """array<string> of the tokens of a text column, JVM-side; null gives an empty array."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0)), F.lower)

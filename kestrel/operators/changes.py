@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import materialized, shared_dir
+from kestrel.session import materialized, scratch_dir
 from kestrel.sources.store import VersionedTable
 
 
@@ -112,7 +112,7 @@ def replay(scans: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = materialized(listings(scans, runs), "listings", "seq")
     ok = materialized(ok, "runs")
     rounds = ok.agg(F.max("seq")).first()[0] or 0
-    table = VersionedTable(spark, shared_dir(spark), f"kestrel-target-{uuid.uuid4().hex}")
+    table = VersionedTable(spark, scratch_dir(spark), f"target-{uuid.uuid4().hex}")
     made = []
     for n in range(1, rounds + 1):
         source = listed.where(F.col("seq") == n).select("repo", "path", "file_hash", "run_id", "seq")

@@ -56,8 +56,10 @@ def key_of(path: Column, start_line: Column) -> Column:
 
 
 def postings(corpus: DataFrame, scope: Scope = ()) -> DataFrame:
-    """(row_id, tok, tf): partial counts are made before the shuffle."""
-    return corpus.select(*scope, "row_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy(*scope, "row_id", "tok").agg(F.count("*").alias("tf"))
+    """(row_id, dl, tok, tf), dl being the row's number of tokens: partial counts are made before the shuffle."""
+    t = corpus.select(*scope, "row_id", tokens(F.col("text")).alias("t"))
+    each = t.select(*scope, "row_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("tok"))
+    return each.groupBy(*scope, "row_id", "dl", "tok").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(post: DataFrame, scope: Scope = ()) -> DataFrame:
@@ -68,17 +70,19 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
 
 
-def lengths_of(corpus: DataFrame, post: DataFrame, scope: Scope = ()) -> DataFrame:
-    """(row_id, dl) from postings already made."""
-    dl = post.groupBy("row_id").agg(F.sum("tf").alias("dl"))
-    return corpus.select(*scope, "row_id").join(dl, "row_id", "left").select(*scope, "row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-
-
 def corpus_stats(lengths: DataFrame, scope: Scope = ()) -> DataFrame:
     """One row (a scope): rows (token-less ones too) and mean length."""
     return lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def stats_of(rows: DataFrame, post: DataFrame, scope: Scope = ()) -> DataFrame:
+    """The same from postings already made: their counts add up to all tokens, no row is counted on its own."""
+    n = rows.groupBy(*scope).agg(F.count("*").alias("n"))
+    total = post.groupBy(*scope).agg(F.sum("tf").alias("total"))
+    both = n.join(F.broadcast(total), [*scope], "left") if scope else n.join(F.broadcast(total))
+    return both.select(*scope, "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
+
+
 def query_tokens(queries: DataFrame, scope: Scope = ()) -> DataFrame:
     """(qid, tok, qtf): repeated tokens count repeatedly."""
     return queries.select(*scope, "qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy(*scope, "qid", "tok").agg(F.count("*").alias("qtf"))
@@ -92,23 +96,15 @@ def inverse_frequencies(df: DataFrame, stats: DataFrame, scope: Scope = ()) -> D
     return _joined(raw, F.broadcast(mean), scope).select(*scope, "tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, lengths: DataFrame, scope: Scope = ()) -> DataFrame:
-    """(qid, row_id, score) of the rows that hold a query token; only their postings are weighed.
-
-    Postings meet their row's length before they meet the queries, so what is
-    shuffled is one row per posting, not one per posting and query.
-    """
-    stats = corpus_stats(lengths, scope)
+def bm25_scores(queries: DataFrame, post: DataFrame, rows: DataFrame, scope: Scope = ()) -> DataFrame:
+    """(qid, row_id, score) of the rows that hold a query token; only their postings are weighed, and these hold their row's length."""
+    stats = stats_of(rows, post, scope)
     wanted = query_tokens(queries, scope)
     idf = inverse_frequencies(doc_freq(post, scope), stats, scope)
     terms = idf.join(F.broadcast(wanted), [*scope, "tok"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    held = post.join(F.broadcast(wanted.select(*scope, "tok").distinct()), [*scope, "tok"], "left_semi").join(lengths.select("row_id", "dl"), "row_id")
-    return (
-        _joined(held.join(F.broadcast(terms), [*scope, "tok"]), F.broadcast(stats.select(*scope, "avgdl")), scope)
-        .groupBy("qid", "row_id")
-        .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
-    )
+    weighed = _joined(post.join(F.broadcast(terms), [*scope, "tok"]), F.broadcast(stats.select(*scope, "avgdl")), scope)
+    return weighed.groupBy("qid", "row_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
 def top(scores: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -122,8 +118,7 @@ def search_tables() -> dict:
     """What is published with an index so that searches build nothing: postings sorted by token, with lengths; inverse frequencies; mean length."""
 
     def post(rows):
-        p = postings(rows)
-        return p.join(p.groupBy("row_id").agg(F.sum("tf").alias("dl")), "row_id").repartitionByRange("tok", "row_id").sortWithinPartitions("tok", "row_id")
+        return postings(rows).repartitionByRange("tok", "row_id").sortWithinPartitions("tok", "row_id")
 
     def terms(rows):
         return inverse_frequencies(doc_freq(postings(rows)), corpus_stats(doc_lengths(rows)))
@@ -139,15 +134,16 @@ def filled(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top(hits.unionByName(zero), k, [F.desc("score"), F.col("row_id")])
 
 
-def bm25_top(queries: DataFrame, post: DataFrame, lengths: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
+def bm25_top(queries: DataFrame, post: DataFrame, rows: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
     """(qid, row_id, score, rank): min(k, rows) entries, filled up with rows that score nothing, in row order."""
-    hits = top(bm25_scores(queries, post, lengths, scope).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
-    first = lengths.select("row_id").orderBy("row_id").limit(2 * k)
+    hits = top(bm25_scores(queries, post, rows, scope).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
+    hits = materialized(hits, "hits")  # k rows a query, read twice
+    first = rows.select("row_id").orderBy("row_id").limit(2 * k)
     if scope:
         w = Window.partitionBy(*scope).orderBy("row_id")
-        first = lengths.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
+        first = rows.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
     fill = _joined(queries.select(*scope, "qid"), F.broadcast(first), scope).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
-    return top(hits.unionByName(fill), k, [F.desc("score"), F.col("row_id")])
+    return top(hits.select("qid", "row_id", "score").unionByName(fill), k, [F.desc("score"), F.col("row_id")])
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -238,14 +234,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, scope:
 
 
 def _hex(k: int) -> Column:
-    return F.expr(f"instr('0123456789abcdef', substring(md5(tok), {k}, 1)) - 1")
+    return F.expr(f"instr('0123456789abcdef', substring(h, {k}, 1)) - 1")
 
 
 def hashed_vectors(toks: DataFrame, owner: str, count: str, out: str, scope: Scope = ()) -> DataFrame:
     """(owner, out): token counts hashed into DIM buckets with signs, from md5; a token is hashed once per row that holds it."""
     b = (_hex(1) * 4 + F.floor(_hex(2) / 4)).cast("int")
     sign = F.when(_hex(3) < 8, 1).otherwise(-1)
-    v = toks.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").cast("double").alias("v")).where("v <> 0")
+    hashed = toks.select(*scope, owner, count, F.md5("tok").alias("h"))
+    v = hashed.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").cast("double").alias("v")).where("v <> 0")
     at = F.map_from_entries(F.collect_list(F.struct("b", "v")))
     whole = v.groupBy(*scope, owner).agg(at.alias("at"))
     return whole.select(*scope, owner, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.coalesce(F.col("at")[k], F.lit(0.0))).alias(out))
@@ -378,10 +375,11 @@ def search(
     if dense is None or lexical is None:
         post = postings(corpus, scope) if post is None else post
     dense = embedded_top(queries, post, candidates, scope) if dense is None else dense
-    lexical = bm25_top(queries, post, lengths_of(corpus, post, scope), candidates, scope) if lexical is None else lexical
-    dense, lexical = (x.select("qid", "row_id", "rank", F.lit(n).alias("list_no")) for n, x in enumerate((dense, lexical)))
     rows = corpus.select(*scope, "row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
-    chosen = pool_of(fuse(dense.union(lexical).join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)
+    lexical = bm25_top(queries, post, rows, candidates, scope) if lexical is None else lexical
+    dense, lexical = (x.select("qid", "row_id", "rank", F.lit(n).alias("list_no")) for n, x in enumerate((dense, lexical)))
+    ranked = materialized(dense.union(lexical), "ranked")  # two lists a query
+    chosen = pool_of(fuse(ranked.join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)
     if graph:
         chosen = expand(chosen, corpus, scope=scope)
     full = chosen.drop(*scope).join(corpus, "row_id").join(queries.select("qid", tokens(F.col("query")).alias("qtoks")), "qid")

@@ -186,9 +186,3 @@ def debounce_sessions(spark, d):
     e = _events(spark, d).where(watch.wanted_event(F.col("path"), F.col("is_directory"), ("/repo/view",)))
     s = watch.sessions(e, ["user_id"], gap="30 minutes")
     return s.select("user_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"), "n_events")
-
-
-@query("embedded_vectors")
-def embedded_vectors(spark, d):
-    v = embedding.embed_column(table(spark, d, "chunks", "chunk_id", "text").dropDuplicates(["chunk_id"]), embedding.make_embedder())
-    return v.select("chunk_id", F.size("vector").alias("dim"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))

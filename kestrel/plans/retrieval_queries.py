@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions.tokens import GENERIC_NAME_TOKENS, tokens
+from kestrel.operators import embedding
 from kestrel.operators import retrieval as R
 from kestrel.plans.queries import query
 from kestrel.session import materialized
@@ -106,7 +107,7 @@ def all_cases(spark, d):
 def _index(spark, d):
     c = corpus(spark, d)
     post = materialized(R.postings(c), "postings")
-    return c, post, R.lengths_of(c, post)
+    return c, post, c.select("row_id")
 
 
 @query("tokenize_counts", "WITH " + CORPUS + f" SELECT row_id, len({toks_sql('text')}) AS n_tokens, len(list_distinct({toks_sql('text')})) AS n_distinct FROM corpus")
@@ -117,7 +118,7 @@ def tokenize_counts(spark, d):
 
 @query("postings", "WITH " + POST + " SELECT row_id, tok, tf FROM post")
 def postings(spark, d):
-    return R.postings(corpus(spark, d))
+    return R.postings(corpus(spark, d)).select("row_id", "tok", "tf")
 
 
 @query("doc_freq", "WITH " + POST + " SELECT tok, count(*) AS df FROM post GROUP BY tok")
@@ -132,14 +133,14 @@ def corpus_stats(spark, d):
 
 @query("bm25_topk", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, score, rank::INT AS rank FROM bm")
 def bm25_topk(spark, d):
-    _, post, lengths = _index(spark, d)
-    return R.bm25_top(cases(spark, d).select("qid", "query"), post, lengths)
+    _, post, rows = _index(spark, d)
+    return R.bm25_top(cases(spark, d).select("qid", "query"), post, rows)
 
 
 @query("bm25_zero_fill", "WITH " + LENGTHS + NONE + BM25 + " SELECT qid, row_id, score, rank::INT AS rank FROM bm")
 def bm25_zero_fill(spark, d):
-    _, post, lengths = _index(spark, d)
-    return R.bm25_top(all_cases(spark, d).select("qid", F.reverse("query").alias("query")), post, lengths)
+    _, post, rows = _index(spark, d)
+    return R.bm25_top(all_cases(spark, d).select("qid", F.reverse("query").alias("query")), post, rows)
 
 
 @query("dense_topk", """
@@ -160,11 +161,11 @@ def embedded_topk(spark, d):
 
 
 def _ranked(spark, d):
-    c, post, lengths = _index(spark, d)
+    c, post, rows = _index(spark, d)
     q = all_cases(spark, d)
-    rows = c.select("row_id", R.key_of(F.col("path"), F.col("start_line")).alias("key"))
-    both = R.embedded_top(q, post).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, post, lengths).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
-    return c, both.join(rows, "row_id").select("qid", "list_no", "rank", "key")
+    keys = c.select("row_id", R.key_of(F.col("path"), F.col("start_line")).alias("key"))
+    both = R.embedded_top(q, post).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, post, rows).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
+    return c, both.join(keys, "row_id").select("qid", "list_no", "rank", "key")
 
 
 @query("rrf_fuse", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + " SELECT qid, key, rrf, pos::INT AS pos FROM fused")
@@ -246,8 +247,8 @@ def sigmoid_rerank(spark, d):
 
 @query("rank_proxy", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
 def rank_proxy(spark, d):
-    _, post, lengths = _index(spark, d)
-    return R.bm25_top(all_cases(spark, d), post, lengths).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
+    _, post, rows = _index(spark, d)
+    return R.bm25_top(all_cases(spark, d), post, rows).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
 
 
 def _mmr_sql(lam: float) -> str:
@@ -309,9 +310,9 @@ per AS (SELECT qid, repo, count(*) AS n_expected, sum(found)::BIGINT AS n_found,
 
 
 def _per_case(spark, d):
-    c, post, lengths = _index(spark, d)
+    c, post, rows = _index(spark, d)
     k = cases(spark, d)
-    hits = R.bm25_top(k.select("qid", "query"), post, lengths).where("rank < 8").join(c.select("row_id", "path"), "row_id")
+    hits = R.bm25_top(k.select("qid", "query"), post, rows).where("rank < 8").join(c.select("row_id", "path"), "row_id")
     return R.recall(hits.select("qid", "path"), k)
 
 
@@ -422,3 +423,14 @@ def found_ndcg(spark, d):
     rows = c.select("row_id", "path")
     grades = rows.join(k.select("qid", F.col("expect")[0].alias("path")), "path").select("qid", "row_id", F.when(F.col("qid") == F.col("row_id"), 2).otherwise(1).alias("grade"))
     return R.ndcg(hits, grades)
+
+
+@query("embedded_vectors", "WITH " + POST + f""",
+dv AS (SELECT row_id, b, sum(s) AS v FROM (SELECT row_id, {_B} AS b, {_S} * tf AS s FROM post) GROUP BY ALL HAVING sum(s) <> 0),
+dn AS (SELECT row_id, sqrt(sum(v * v)::DOUBLE) AS norm FROM dv GROUP BY row_id)
+SELECT row_id AS chunk_id, b::INT AS b, round(v / norm, 4) AS value FROM dv JOIN dn USING (row_id)""")
+def embedded_vectors(spark, d):
+    """What the default embedder makes of every chunk, in its batches: the places that are not zero."""
+    v = embedding.embed_column(table(spark, d, "chunks", "chunk_id", "text").dropDuplicates(["chunk_id"]), embedding.HashedEmbedder())
+    each = v.select("chunk_id", F.posexplode("vector").alias("b", "x")).where("x <> 0")
+    return each.select("chunk_id", "b", F.round(F.col("x").cast("double"), 4).alias("value"))

@@ -38,6 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this application below the shared one; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    where = f"{shared_dir(spark).rstrip('/')}/kestrel-{sc.applicationId}"
+    if getattr(sc, "_kestrel_scratch", None) != where:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._kestrel_scratch = where
+    return where
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core: few large input files are dealt out once, many are left alone."""
     sc = df.sparkSession.sparkContext
@@ -84,7 +97,7 @@ def by_bytes(batches, limit: int = TEXT_BYTES):
 def materialized(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it is computed once, and lost executors cost nothing."""
     spark = df.sparkSession
-    where = f"{shared_dir(spark).rstrip('/')}/kestrel-{name}-{uuid.uuid4().hex}"
+    where = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*partition) if partition else df.write).parquet(where)
     out = spark.read.schema(df.schema).parquet(where)
     out.kestrel_path = where

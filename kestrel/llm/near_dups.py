@@ -45,7 +45,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.tokens import raw_tokens
 from kestrel.session import by_bytes, materialized, release, spread, text_batches
 
 THRESHOLD = 0.7
@@ -59,30 +58,62 @@ CHARACTERS = 7
 MERGE = 2_000
 #: Places at which sets are parted by the suffix filter (a power of two).
 PIVOTS = 256
+#: Bytes of text whose tokens are found at a time (some 60 bytes of work space each).
+WORK_BYTES = 1 << 20
 #: Records beyond the usual ones that a block of a frequent shingle's postings holds, about.
 BLOCK_POSTINGS = 4_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_IDS: dict[str, int] = {}
-_IDS_MAX = 400_000
-
+#: What a byte is to the tokens: nothing, an upper case letter, a lower case letter, a digit; and the byte in lower case.
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91], _KIND[97:123], _KIND[48:58] = 1, 2, 3
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def without_breadcrumb(text: str, parent: str | None) -> str:
+    """A chunk's text without the line that names its parent."""
+    if parent is not None and text.startswith("# in "):
+        cut = text.find("\n")
+        return text[cut + 1 :] if cut >= 0 else ""
+    return text
 
-def _token_hash(t: str) -> int:
-    h = xxhash.xxh64_intdigest(t.lower())
-    if len(_IDS) < _IDS_MAX:
-        _IDS[t] = h
-    return h
 
+def token_hashes(texts: list[str]) -> list[np.ndarray]:
+    """For each text one 64-bit hash per token, in order: all texts in one pass over their bytes.
 
-def token_hashes(text: str | None, parent: str | None) -> np.ndarray:
-    """One 64-bit hash per token, in order; the breadcrumb line of chunks with a parent is left out."""
-    if not text:
-        return np.empty(0, np.uint64)
-    if parent is not None and text.startswith("# in "):
-        cut = text.find("\n")
-        text = text[cut + 1 :] if cut >= 0 else ""
-    get = _IDS.get
-    return np.array([get(t) or _token_hash(t) for t in raw_tokens(text)], dtype=np.uint64)
+    A token begins at a digit behind none, at a lower case letter behind no
+    letter, at an upper case letter behind none or before a lower case one.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    kind = _KIND[buf]
+    before, after = np.append(np.uint8(0), kind[:-1]), np.append(kind[1:], np.uint8(0))
+    first = ((kind == 3) & (before != 3)) | ((kind == 2) & (before != 2) & (before != 1)) | ((kind == 1) & ((before != 1) | (after == 2)))
+    last = (kind > 0) & ((after == 0) | np.append(first[1:], True))
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _powers(len(buf))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((_LOWER[buf] + np.uint64(1)) * power, out=sums[1:])
+    h = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return np.split(h, np.searchsorted(start, ends[:-1]))
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -107,10 +138,11 @@ def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
 
 def _sets(batch):
     """(position in the batch, token hashes, shingles) of each record that is long enough."""
-    for k, (t, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column("parent").to_pylist())):
-        h = token_hashes(t, p)
-        if len(h) >= MIN_TOKENS:
-            yield k, h, shingles(h)
+    rows = [(k, without_breadcrumb(t, p)) for k, (t, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column("parent").to_pylist())) if t]
+    if rows:
+        for (k, _), h in zip(rows, token_hashes([t for _, t in rows])):
+            if len(h) >= MIN_TOKENS:
+                yield k, h, shingles(h)
 
 
 #: Counters up to EXACT are kept as they are, larger ones by their logarithm.
@@ -132,7 +164,7 @@ def decoded(codes: np.ndarray) -> np.ndarray:
 def _count_batches(batches, bits, salts):
     table = np.zeros(1 << bits, np.uint8)
     some = False
-    for b in batches:
+    for b in by_bytes(batches, WORK_BYTES):
         parts = [s for _, _, s in _sets(b)]
         if parts:
             some = True
@@ -226,24 +258,21 @@ def prefix_of(s: np.ndarray, table: np.ndarray, threshold: float, usual: float =
     return s[chosen], places.astype(np.int32), blocks.astype(np.int32)
 
 
-_TABLE: dict[int, tuple[np.ndarray, float]] = {}
-
-
 def _table_of(raw: bytes) -> tuple[np.ndarray, float]:
-    """The unpacked frequency table and what a counter holds on average, once per Python worker."""
-    key = zlib.crc32(raw)
-    if key not in _TABLE:
-        _TABLE.clear()
-        table = np.frombuffer(zlib.decompress(raw), np.uint8)
-        step = 1 << BLOCK_BITS  # counted piece by piece: numpy widens what it counts
-        many = sum(np.bincount(table[k : k + step], minlength=256) for k in range(0, len(table), step))
-        _TABLE[key] = table, float(many @ decoded(np.arange(256)) / len(table))
-    return _TABLE[key]
+    """The unpacked frequency table and what a counter holds on average.
+
+    Unpacked by every task and let go at its end: idle Python workers would
+    keep theirs beside those of others.
+    """
+    table = np.frombuffer(zlib.decompress(raw), np.uint8)
+    step = 1 << BLOCK_BITS  # counted piece by piece: numpy widens what it counts
+    many = sum(np.bincount(table[k : k + step], minlength=256) for k in range(0, len(table), step))
+    return table, float(many @ decoded(np.arange(256)) / len(table))
 
 
 def _record_batches(batches, table, threshold):
     counts, usual = _table_of(table.value)
-    for b in by_bytes(batches):
+    for b in by_bytes(batches, WORK_BYTES):
         ids = b.column("id").to_pylist()
         out = {k: [] for k in _RECORD.names}
         for k, h, s in _sets(b):
@@ -272,7 +301,7 @@ def low_bits(s: np.ndarray) -> np.ndarray:
 
 
 def _set_batches(batches):
-    for b in by_bytes(batches):
+    for b in by_bytes(batches, WORK_BYTES):
         ids = b.column("id").to_pylist()
         rows = [(ids[k], s) for k, _, s in _sets(b)]
         yield pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "grams": [r[1].view(_SIGNED) for r in rows], "low": [low_bits(r[1]).view(np.int32) for r in rows]}, _SET)

@@ -98,6 +98,18 @@ def test_suffix_filter_bounds_the_overlap():
     assert rejected > 100
 
 
+def test_tokens_of_bytes_are_the_tokens_of_the_pattern():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abzABZ019 _é.ß\U0001f600\n") for _ in range(rng.randrange(80))) for _ in range(2000)] + ["", "HTTPServerError fetchUserById user_id X", "a" * 3000]
+    known = {}
+    for t, h in zip(texts, near_dups.token_hashes(texts)):
+        tokens = tokenize(t)
+        assert len(tokens) == len(h)
+        for w, x in zip(tokens, h.tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known) > 200
+
+
 def test_coded_counters_keep_their_order():
     import numpy as np
 

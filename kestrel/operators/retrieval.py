@@ -13,6 +13,8 @@ lengths, keys and symbols of that scope, as if each were an index of its own.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from functools import partial, reduce
 
 import numpy as np
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.tokens import GENERIC_NAME_TOKENS, identifiers, tokens
-from kestrel.session import materialized
+from kestrel.functions.tokens import GENERIC_NAME_TOKENS, identifiers, tokenize, tokens
+from kestrel.session import by_bytes, each_once, materialized, text_batches
 
 #: Fixed values of the ranking functions.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -46,20 +48,45 @@ def _joined(a: DataFrame, b: DataFrame, scope: Scope, *on: str) -> DataFrame:
 # -- corpus -------------------------------------------------------------
 def corpus_of(chunks: DataFrame) -> DataFrame:
     """Index rows of a chunk table, each once; the repository is the first part of the path."""
-    return chunks.select(
+    return each_once(chunks, "chunk_id").select(
         F.col("chunk_id").alias("row_id"), F.concat("repo", F.lit("/"), "path").alias("path"), "kind", "name", "start_line", "end_line", "text"
-    ).dropDuplicates(["row_id"])
+    )
 
 
 def key_of(path: Column, start_line: Column) -> Column:
     return F.concat(path, F.lit(":"), start_line.cast("string"))
 
 
+def _count_tokens(batches):
+    for b in by_bytes(batches):
+        made = [Counter(tokenize(t or "")) for t in b.column("text").to_pylist()]
+        keep = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(n) for n in keep), pa.array([c.total() for c in made], pa.int64()), pa.array([list(c) for c in made], pa.list_(pa.string())),
+             pa.array([list(c.values()) for c in made], pa.list_(pa.int64()))], names=[*keep, "dl", "toks", "tfs"],
+        )
+
+
+def counted(corpus: DataFrame, scope: Scope = (), owner: str = "row_id", text: str = "text") -> DataFrame:
+    """(row_id, dl, toks, tfs): every text's tokens with their counts, one row per text.
+
+    A text is counted where it lies, so nothing is shuffled, and whatever is
+    made of a text later (a score, a vector) is made from one row.
+    """
+    text_batches(corpus.sparkSession)
+    rows = corpus.select(*scope, owner, F.col(text).alias("text"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
+    return rows.mapInArrow(_count_tokens, f"{kinds}, dl bigint, toks array<string>, tfs array<bigint>")
+
+
+def postings_of(held: DataFrame, scope: Scope = (), owner: str = "row_id") -> DataFrame:
+    """(row_id, dl, tok, tf) from counted texts."""
+    return held.select(*scope, owner, "dl", F.explode(F.arrays_zip("toks", "tfs")).alias("p")).select(*scope, owner, "dl", F.col("p.toks").alias("tok"), F.col("p.tfs").alias("tf"))
+
+
 def postings(corpus: DataFrame, scope: Scope = ()) -> DataFrame:
-    """(row_id, dl, tok, tf), dl being the row's number of tokens: partial counts are made before the shuffle."""
-    t = corpus.select(*scope, "row_id", tokens(F.col("text")).alias("t"))
-    each = t.select(*scope, "row_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("tok"))
-    return each.groupBy(*scope, "row_id", "dl", "tok").agg(F.count("*").alias("tf"))
+    """(row_id, dl, tok, tf), dl being the row's number of tokens."""
+    return postings_of(counted(corpus, scope), scope)
 
 
 def doc_freq(post: DataFrame, scope: Scope = ()) -> DataFrame:
@@ -75,17 +102,9 @@ def corpus_stats(lengths: DataFrame, scope: Scope = ()) -> DataFrame:
     return lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def stats_of(rows: DataFrame, post: DataFrame, scope: Scope = ()) -> DataFrame:
-    """The same from postings already made: their counts add up to all tokens, no row is counted on its own."""
-    n = rows.groupBy(*scope).agg(F.count("*").alias("n"))
-    total = post.groupBy(*scope).agg(F.sum("tf").alias("total"))
-    both = n.join(F.broadcast(total), [*scope], "left") if scope else n.join(F.broadcast(total))
-    return both.select(*scope, "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
-
-
 def query_tokens(queries: DataFrame, scope: Scope = ()) -> DataFrame:
     """(qid, tok, qtf): repeated tokens count repeatedly."""
-    return queries.select(*scope, "qid", F.explode(tokens(F.col("query"))).alias("tok")).groupBy(*scope, "qid", "tok").agg(F.count("*").alias("qtf"))
+    return postings_of(counted(queries, scope, "qid", "query"), scope, "qid").drop("dl").withColumnRenamed("tf", "qtf")
 
 
 # -- recall -------------------------------------------------------------
@@ -96,17 +115,6 @@ def inverse_frequencies(df: DataFrame, stats: DataFrame, scope: Scope = ()) -> D
     return _joined(raw, F.broadcast(mean), scope).select(*scope, "tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, rows: DataFrame, scope: Scope = ()) -> DataFrame:
-    """(qid, row_id, score) of the rows that hold a query token; only their postings are weighed, and these hold their row's length."""
-    stats = stats_of(rows, post, scope)
-    wanted = query_tokens(queries, scope)
-    idf = inverse_frequencies(doc_freq(post, scope), stats, scope)
-    terms = idf.join(F.broadcast(wanted), [*scope, "tok"])
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    weighed = _joined(post.join(F.broadcast(terms), [*scope, "tok"]), F.broadcast(stats.select(*scope, "avgdl")), scope)
-    return weighed.groupBy("qid", "row_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
-
-
 def top(scores: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
     """The first k rows per query with their 0-based rank (a limit inside the window, not a sort of everything)."""
     w = Window.partitionBy("qid").orderBy(*order)
@@ -134,14 +142,76 @@ def filled(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top(hits.unionByName(zero), k, [F.desc("score"), F.col("row_id")])
 
 
-def bm25_top(queries: DataFrame, post: DataFrame, rows: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
-    """(qid, row_id, score, rank): min(k, rows) entries, filled up with rows that score nothing, in row order."""
-    hits = top(bm25_scores(queries, post, rows, scope).withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("row_id")]).drop("rank")
+def _lexical(batches, block, k):
+    """The k best rows of a task for each query of a block, from counted texts."""
+    qids, index, first, many, query, weight, means = block.value
+    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for big in batches:
+        for at in range(0, big.num_rows, 1_024):
+            b = big.slice(at, 1_024)
+            toks = b.column("toks")
+            scopes = b.column("scope").to_pylist()
+            doc = np.repeat(np.arange(b.num_rows), np.diff(toks.offsets.to_numpy()))
+            flat = toks.flatten().to_pylist()
+            get = index.get
+            term = np.array([get((scopes[d], t), -1) for d, t in zip(doc.tolist(), flat)] if scopes[0] is not None else [get((None, t), -1) for t in flat], dtype=np.int64)
+            on = np.flatnonzero(term >= 0)
+            if not len(on):
+                continue
+            term, doc, tf = term[on], doc[on], b.column("tfs").flatten().to_numpy(zero_copy_only=False)[on].astype(float)
+            dl = b.column("dl").to_numpy(zero_copy_only=False)[doc]
+            mean = np.array([means.get(x, 1.0) for x in scopes])[doc]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+            n = many[term]
+            entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[term], n)
+            place = query[entry] * b.num_rows + np.repeat(doc, n)
+            where, inverse = np.unique(place, return_inverse=True)
+            score = np.round(np.bincount(inverse, weights=weight[entry] * np.repeat(part, n)), 6)
+            new = where // b.num_rows, score, b.column("row_id").to_numpy(zero_copy_only=False)[where % b.num_rows]
+            held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+            if len(held[0]) > 4 * k * len(qids):
+                held = _best(*held, k)
+    if held is not None:
+        where, score, row = _best(*held, k)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[where]), pa.array(row), pa.array(score)], names=["qid", "row_id", "score"])
+
+
+def bm25_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
+    """(qid, row_id, score, rank): min(k, rows) entries, filled up with rows that score nothing, in row order.
+
+    ``held``: the counted corpus.  Queries go out in blocks of about
+    QUERY_BLOCK with the weights of their tokens; every task keeps its k best
+    rows per query, so k rows a query and task are shuffled, not all scores.
+    """
+    spark = held.sparkSession
+    key = F.concat_ws("\0", *scope) if scope else F.lit(None).cast("string")
+    stats = materialized(corpus_stats(held, scope), "stats")  # a row per scope
+    idf = inverse_frequencies(doc_freq(postings_of(held, scope), scope), stats, scope)
+    terms = idf.join(F.broadcast(query_tokens(queries, scope)), [*scope, "tok"])
+    terms = materialized(terms.select(key.alias("scope"), "qid", "tok", (F.col("qtf") * F.col("idf")).alias("w")), "terms")  # of the queries' tokens only
+    means = {r.scope: r.avgdl for r in stats.select(key.alias("scope"), "avgdl").collect()}
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows = held.select("row_id", "dl", "toks", "tfs", key.alias("scope"))
+    kinds = dict(queries.dtypes) | dict(held.dtypes)
+    parts = []
+    for n in range(blocks):
+        t = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n).toArrow()
+        if not t.num_rows and (n or blocks > 1):
+            continue
+        qids, query = np.unique(t.column("qid").to_numpy(), return_inverse=True)
+        names = list(zip(t.column("scope").to_pylist(), t.column("tok").to_pylist()))
+        index = {x: i for i, x in enumerate(dict.fromkeys(names))}
+        term = np.array([index[x] for x in names], dtype=np.int64)
+        order = np.argsort(term, kind="stable")
+        many = np.bincount(term, minlength=len(index)) if len(index) else np.zeros(0, np.int64)
+        block = spark.sparkContext.broadcast((qids, index, np.cumsum(many) - many, many, query[order], t.column("w").to_numpy()[order], means))
+        parts.append(rows.mapInArrow(partial(_lexical, block=block, k=k), f"qid {kinds['qid']}, row_id {kinds['row_id']}, score double"))
+    hits = top(reduce(DataFrame.unionByName, parts), k, [F.desc("score"), F.col("row_id")]).drop("rank")
     hits = materialized(hits, "hits")  # k rows a query, read twice
-    first = rows.select("row_id").orderBy("row_id").limit(2 * k)
+    first = held.select("row_id").orderBy("row_id").limit(2 * k)
     if scope:
         w = Window.partitionBy(*scope).orderBy("row_id")
-        first = rows.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
+        first = held.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
     fill = _joined(queries.select(*scope, "qid"), F.broadcast(first), scope).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
     return top(hits.select("qid", "row_id", "score").unionByName(fill), k, [F.desc("score"), F.col("row_id")])
 
@@ -233,25 +303,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, scope:
     return top(reduce(DataFrame.unionByName, parts), k, [F.desc_nulls_last("score"), F.col("row_id")])
 
 
-def _hex(k: int) -> Column:
-    return F.expr(f"instr('0123456789abcdef', substring(h, {k}, 1)) - 1")
+_PLACES: dict[str, tuple[int, float]] = {}
+_PLACES_MAX = 300_000
+
+
+def _place_of(token: str) -> tuple[int, float]:
+    """A token's bucket and sign, from its md5."""
+    h = hashlib.md5(token.encode()).hexdigest()
+    p = int(h[0], 16) * 4 + int(h[1], 16) // 4, 1.0 if int(h[2], 16) < 8 else -1.0
+    if len(_PLACES) < _PLACES_MAX:
+        _PLACES[token] = p
+    return p
+
+
+def _hash_vectors(batches, out):
+    for b in batches:
+        toks = b.column("toks")
+        doc = np.repeat(np.arange(b.num_rows), np.diff(toks.offsets.to_numpy()))
+        get = _PLACES.get
+        places = [get(t) or _place_of(t) for t in toks.flatten().to_pylist()]
+        x = np.zeros(b.num_rows * DIM)
+        if places:
+            at, sign = (np.array(c) for c in zip(*places))
+            x = np.bincount(doc * DIM + at, weights=sign * b.column("tfs").flatten().to_numpy(zero_copy_only=False), minlength=b.num_rows * DIM)
+        keep = [n for n in b.schema.names if n not in ("dl", "toks", "tfs")]
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, DIM), pa.int32()), pa.array(x))
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), vec], names=[*keep, out])
 
 
-def hashed_vectors(toks: DataFrame, owner: str, count: str, out: str, scope: Scope = ()) -> DataFrame:
-    """(owner, out): token counts hashed into DIM buckets with signs, from md5; a token is hashed once per row that holds it."""
-    b = (_hex(1) * 4 + F.floor(_hex(2) / 4)).cast("int")
-    sign = F.when(_hex(3) < 8, 1).otherwise(-1)
-    hashed = toks.select(*scope, owner, count, F.md5("tok").alias("h"))
-    v = hashed.select(*scope, owner, b.alias("b"), (sign * F.col(count)).alias("s")).groupBy(*scope, owner, "b").agg(F.sum("s").cast("double").alias("v")).where("v <> 0")
-    at = F.map_from_entries(F.collect_list(F.struct("b", "v")))
-    whole = v.groupBy(*scope, owner).agg(at.alias("at"))
-    return whole.select(*scope, owner, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.coalesce(F.col("at")[k], F.lit(0.0))).alias(out))
+def hashed_vectors(held: DataFrame, out: str) -> DataFrame:
+    """Counted texts' tokens hashed into DIM buckets with signs; rows of zeros are left out."""
+    kinds = ", ".join(f"`{n}` {t}" for n, t in held.dtypes if n not in ("dl", "toks", "tfs"))
+    return held.mapInArrow(partial(_hash_vectors, out=out), f"{kinds}, {out} array<double>").where(F.exists(out, lambda x: x != 0))
 
 
-def embedded_top(queries: DataFrame, post: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
-    """(qid, row_id, score, rank) by the hashed embedding of both sides."""
-    q = hashed_vectors(query_tokens(queries, scope), "qid", "qtf", "qvec", scope)
-    return nearest(hashed_vectors(post, "row_id", "tf", "vec", scope), q, k, scope, sharing=True)
+def embedded_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
+    """(qid, row_id, score, rank) by the hashed embedding of both sides; ``held``: the counted corpus."""
+    return nearest(hashed_vectors(held, "vec"), hashed_vectors(counted(queries, scope, "qid", "query"), "qvec"), k, scope, sharing=True)
 
 
 # -- fusion -------------------------------------------------------------
@@ -365,18 +453,19 @@ def diversify(pool: DataFrame, k: int = RESULTS, lam: float = LAMBDA) -> DataFra
 
 
 def search(
-    queries: DataFrame, corpus: DataFrame, post: DataFrame | None = None, k: int = RESULTS, candidates: int = CANDIDATES, pool: int = POOL,
+    queries: DataFrame, corpus: DataFrame, held: DataFrame | None = None, k: int = RESULTS, candidates: int = CANDIDATES, pool: int = POOL,
     graph: bool = True, rerank: bool = True, lam: float = LAMBDA, scope: Scope = (), dense: DataFrame | None = None, lexical: DataFrame | None = None, reranker=None,
 ) -> DataFrame:
     """The whole flow: dense and lexical recall, fusion, expansion, rerank with prior, name boost, diversification.
 
-    ``dense`` and ``lexical`` (qid, row_id, rank) replace the lists made from postings, ``reranker`` the token coverage.
+    ``held`` is the counted corpus, where there is one; ``dense`` and ``lexical`` (qid, row_id, rank) replace the lists made from it,
+    ``reranker`` the token coverage.
     """
     if dense is None or lexical is None:
-        post = postings(corpus, scope) if post is None else post
-    dense = embedded_top(queries, post, candidates, scope) if dense is None else dense
+        held = materialized(counted(corpus, scope), "counted") if held is None else held
+    dense = embedded_top(queries, held, candidates, scope) if dense is None else dense
     rows = corpus.select(*scope, "row_id", key_of(F.col("path"), F.col("start_line")).alias("key"))
-    lexical = bm25_top(queries, post, rows, candidates, scope) if lexical is None else lexical
+    lexical = bm25_top(queries, held, candidates, scope) if lexical is None else lexical
     dense, lexical = (x.select("qid", "row_id", "rank", F.lit(n).alias("list_no")) for n, x in enumerate((dense, lexical)))
     ranked = materialized(dense.union(lexical), "ranked")  # two lists a query
     chosen = pool_of(fuse(ranked.join(rows, "row_id").select(*scope, "qid", "list_no", "rank", "key"), scope=scope), corpus, pool, scope)

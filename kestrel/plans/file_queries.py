@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.operators import chunking, embedding
 from kestrel.operators import files as FL
 from kestrel.plans.queries import query
+from kestrel.session import each_once
 from kestrel.sources.tables import table
 from kestrel.streaming import watch
 
@@ -18,7 +19,7 @@ _ONCE = "files AS (SELECT DISTINCT file_id, repo, path, text FROM source_files)"
 
 
 def _files(spark, d):
-    return table(spark, d, "source_files", "file_id", "repo", "path", "text").dropDuplicates(["file_id"])
+    return each_once(table(spark, d, "source_files", "file_id", "repo", "path", "text"), "file_id")
 
 
 @query("language_detect", f"SELECT DISTINCT file_id, coalesce({_LANG}, 'text') AS language FROM source_files")

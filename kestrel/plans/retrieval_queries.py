@@ -8,7 +8,7 @@ from kestrel.functions.tokens import GENERIC_NAME_TOKENS, tokens
 from kestrel.operators import embedding
 from kestrel.operators import retrieval as R
 from kestrel.plans.queries import query
-from kestrel.session import materialized
+from kestrel.session import each_once, materialized
 from kestrel.sources.tables import table
 
 # -- SQL pieces ---------------------------------------------------------
@@ -106,8 +106,7 @@ def all_cases(spark, d):
 
 def _index(spark, d):
     c = corpus(spark, d)
-    post = materialized(R.postings(c), "postings")
-    return c, post, c.select("row_id")
+    return c, materialized(R.counted(c), "counted")
 
 
 @query("tokenize_counts", "WITH " + CORPUS + f" SELECT row_id, len({toks_sql('text')}) AS n_tokens, len(list_distinct({toks_sql('text')})) AS n_distinct FROM corpus")
@@ -133,14 +132,14 @@ def corpus_stats(spark, d):
 
 @query("bm25_topk", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, score, rank::INT AS rank FROM bm")
 def bm25_topk(spark, d):
-    _, post, rows = _index(spark, d)
-    return R.bm25_top(cases(spark, d).select("qid", "query"), post, rows)
+    _, held = _index(spark, d)
+    return R.bm25_top(cases(spark, d).select("qid", "query"), held)
 
 
 @query("bm25_zero_fill", "WITH " + LENGTHS + NONE + BM25 + " SELECT qid, row_id, score, rank::INT AS rank FROM bm")
 def bm25_zero_fill(spark, d):
-    _, post, rows = _index(spark, d)
-    return R.bm25_top(all_cases(spark, d).select("qid", F.reverse("query").alias("query")), post, rows)
+    _, held = _index(spark, d)
+    return R.bm25_top(all_cases(spark, d).select("qid", F.reverse("query").alias("query")), held)
 
 
 @query("dense_topk", """
@@ -157,14 +156,14 @@ def dense_topk(spark, d):
 
 @query("embedded_topk", "WITH " + POST + CASES + DENSE + " SELECT qid, row_id, score, rank::INT AS rank FROM de")
 def embedded_topk(spark, d):
-    return R.embedded_top(all_cases(spark, d), R.postings(corpus(spark, d)))
+    return R.embedded_top(all_cases(spark, d), R.counted(corpus(spark, d)))
 
 
 def _ranked(spark, d):
-    c, post, rows = _index(spark, d)
+    c, held = _index(spark, d)
     q = all_cases(spark, d)
     keys = c.select("row_id", R.key_of(F.col("path"), F.col("start_line")).alias("key"))
-    both = R.embedded_top(q, post).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, post, rows).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
+    both = R.embedded_top(q, held).select("qid", "row_id", "rank", F.lit(0).alias("list_no")).union(R.bm25_top(q, held).select("qid", "row_id", "rank", F.lit(1).alias("list_no")))
     return c, both.join(keys, "row_id").select("qid", "list_no", "rank", "key")
 
 
@@ -247,8 +246,8 @@ def sigmoid_rerank(spark, d):
 
 @query("rank_proxy", "WITH " + LENGTHS + CASES + BM25 + " SELECT qid, row_id, round(1.0::DOUBLE / (rank + 1), 6) AS relevance FROM bm")
 def rank_proxy(spark, d):
-    _, post, rows = _index(spark, d)
-    return R.bm25_top(all_cases(spark, d), post, rows).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
+    _, held = _index(spark, d)
+    return R.bm25_top(all_cases(spark, d), held).select("qid", "row_id", F.round(1.0 / (F.col("rank") + 1), 6).alias("relevance"))
 
 
 def _mmr_sql(lam: float) -> str:
@@ -277,19 +276,19 @@ def mmr_pure(spark, d):
 @query("hybrid_search", HYBRID + _OUT)
 def hybrid_search(spark, d):
     c = corpus(spark, d)
-    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"))
+    return R.search(all_cases(spark, d), c, materialized(R.counted(c), "counted"))
 
 
 @query("hybrid_no_graph", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + scored_sql("pool", RERANKED, 0.7) + _OUT)
 def hybrid_no_graph(spark, d):
     c = corpus(spark, d)
-    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"), graph=False)
+    return R.search(all_cases(spark, d), c, materialized(R.counted(c), "counted"), graph=False)
 
 
 @query("hybrid_no_rerank", "WITH " + LENGTHS + CASES + BM25 + DENSE + FUSED + POOL + EXPAND + scored_sql("wide", "(1.0::DOUBLE / (pos + 1))", 0.7) + _OUT)
 def hybrid_no_rerank(spark, d):
     c = corpus(spark, d)
-    return R.search(all_cases(spark, d), c, materialized(R.postings(c), "postings"), rerank=False)
+    return R.search(all_cases(spark, d), c, materialized(R.counted(c), "counted"), rerank=False)
 
 
 _FORMAT = """ SELECT qid, rank::INT AS rank, path || ':' || start_line || '-' || end_line || CASE WHEN name IS NOT NULL AND name <> '' THEN ' ' || kind || ' ' || name ELSE '' END AS location FROM best"""
@@ -310,9 +309,9 @@ per AS (SELECT qid, repo, count(*) AS n_expected, sum(found)::BIGINT AS n_found,
 
 
 def _per_case(spark, d):
-    c, post, rows = _index(spark, d)
+    c, held = _index(spark, d)
     k = cases(spark, d)
-    hits = R.bm25_top(k.select("qid", "query"), post, rows).where("rank < 8").join(c.select("row_id", "path"), "row_id")
+    hits = R.bm25_top(k.select("qid", "query"), held).where("rank < 8").join(c.select("row_id", "path"), "row_id")
     return R.recall(hits.select("qid", "path"), k)
 
 
@@ -339,13 +338,13 @@ def eval_by_group(spark, d):
 def own_corpus(spark, d):
     """Chunks as the index of each repository holds them: paths begin below the repository."""
     c = table(spark, d, "chunks", "chunk_id", "repo", "path", "kind", "name", "start_line", "end_line", "text")
-    return c.withColumnRenamed("chunk_id", "row_id").dropDuplicates(["row_id"])
+    return each_once(c, "chunk_id").withColumnRenamed("chunk_id", "row_id")
 
 
 def _searched(spark, d):
     c, k = own_corpus(spark, d), cases(spark, d)
-    post = materialized(R.postings(c, ("repo",)), "postings")
-    hits = R.search(k.select("repo", "qid", "query"), c, post, scope=("repo",))
+    held = materialized(R.counted(c, ("repo",)), "counted")
+    hits = R.search(k.select("repo", "qid", "query"), c, held, scope=("repo",))
     return R.recall(hits.select("qid", "path"), k)
 
 
@@ -392,7 +391,7 @@ def _found_cases(spark, d):
 
 def _found(spark, d):
     c, k = corpus(spark, d), _found_cases(spark, d)
-    hits = R.search(k.select("qid", "query"), c, materialized(R.postings(c), "postings"))
+    hits = R.search(k.select("qid", "query"), c, materialized(R.counted(c), "counted"))
     return R.recall(hits.select("qid", "path"), k)
 
 
@@ -419,7 +418,7 @@ SELECT i.qid, round(coalesce(g.dcg, 0) / i.best, 6) AS ndcg FROM ideal i LEFT JO
 def found_ndcg(spark, d):
     """NDCG at 10 of the searches for those names: the chunk itself is worth most, others of its file less."""
     c, k = corpus(spark, d), _found_cases(spark, d)
-    hits = R.search(k.select("qid", "query"), c, materialized(R.postings(c), "postings"), k=10)
+    hits = R.search(k.select("qid", "query"), c, materialized(R.counted(c), "counted"), k=10)
     rows = c.select("row_id", "path")
     grades = rows.join(k.select("qid", F.col("expect")[0].alias("path")), "path").select("qid", "row_id", F.when(F.col("qid") == F.col("row_id"), 2).otherwise(1).alias("grade"))
     return R.ndcg(hits, grades)
@@ -431,6 +430,6 @@ dn AS (SELECT row_id, sqrt(sum(v * v)::DOUBLE) AS norm FROM dv GROUP BY row_id)
 SELECT row_id AS chunk_id, b::INT AS b, round(v / norm, 4) AS value FROM dv JOIN dn USING (row_id)""")
 def embedded_vectors(spark, d):
     """What the default embedder makes of every chunk, in its batches: the places that are not zero."""
-    v = embedding.embed_column(table(spark, d, "chunks", "chunk_id", "text").dropDuplicates(["chunk_id"]), embedding.HashedEmbedder())
+    v = embedding.embed_column(each_once(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id"), embedding.HashedEmbedder())
     each = v.select("chunk_id", F.posexplode("vector").alias("b", "x")).where("x <> 0")
     return each.select("chunk_id", "b", F.round(F.col("x").cast("double"), 4).alias("value"))

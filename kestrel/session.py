@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "kestrel") -> SparkSession:
@@ -51,6 +52,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return where
 
 
+def each_once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, any of those that repeat it.  Only keys are counted and shuffled; rows that no other repeats stay where they are.
+
+    The repeated keys are a table of their own, so Spark broadcasts them where
+    they are few; where they aren't, rows are shuffled to them.  Rows with a
+    null in their key are left out.
+    """
+    many = materialized(df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("n_")).where("n_ > 1").select(*keys), "repeated")
+    some = df.dropna(subset=list(keys))
+    return some.join(many, [*keys], "left_anti").unionByName(some.join(many, [*keys], "left_semi").dropDuplicates([*keys])).select(*df.columns)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core: few large input files are dealt out once, many are left alone."""
     sc = df.sparkSession.sparkContext

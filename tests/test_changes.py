@@ -129,3 +129,11 @@ def test_the_work_comes_from_published_versions(spark, monkeypatch):
     assert sorted(tuple(r) for r in changed_paths(scans, runs).collect()) == [(1, "a")]
     monkeypatch.setattr(changes, "state_of", lambda t, *_: t.read().where("false"))
     assert sorted(tuple(r) for r in changed_paths(scans, runs).collect()) == [(1, "a"), (2, "a")]
+
+
+def test_each_once(spark):
+    from kestrel.session import each_once
+
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1), (None, "c", 1), (3, "d", 1), (3, "d", 1)], "id bigint, text string, n int")
+    assert sorted((r.id, r.text) for r in each_once(df, "id").collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    assert each_once(df.where("false"), "id").count() == 0 and each_once(df, "id").columns == df.columns

@@ -235,10 +235,10 @@ def test_stored_postings_give_the_scores_of_the_whole_corpus(spark, tmp_path):
     index_repo(spark, str(root), "r", store=store)
     r = Retriever(spark, "r", store)
     q = spark.createDataFrame([(0, "load the tree tree")], "qid int, query string")
-    post = R.postings(r.corpus)
-    want = [(x.row_id, x.score, x.rank) for x in R.bm25_top(q, post, r.corpus, 12).orderBy("rank").collect()]
+    want = [(x.row_id, x.score, x.rank) for x in R.bm25_top(q, R.counted(r.corpus), 12).orderBy("rank").collect()]
     assert [(x.row_id, x.score, x.rank) for x in r.lexical("load the tree tree", 12).orderBy("rank").collect()] == want
     assert "EqualTo(tok,load)" in r.lexical("load", 5)._jdf.queryExecution().toString()  # only the token's row groups are read
+    assert [(x.score, x.rank) for x in r.lexical("???", 3).orderBy("rank").collect()] == [(0.0, 0), (0.0, 1), (0.0, 2)]
 
 
 def test_bursts_are_put_off_until_they_end():

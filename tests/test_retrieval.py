@@ -99,7 +99,7 @@ def test_expansion_and_search(spark):
 def test_zero_scores_fill_up(spark):
     corpus = spark.createDataFrame([(i, f"p{i}", "x", None, 1, 1, "alpha beta" if i == 7 else "gamma") for i in range(9)], CORPUS)
     q = spark.createDataFrame([(0, "beta")], "qid int, query string")
-    got = [r.row_id for r in R.bm25_top(q, R.postings(corpus), corpus, 4).orderBy("rank").collect()]
+    got = [r.row_id for r in R.bm25_top(q, R.counted(corpus), 4).orderBy("rank").collect()]
     assert got == [7, 0, 1, 2]
 
 

@@ -45,6 +45,11 @@ def _joined(a: DataFrame, b: DataFrame, scope: Scope, *on: str) -> DataFrame:
     return a.join(b, keys) if keys else a.join(b)
 
 
+def _few(df: DataFrame, scope: Scope) -> DataFrame:
+    """A table with some rows per scope: to be broadcast where there is one scope, left to Spark's own check where there may be many."""
+    return df if scope else F.broadcast(df)
+
+
 # -- corpus -------------------------------------------------------------
 def corpus_of(chunks: DataFrame) -> DataFrame:
     """Index rows of a chunk table, each once; the repository is the first part of the path."""
@@ -110,9 +115,9 @@ def query_tokens(queries: DataFrame, scope: Scope = ()) -> DataFrame:
 # -- recall -------------------------------------------------------------
 def inverse_frequencies(df: DataFrame, stats: DataFrame, scope: Scope = ()) -> DataFrame:
     """(tok, idf); negative ones become EPSILON times the mean over all terms."""
-    raw = _joined(df, F.broadcast(stats.select(*scope, "n")), scope).select(*scope, "tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    raw = _joined(df, _few(stats.select(*scope, "n"), scope), scope).select(*scope, "tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.groupBy(*scope).agg(F.avg("idf").alias("mean"))
-    return _joined(raw, F.broadcast(mean), scope).select(*scope, "tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    return _joined(raw, _few(mean, scope), scope).select(*scope, "tok", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
 def top(scores: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -187,7 +192,7 @@ def bm25_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Sc
     key = F.concat_ws("\0", *scope) if scope else F.lit(None).cast("string")
     stats = materialized(corpus_stats(held, scope), "stats")  # a row per scope
     idf = inverse_frequencies(doc_freq(postings_of(held, scope), scope), stats, scope)
-    terms = idf.join(F.broadcast(query_tokens(queries, scope)), [*scope, "tok"])
+    terms = idf.join(query_tokens(queries, scope), [*scope, "tok"])  # slim rows; the queries may be many
     terms = materialized(terms.select(key.alias("scope"), "qid", "tok", (F.col("qtf") * F.col("idf")).alias("w")), "terms")  # of the queries' tokens only
     means = {r.scope: r.avgdl for r in stats.select(key.alias("scope"), "avgdl").collect()}
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -212,7 +217,7 @@ def bm25_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Sc
     if scope:
         w = Window.partitionBy(*scope).orderBy("row_id")
         first = held.select(*scope, "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= 2 * k).drop("n")
-    fill = _joined(queries.select(*scope, "qid"), F.broadcast(first), scope).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
+    fill = _joined(queries.select(*scope, "qid"), _few(first, scope), scope).join(hits.select("qid", "row_id"), ["qid", "row_id"], "left_anti").select("qid", "row_id", F.lit(0.0).alias("score"))
     return top(hits.select("qid", "row_id", "score").unionByName(fill), k, [F.desc("score"), F.col("row_id")])
 
 

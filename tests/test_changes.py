@@ -137,3 +137,14 @@ def test_each_once(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1), (None, "c", 1), (3, "d", 1), (3, "d", 1)], "id bigint, text string, n int")
     assert sorted((r.id, r.text) for r in each_once(df, "id").collect()) == [(1, "a"), (2, "b"), (3, "d")]
     assert each_once(df.where("false"), "id").count() == 0 and each_once(df, "id").columns == df.columns
+
+
+def test_batches_by_bytes():
+    import pyarrow as pa
+
+    from kestrel.session import by_bytes
+
+    b = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["x" * (10 if i % 7 else 5000) for i in range(50)]})
+    out = list(by_bytes([b], 6000))
+    assert [i for x in out for i in x.column("id").to_pylist()] == list(range(50)) and len(out) > 5
+    assert all(x.num_rows == 1 or x.nbytes <= 6000 for x in out) and list(by_bytes([b.slice(0, 0)])) != []

@@ -298,7 +298,7 @@ def _with_statistics(ends: DataFrame, statistics: DataFrame, lim: DataFrame) ->
         .unionByName(ends.where("h = 0").select("*", *none))
     )
     name = normal_source(F.col("source"))
-    limited = joined.withColumn("s", F.coalesce(name, F.lit(""))).join(F.broadcast(lim), ["s", "at"], "left")
+    limited = joined.withColumn("s", F.coalesce(name, F.lit(""))).join(lim, ["s", "at"], "left")  # slim rows; Spark broadcasts the limits if they are as small as it checks
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "ends", "longer")]
     return limited.select("key", "label", "nth", F.col("s").alias("source"), F.col("at_limit").isNotNull().alias("at_limit"), *zero, *End._fields)
 

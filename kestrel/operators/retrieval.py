@@ -147,10 +147,45 @@ def filled(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top(hits.unionByName(zero), k, [F.desc("score"), F.col("row_id")])
 
 
+class _Best:
+    """The k first rows per query by score, then row, of what a task has seen; what can't be among them any more isn't kept."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.most = k, 4 * k * max(1, queries)
+        self.least = np.full(queries, -np.inf)  # of k rows already held
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
+        on = score >= self.least[query]
+        self.parts.append((query[on], score[on], row[on]))
+        self.size += int(on.sum())
+        if self.size > self.most:
+            self.cut()
+
+    def cut(self) -> None:
+        query, score, row = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.lexsort((row, -score, query))
+        query, score, row = query[order], score[order], row[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        last = nth == self.k - 1
+        self.least[query[last]] = score[last]
+        self.parts = [(query[nth < self.k], score[nth < self.k], row[nth < self.k])]
+        self.size = len(self.parts[0][0])
+
+    def out(self, qids: np.ndarray, none: float | None = None):
+        """One batch of what was kept; scores of ``none`` and less become null."""
+        if self.size:
+            self.cut()
+            query, score, row = self.parts[0]
+            score = score if none is None else np.where(score > none, score, np.nan)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(row), pa.array(score, from_pandas=True)], names=["qid", "row_id", "score"])
+
+
 def _lexical(batches, block, k):
     """The k best rows of a task for each query of a block, from counted texts."""
     qids, index, first, many, query, weight, means = block.value
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    best = _Best(len(qids), k)
     for big in batches:
         for at in range(0, big.num_rows, 1_024):
             b = big.slice(at, 1_024)
@@ -159,7 +194,7 @@ def _lexical(batches, block, k):
             doc = np.repeat(np.arange(b.num_rows), np.diff(toks.offsets.to_numpy()))
             flat = toks.flatten().to_pylist()
             get = index.get
-            term = np.array([get((scopes[d], t), -1) for d, t in zip(doc.tolist(), flat)] if scopes[0] is not None else [get((None, t), -1) for t in flat], dtype=np.int64)
+            term = np.array([get((scopes[d], t), -1) for d, t in zip(doc.tolist(), flat)] if scopes[0] is not None else [get(t, -1) for t in flat], dtype=np.int64)
             on = np.flatnonzero(term >= 0)
             if not len(on):
                 continue
@@ -172,13 +207,8 @@ def _lexical(batches, block, k):
             place = query[entry] * b.num_rows + np.repeat(doc, n)
             where, inverse = np.unique(place, return_inverse=True)
             score = np.round(np.bincount(inverse, weights=weight[entry] * np.repeat(part, n)), 6)
-            new = where // b.num_rows, score, b.column("row_id").to_numpy(zero_copy_only=False)[where % b.num_rows]
-            held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
-            if len(held[0]) > 4 * k * len(qids):
-                held = _best(*held, k)
-    if held is not None:
-        where, score, row = _best(*held, k)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[where]), pa.array(row), pa.array(score)], names=["qid", "row_id", "score"])
+            best.add(where // b.num_rows, score, b.column("row_id").to_numpy(zero_copy_only=False)[where % b.num_rows])
+    yield from best.out(qids)
 
 
 def bm25_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Scope = ()) -> DataFrame:
@@ -204,7 +234,7 @@ def bm25_top(queries: DataFrame, held: DataFrame, k: int = CANDIDATES, scope: Sc
         if not t.num_rows and (n or blocks > 1):
             continue
         qids, query = np.unique(t.column("qid").to_numpy(), return_inverse=True)
-        names = list(zip(t.column("scope").to_pylist(), t.column("tok").to_pylist()))
+        names = list(zip(t.column("scope").to_pylist(), t.column("tok").to_pylist())) if scope else t.column("tok").to_pylist()
         index = {x: i for i, x in enumerate(dict.fromkeys(names))}
         term = np.array([index[x] for x in names], dtype=np.int64)
         order = np.argsort(term, kind="stable")
@@ -248,7 +278,7 @@ def _unit(column) -> tuple[np.ndarray, np.ndarray]:
 def _nearest(batches, block, k, sharing):
     """The k best rows of a task for each query of a block, by one matrix product per batch."""
     qids, q, q_size, q_scope = block.value
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    best = _Best(len(qids), k)
     for b in batches:
         if not b.num_rows or not len(qids):
             continue
@@ -263,23 +293,9 @@ def _nearest(batches, block, k, sharing):
             out = none if out is None else out | none
         if out is not None:
             s[out] = -3.0
-        where, what = np.nonzero(s > -3.0)
-        new = where, s[where, what], ids[what]
-        held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
-        if len(held[0]) > 4 * k * len(qids):
-            held = _best(*held, k)
-    if held is not None and len(held[0]):
-        where, score, row = _best(*held, k)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[where]), pa.array(row), pa.array(np.where(score > -2.0, score, np.nan), from_pandas=True)], names=["qid", "row_id", "score"])
-
-
-def _best(where: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k first per query by score, then row."""
-    order = np.lexsort((row, -score, where))
-    where, score, row = where[order], score[order], row[order]
-    start = np.searchsorted(where, where)  # where the query's rows begin
-    first = np.arange(len(where)) - start < k
-    return where[first], score[first], row[first]
+        where, what = np.nonzero((s > -3.0) & (s >= best.least[:, None]))
+        best.add(where, s[where, what], ids[what])
+    yield from best.out(qids, -2.0)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, scope: Scope = (), sharing: bool = False) -> DataFrame:

@@ -335,6 +335,44 @@ def eval_by_group(spark, d):
     return R.evaluate(_per_case(spark, d))
 
 # -- evaluation: the whole search of all cases, each in its own repository --
+_OWN = "WITH " + f"""corpus AS (SELECT chunk_id AS row_id, repo, path, kind, name, start_line, end_line, text, path || ':' || start_line AS key
+  FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) AS k_ FROM chunks) WHERE k_ = 1),
+raw AS (SELECT repo, row_id, unnest({toks_sql('text')}) AS tok FROM corpus),
+post AS (SELECT repo, row_id, tok, count(*) AS tf FROM raw GROUP BY ALL),
+lengths AS (SELECT c.repo, c.row_id, coalesce(sum(p.tf), 0) AS dl FROM corpus c LEFT JOIN post p USING (row_id) GROUP BY ALL),
+stats AS (SELECT repo, count(*) AS n, avg(dl) AS avgdl FROM lengths GROUP BY repo),
+dfreq AS (SELECT repo, tok, count(*) AS df FROM post GROUP BY ALL),
+idf0 AS (SELECT repo, tok, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfreq JOIN stats USING (repo)),
+mean0 AS (SELECT repo, avg(idf) AS mean FROM idf0 GROUP BY repo),
+idf AS (SELECT repo, tok, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM idf0 JOIN mean0 USING (repo)),
+queries AS (SELECT case_id AS qid, repo, query FROM eval_cases),
+qt AS (SELECT qid, repo, tok, count(*) AS qtf FROM (SELECT qid, repo, unnest({toks_sql('query')}) AS tok FROM queries) GROUP BY ALL),
+hits AS (SELECT q.qid, p.row_id, sum(q.qtf * i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / s.avgdl))) AS score
+  FROM qt q JOIN post p USING (repo, tok) JOIN idf i USING (repo, tok) JOIN lengths l ON l.row_id = p.row_id JOIN stats s ON s.repo = q.repo GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) - 1 AS rank
+  FROM (SELECT q.qid, l.row_id, round(coalesce(h.score, 0), 6) AS score FROM queries q JOIN lengths l USING (repo) LEFT JOIN hits h ON h.qid = q.qid AND h.row_id = l.row_id)) WHERE rank < 50),
+dv AS (SELECT repo, row_id, b, sum(s) AS v FROM (SELECT repo, row_id, {_B} AS b, {_S} * tf AS s FROM post) GROUP BY ALL HAVING sum(s) <> 0),
+dn AS (SELECT row_id, sqrt(sum(v * v)::DOUBLE) AS norm FROM dv GROUP BY row_id),
+qv AS (SELECT qid, repo, b, sum(s) AS v FROM (SELECT qid, repo, {_B} AS b, {_S} * qtf AS s FROM qt) GROUP BY ALL HAVING sum(s) <> 0),
+qn AS (SELECT qid, sqrt(sum(v * v)::DOUBLE) AS norm FROM qv GROUP BY qid),
+de AS (SELECT * FROM (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) - 1 AS rank FROM
+  (SELECT qv.qid, dv.row_id, round(sum(dv.v * qv.v) / (max(dn.norm) * max(qn.norm)), 6) AS score FROM qv JOIN dv USING (repo, b) JOIN dn USING (row_id) JOIN qn ON qn.qid = qv.qid GROUP BY qv.qid, dv.row_id)) WHERE rank < 50)""" + FUSED + f""",
+keys AS (SELECT repo, key, max(row_id) AS row_id FROM corpus GROUP BY ALL),
+pool AS (SELECT * FROM (SELECT f.qid, q.repo, f.key, k.row_id, row_number() OVER (PARTITION BY f.qid ORDER BY f.pos) - 1 AS pos FROM fused f JOIN queries q USING (qid) JOIN keys k ON k.key = f.key AND k.repo = q.repo) WHERE pos < 30),
+defs AS (SELECT repo, lower(name) AS symbol, row_id FROM corpus WHERE name IS NOT NULL AND length(name) >= 4 AND lower(name) NOT IN ({_GENERIC})),
+ids AS (SELECT DISTINCT p.qid, p.repo, p.pos, c.path AS from_path, lower(c.name) AS own, unnest(regexp_extract_all(c.text, '[A-Za-z_][A-Za-z0-9_]+')) AS ident FROM pool p JOIN corpus c USING (row_id) WHERE p.pos < 6),
+cand AS (SELECT i.qid, i.pos, i.ident, c.row_id, c.key FROM ids i JOIN defs d ON d.symbol = lower(i.ident) AND d.repo = i.repo JOIN corpus c ON c.row_id = d.row_id
+  WHERE length(i.ident) >= 4 AND lower(i.ident) NOT IN ({_GENERIC}) AND lower(i.ident) IS DISTINCT FROM i.own AND c.path <> i.from_path
+    AND NOT EXISTS (SELECT 1 FROM pool q WHERE q.qid = i.qid AND q.key = c.key)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos, ident, row_id) AS n FROM cand) WHERE n = 1),
+extra AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, ident, row_id) AS k FROM once) WHERE k <= 8),
+wide AS (SELECT qid, key, row_id, pos FROM pool UNION ALL SELECT e.qid, e.key, e.row_id, s.size + e.k - 1 FROM extra e JOIN (SELECT qid, count(*) AS size FROM pool GROUP BY qid) s USING (qid))""" + scored_sql("wide", RERANKED, 0.7) + """,
+want AS (SELECT DISTINCT case_id AS qid, repo, unnest(expect) AS part FROM eval_cases),
+got AS (SELECT w.qid, w.repo, w.part, max(CASE WHEN contains(h.path, w.part) THEN 1 ELSE 0 END) AS found FROM want w LEFT JOIN best h USING (qid) GROUP BY ALL),
+per AS (SELECT qid, repo, count(*) AS n_expected, sum(found)::BIGINT AS n_found, round(avg(found), 6) AS recall, max(found)::INT AS hit,
+  coalesce(string_agg(CASE WHEN found = 0 THEN part END, ',' ORDER BY part), '') AS missing FROM got GROUP BY ALL)"""
+
+
 def own_corpus(spark, d):
     """Chunks as the index of each repository holds them: paths begin below the repository."""
     c = table(spark, d, "chunks", "chunk_id", "repo", "path", "kind", "name", "start_line", "end_line", "text")
@@ -348,22 +386,30 @@ def _searched(spark, d):
     return R.recall(hits.select("qid", "path"), k)
 
 
-@query("search_recall_at_k")
+@query("search_recall_at_k", _OWN + " SELECT qid, n_expected, n_found, recall FROM per")
 def search_recall_at_k(spark, d):
     return _searched(spark, d).select("qid", "n_expected", "n_found", "recall")
 
 
-@query("search_hit_at_k")
+@query("search_hit_at_k", _OWN + " SELECT qid, hit FROM per")
 def search_hit_at_k(spark, d):
     return _searched(spark, d).select("qid", "hit")
 
 
-@query("search_missing")
+@query("search_missing", _OWN + " SELECT qid, missing FROM per")
 def search_missing(spark, d):
     return _searched(spark, d).select("qid", "missing")
 
 
-@query("search_by_group")
+@query("search_own", _OWN + " SELECT qid, rank::INT AS rank, row_id, key, round(relevance, 6) AS relevance, mmr FROM best")
+def search_own(spark, d):
+    """What the search finds for every case in its own repository."""
+    c, k = own_corpus(spark, d), cases(spark, d)
+    hits = R.search(k.select("repo", "qid", "query"), c, materialized(R.counted(c, ("repo",)), "counted"), scope=("repo",))
+    return hits.select("qid", "rank", "row_id", "key", "relevance", "mmr")
+
+
+@query("search_by_group", _OWN + " SELECT repo, count(*) AS n_cases, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM per GROUP BY ROLLUP (repo)")
 def search_by_group(spark, d):
     return R.evaluate(_searched(spark, d))
 

@@ -166,6 +166,8 @@ def test_walk_keeps_private_and_hidden_files(spark, tmp_path):
     (tmp_path / "repo/latin.py").write_bytes(b"\xe9")
     got = {r.path: r.text for r in FL.read_tree(spark, str(tmp_path / "repo")).collect()}
     assert got == {p: "x = 1\n" for p in kept}
+    through_driver = FL.read_files(spark, str(tmp_path / "repo"), FL.walk_files(str(tmp_path / "repo")), shared=False)
+    assert {r.path: r.text for r in through_driver.collect()} == got
     (tmp_path / "only").mkdir()
     (tmp_path / "only/__init__.py").write_text("def f():\n    return 1\n")
     assert index_repo(spark, str(tmp_path / "only"), "only", store=str(tmp_path / "store")) > 0

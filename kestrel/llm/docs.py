@@ -43,7 +43,6 @@ _BARE_TAG = re.compile(
     r"|:(?:param|parameter|arg|argument|type|returns?|rtype|raises|raise|var|ivar)\b[^:]*:\s*[\w.\[\], ]{0,0}"
     r"|(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws|Example|Examples|Errors|Panics|Safety|Note|Notes)\s*:?|#+\s*\w+\s*|[-=~*_#`'\"+^.\s]*)\s*$"
 )
-_NUMPY_RULE = re.compile(r"^\s*-{3,}\s*$")
 #: Words that say nothing on their own beside the words of a name.
 FILLERS = frozenset("the a an this that function method func fn def it its is does of for to and or do in on our helper der die das el la los las".split())
 _WORD = re.compile(r"[^\W\d_]+", re.UNICODE)

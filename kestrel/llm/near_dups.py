@@ -25,7 +25,7 @@ their Jaccard similarity reaches the threshold (0.7 here: TESTDATA fixes it).
    the hashes.  Two sets lose at most as many common hashes by that as the one
    that loses fewer has hashes that coincide on 32 bits, so no pair below the
    overlap needed less that number can be one; pairs from there to a margin
-   above, which grows with the product of the sizes, are intersected on 64.
+   above, and all pairs of large sets, are intersected on 64.
 
 Defined results: null, empty and short texts (under 40 tokens) have no
 partners; equal token sequences are similar; repeated rows (same id) count
@@ -332,8 +332,8 @@ def needed(n_a, n_b, threshold: float):
 
 
 def margin(n_a: int, n_b: int) -> float:
-    """Hashes that coincide on 32 bits by chance stay below this: eight and sixteen times as many as are to be expected."""
-    return 8 + 16 * n_a * n_b / 2**32
+    """Hashes of two sets that coincide on 32 bits by chance stay below this; for sets so large that one may be expected every few hundred pairs, 64 bits decide."""
+    return 8 if n_a * n_b < 1 << 24 else math.inf
 
 
 def _suffix_filter(batches, threshold):

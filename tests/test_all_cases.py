@@ -1,10 +1,8 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kestrel.operators import retrieval as R
 
 SF = "/root/testdata/sf0.001"
 NAMES = "embedded_topk rrf_fuse pool_cut graph_expand name_match name_boost lexical_rerank rank_proxy hybrid_search hybrid_no_graph hybrid_no_rerank format_hits".split()

@@ -479,3 +479,30 @@ def embedded_vectors(spark, d):
     v = embedding.embed_column(each_once(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id"), embedding.HashedEmbedder())
     each = v.select("chunk_id", F.posexplode("vector").alias("b", "x")).where("x <> 0")
     return each.select("chunk_id", "b", F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
+_FOUND_OWN = _OWN.replace(
+    "queries AS (SELECT case_id AS qid, repo, query FROM eval_cases)",
+    f"queries AS (SELECT row_id AS qid, repo, array_to_string({toks_sql('name')}, ' ') AS query FROM corpus WHERE row_id % 20 = 0 AND len({toks_sql('name')}) > 0)",
+).replace(
+    "want AS (SELECT DISTINCT case_id AS qid, repo, unnest(expect) AS part FROM eval_cases)",
+    "want AS (SELECT row_id AS qid, repo, path AS part FROM corpus WHERE row_id IN (SELECT qid FROM queries))",
+)
+
+
+def _found_own(spark, d):
+    """The same names, each looked for in its own repository."""
+    c, t = own_corpus(spark, d), tokens(F.col("name"))
+    k = c.where((F.col("row_id") % 20 == 0) & (F.size(t) > 0)).select(F.col("row_id").alias("qid"), "repo", F.array_join(t, " ").alias("query"), F.array("path").alias("expect"))
+    held = materialized(R.counted(c, ("repo",)), "counted")
+    return R.recall(R.search(k.select("repo", "qid", "query"), c, held, scope=("repo",)).select("qid", "path"), k)
+
+
+@query("found_own_recall_at_k", _FOUND_OWN + " SELECT qid, n_expected, n_found, recall FROM per")
+def found_own_recall_at_k(spark, d):
+    return _found_own(spark, d).select("qid", "n_expected", "n_found", "recall")
+
+
+@query("found_own_by_group", _FOUND_OWN + " SELECT repo, count(*) AS n_cases, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM per GROUP BY ROLLUP (repo)")
+def found_own_by_group(spark, d):
+    return R.evaluate(_found_own(spark, d))

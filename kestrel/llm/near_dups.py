@@ -480,12 +480,27 @@ def near_links(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-#: All pairs through all shared shingles: for small tables.
-FOUND_SQL = r"""
+_TOKENS_SQL = r"""
 WITH one AS (SELECT DISTINCT chunk_id, CASE WHEN parent IS NOT NULL AND starts_with(text, '# in ') THEN substr(text, strpos(text, chr(10)) + 1) ELSE text END AS text FROM chunks),
-t AS (SELECT chunk_id, list_transform(regexp_extract_all(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda z: lower(z)) AS k FROM one),
-s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS g FROM t WHERE len(k) >= 40),
+w AS (SELECT chunk_id, list_transform(regexp_extract_all(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda z: lower(z)) AS k FROM one),
+t AS (SELECT * FROM w WHERE len(k) >= 40)"""
+_RUNS_SQL = "list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))"
+#: All pairs through all shared shingles: for small tables.
+FOUND_SQL = _TOKENS_SQL + f""",
+s AS (SELECT chunk_id, {_RUNS_SQL} AS g FROM t),
 e AS (SELECT chunk_id, len(g) AS n, unnest(g) AS x FROM s)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM e a JOIN e b ON a.x = b.x AND a.chunk_id < b.chunk_id
 GROUP BY a.chunk_id, b.chunk_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9
 """
+_CLASSES_SQL = _TOKENS_SQL + f""",
+cls AS (SELECT k, min(chunk_id) AS class_id, count(*) AS n_copies FROM t GROUP BY k),
+m AS (SELECT t.chunk_id, c.class_id, c.n_copies FROM t JOIN cls c ON t.k = c.k),
+s AS (SELECT class_id, {_RUNS_SQL} AS g FROM cls),
+e AS (SELECT class_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.class_id AS class_a, b.class_id AS class_b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.class_id < b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9)"""
+PAIRS_SQL = _CLASSES_SQL + " SELECT class_a, class_b, similarity FROM p"
+MEMBERS_SQL = _CLASSES_SQL + " SELECT chunk_id, class_id FROM m"
+LINKS_SQL = _CLASSES_SQL + """,
+l AS (SELECT class_id, count(*) AS n_links FROM (SELECT class_a AS class_id FROM p UNION ALL SELECT class_b FROM p) GROUP BY class_id)
+SELECT m.chunk_id, m.class_id, m.n_copies, coalesce(l.n_links, 0) AS n_links FROM m LEFT JOIN l USING (class_id) WHERE m.n_copies > 1 OR l.n_links IS NOT NULL"""

@@ -57,17 +57,17 @@ def p4_found(spark, d):
     return near_dups.near_pairs(_chunks(spark, d))
 
 
-@query("p4_links")
+@query("p4_links", near_dups.LINKS_SQL)
 def p4_links(spark, d):
     return near_dups.near_links(_chunks(spark, d))
 
 
-@query("p4_class_pairs")
+@query("p4_class_pairs", near_dups.PAIRS_SQL)
 def p4_class_pairs(spark, d):
     return near_dups.class_pairs(_chunks(spark, d))
 
 
-@query("p4_class_members")
+@query("p4_class_members", near_dups.MEMBERS_SQL)
 def p4_class_members(spark, d):
     return near_dups.class_members(_chunks(spark, d))
 

@@ -1,10 +1,13 @@
-"""Small linear models trained on the driver with numpy: logistic regression, linear support vectors, calibration.
+"""Small linear models trained with numpy: logistic regression, linear support vectors, calibration.
 
-Training sets are bounded samples; the weights are a few thousand numbers.
+The weights are a few thousand numbers.  ``adam`` and ``newton`` ask for sums
+over rows, which may lie in the cluster; the rest takes rows in memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -47,19 +50,24 @@ class Sparse:
         return np.bincount(self.col, weights=self.val * g[self.row], minlength=self.width)
 
 
-def _descend(x, slope, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
-    """Full-batch adaptive gradient descent with momentum (Adam), deterministic."""
-    w, b = np.zeros(x.width), 0.0
-    m, v = np.zeros(x.width + 1), np.zeros(x.width + 1)
+def adam(gradient: Callable[[np.ndarray], np.ndarray], width: int, steps: int, rate: float = 0.05) -> np.ndarray:
+    """Full-batch adaptive gradient descent with momentum (Adam), deterministic; ``gradient(w)`` is over all rows, wherever they are."""
+    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     for t in range(1, steps + 1):
-        s = slope(x.dot(w) + b)
-        g = np.append(x.back(s) / x.n + l2 * w, s.mean())
+        g = gradient(w)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w -= step[:-1]
-        b -= step[-1]
-    return w, float(b)
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _descend(x, slope, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+    def gradient(w: np.ndarray) -> np.ndarray:
+        s = slope(x.dot(w[:-1]) + w[-1])
+        return np.append(x.back(s) / x.n + l2 * w[:-1], s.mean())
+
+    w = adam(gradient, x.width + 1, steps, rate)
+    return w[:-1], float(w[-1])
 
 
 def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-5, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -84,6 +92,18 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.05) / scale, b
 
 
+def newton(total: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, steps: int = 30) -> np.ndarray:
+    """Minimum of a convex loss of few places; ``total(w)`` is its gradient and second derivatives over all rows, wherever they are."""
+    w = np.zeros(width)
+    for _ in range(steps):
+        g, h = total(w)
+        step = np.linalg.solve(h + 1e-9 * np.trace(h) * np.eye(width), g)
+        w = w - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """Weights that give both classes the same say."""
     p = max(1.0, y.sum())

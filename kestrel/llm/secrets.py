@@ -12,10 +12,11 @@
    public keys label others as none; the rest stays unlabelled.
 3. *Model.*  Logistic regression on the likelihood of the value under a
    character Markov chain of ordinary words, its composition and its words, the
-   words of the surrounding identifier and context, and the path; fitted on a
-   sample of at most SAMPLE labelled candidates, calibrated on repositories it
-   has not seen.  No pattern that makes labels is a feature, words count if
-   several repositories of the sample have them, and names are masked in a
+   words of the surrounding identifier and context, and the path; fitted on all
+   labelled candidates, whatever their number and length, calibrated on
+   repositories it has not seen.  Features stay in the cluster, which adds up
+   the gradient of each step.  No pattern that makes labels is a feature,
+   words count if several repositories have them, and names are masked in a
    second copy of the training rows.  The labels are not looked at when
    candidates are scored; ``statistics`` counts what was found among those
    without a label.
@@ -31,9 +32,11 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -41,12 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.linear import Sparse, balanced, bucket, logistic, platt
-from kestrel.functions.sampling import smallest_hashes
-from kestrel.session import by_bytes, each_once, materialized, spread, text_batches
+from kestrel.functions.linear import adam, bucket, newton
+from kestrel.session import by_bytes, each_once, materialized, release, spread, text_batches
 
-#: Labelled candidates the model is fitted on, at most; the first by a hash of their place, of values up to SAMPLE_CHARS. All are scored, whatever their length.
-SAMPLE, SAMPLE_CHARS = 20_000, 20_000
+#: Labelled candidates whose features are one row of a table, and those that a task sums up in a step, about; what one task sums up it holds.
+BLOCK_ROWS, TASK_ROWS = 400, 50_000
 THRESHOLD = 0.5
 NAME_BITS = 11
 
@@ -245,13 +247,19 @@ class Markov:
 
     SIZE = 29
 
-    def __init__(self, texts: list[str]):
-        n = np.full((self.SIZE, self.SIZE), 0.5)
-        for t in texts:
-            x = self.codes(t)
-            np.add.at(n, (x[:-1], x[1:]), 1)
+    def __init__(self, counts: np.ndarray):
+        n = counts.reshape(self.SIZE, self.SIZE) + 0.5
         self.logs = np.log(n / n.sum(axis=1, keepdims=True))
 
+    @classmethod
+    def counts(cls, words: Iterable[str]) -> np.ndarray:
+        """How often one mark follows another."""
+        n = np.zeros((cls.SIZE, cls.SIZE))
+        for t in words:
+            x = cls.codes(t)
+            np.add.at(n, (x[:-1], x[1:]), 1)
+        return n.ravel()
+
     @staticmethod
     def codes(t: str) -> np.ndarray:
         return np.array([26 if c.isdigit() else _ALPHA.get(c, 27) for c in ("~" + t).lower()], dtype=np.int64)
@@ -305,51 +313,262 @@ NAME_WEIGHT, PATH_WEIGHT = 1.0, 0.3
 NAME_REPOS = 4
 
 
-def features(name: str, value: str, path: str, context: str, chain: Markov, known: frozenset, masked: bool = False) -> tuple[list[int], list[float]]:
+def named(name: str, value: str, path: str, context: str, known: frozenset, masked: bool = False) -> tuple[list[int], list[float]]:
+    """Places and values of the known names."""
     names = [x for x in names_of(name, value, path, context, masked) if x in known]
-    cols = [*range(_DENSE), *(_DENSE + bucket(x, NAME_BITS) for x in names)]
-    return cols, [*shape(value, chain), *(PATH_WEIGHT if x[:2] == "p:" else NAME_WEIGHT for x in names)]
+    return [_DENSE + bucket(x, NAME_BITS) for x in names], [PATH_WEIGHT if x[:2] == "p:" else NAME_WEIGHT for x in names]
 
 
 WIDTH = _DENSE + (1 << NAME_BITS)
 
 
+# -- training -----------------------------------------------------------
+#: kind, name, value, path, context, repo, label
+Row = tuple[str, str, str, str, str, str, int]
+_ROW = ("kind", "name", "value", "path", "context", "repo", "label")
+#: Ways to keep candidates for the calibration; the first that leaves both classes on both sides is taken.
+SPLITS = ("repository", "value", "none")
+
+
+def sides(r: Row, split: str) -> tuple[bool, bool]:
+    """Whether a candidate is fitted on, and whether it is calibrated on."""
+    if split == "none":
+        return True, True
+    held = bucket("held:" + (r[5] if split == "repository" else f"{r[3]} {r[2]}"), 8) % 5 == 0
+    return not held, held
+
+
+def _census(rows: Iterable[Row]) -> np.ndarray:
+    """Candidates by split, side and label."""
+    n = np.zeros((len(SPLITS), 2, 2))
+    for r in rows:
+        for k, split in enumerate(SPLITS):
+            n[k, :, r[6]] += sides(r, split)
+    return n.ravel()
+
+
+def _words(rows: Iterable[Row]) -> Iterator[tuple[str]]:
+    """Ordinary words: those of identifiers and paths."""
+    for r in rows:
+        yield from ((w,) for w in words_of(r[1]))
+        yield from ((w,) for w in _TEXT_PATH.findall(r[3].lower()))
+
+
+def _owners(rows: Iterable[Row], split: str) -> Iterator[tuple[str, str]]:
+    """(name feature, repository) of what is fitted on."""
+    for r in rows:
+        if sides(r, split)[0]:
+            yield from ((x, r[5]) for x in names_of(*r[1:5]))
+
+
+class Block:
+    """Features of labelled candidates: figures, and names with the identifier and without it."""
+
+    def __init__(self, figures, label, train, test, plain, masked):
+        self.figures, self.label, self.train, self.test = figures.astype(float), label.astype(float), train, test
+        self.plain, self.masked = ((np.repeat(np.arange(len(label)), many), places.astype(int), vals.astype(float)) for many, places, vals in (plain, masked))
+
+    def logits(self, w: np.ndarray, names: tuple) -> np.ndarray:
+        row, places, vals = names
+        return self.figures @ w[:_DENSE] + np.bincount(row, vals * w[places], len(self.label)) + w[-1]
+
+    def back(self, g: np.ndarray, names: tuple) -> np.ndarray:
+        row, places, vals = names
+        out = np.bincount(places, vals * g[row], WIDTH + 1).astype(float)  # whole numbers where there are no names
+        out[:_DENSE] += g @ self.figures
+        out[-1] = g.sum()
+        return out
+
+
+def _packed(rows: list[Row], chain: Markov, known: frozenset, split: str) -> tuple:
+    """What a Block is made of."""
+    names = []
+    for masked in (False, True):
+        each = [named(*r[1:5], known, masked) for r in rows]
+        names.append((np.array([len(c) for c, _ in each], np.int32), np.array([x for c, _ in each for x in c], np.int16), np.array([x for _, v in each for x in v], np.float32)))
+    train, test = np.array([sides(r, split) for r in rows]).T
+    return np.array([shape(r[2], chain) for r in rows], np.float32), np.array([r[6] for r in rows], np.int8), train, test, *names
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _gradient(blocks: Iterable[Block], w: np.ndarray, weight: tuple[float, float]) -> np.ndarray:
+    """Gradient over what is fitted on, each with its names and masked; weight: of either class."""
+    out = np.zeros(WIDTH + 1)
+    for k in blocks:
+        c = np.where(k.label > 0, weight[1], weight[0]) * k.train
+        for names in (k.plain, k.masked):
+            out += k.back(c * (_sigmoid(k.logits(w, names)) - k.label), names)
+    return out
+
+
+def _distance(blocks: Iterable[Block], w: np.ndarray) -> np.ndarray:
+    """Sum of the distances from the border, of what is calibrated on."""
+    return np.array([sum(float(np.abs(k.logits(w, k.plain)) @ k.test) for k in blocks)])
+
+
+def _calibration(blocks: Iterable[Block], w: np.ndarray, scale: float, line: np.ndarray, goal: tuple[float, float]) -> np.ndarray:
+    """Gradient and second derivatives by slope and offset; goal: the probability aimed at for either class."""
+    out = np.zeros(6)
+    for k in blocks:
+        x = np.stack([k.logits(w, k.plain) / scale, np.ones(len(k.label))])
+        p = _sigmoid(line @ x)
+        out[:2] += x @ ((p - np.where(k.label > 0, goal[1], goal[0])) * k.test)
+        out[2:] += ((x * (p * (1 - p) * k.test)) @ x.T).ravel()
+    return out
+
+
+def _right(blocks: Iterable[Block], w: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    """How many are told right of what is calibrated on, with names and masked."""
+    out = np.zeros(2)
+    for k in blocks:
+        out += [((slope * k.logits(w, names) + offset >= math.log(THRESHOLD / (1 - THRESHOLD))) == (k.label > 0)) @ k.test.astype(float) for names in (k.plain, k.masked)]
+    return out
+
+
+STEPS = 500
+#: Penalties of the squared weights and of the squared slope; the slope's is less where one class is rare, as its candidates are but few of the mean.
+L2, SLOPE_L2 = 1e-5, 1e-3
+
+
+def _trained(sums, n: np.ndarray, steps: int) -> np.ndarray:
+    """Weights, slope, offset, how many are told right; sums(f, ...) adds up f over all blocks, n holds candidates by side and label."""
+    (no, yes), (test_no, test_yes) = n
+    train, test = no + yes, test_no + test_yes
+    weight = train / (2 * no), train / (2 * yes)
+    w = adam(lambda w: sums(_gradient, w=w, weight=weight) / (2 * train) + L2 * np.append(w[:-1], 0.0), WIDTH + 1, steps)
+    scale = float(sums(_distance, w=w)[0]) / test or 1.0
+    goal, penalty = (1 / (test_no + 2), (test_yes + 1) / (test_yes + 2)), SLOPE_L2 * 2 * min(test_no, test_yes) / test
+
+    def miss(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = sums(_calibration, w=w, scale=scale, line=line, goal=goal) / test
+        return s[:2] + penalty * line * [1, 0], s[2:].reshape(2, 2) + penalty * np.diag([1, 0])
+
+    line = newton(miss, 2)
+    slope, offset = max(float(line[0]), 0.05) / scale, float(line[1])
+    return np.concatenate([w, [slope, offset], sums(_right, w=w, slope=slope, offset=offset)])
+
+
+def _trained_here(blocks: Iterable[Block], n: np.ndarray, steps: int) -> np.ndarray:
+    """The same where all blocks are at hand."""
+    blocks = list(blocks)
+    return _trained(lambda f, **given: f(blocks, **given), n, steps)
+
+
+class Here:
+    """Labelled candidates in memory."""
+
+    def __init__(self, rows: list[Row]):
+        self.rows = rows
+
+    def census(self) -> np.ndarray:
+        return _census(self.rows)
+
+    def follows(self) -> np.ndarray:
+        return Markov.counts(w for w, in set(_words(self.rows)))
+
+    def known(self, split: str) -> frozenset:
+        return frozenset(x for x, n in Counter(x for x, _ in set(_owners(self.rows, split))).items() if n >= NAME_REPOS)
+
+    def trained(self, n: np.ndarray, **given) -> np.ndarray:
+        return _trained_here([Block(*_packed(self.rows, **given))], n, STEPS)
+
+
+def _rows(batches) -> Iterator[Row]:
+    for b in batches:
+        yield from zip(*(b.column(n).to_pylist() for n in _ROW))
+
+
+def _blocks(batches) -> Iterator[Block]:
+    for b in batches:
+        for x in b.column("block"):
+            yield Block(*pickle.loads(x.as_py()))
+
+
+def _total(batches, f, read, given):
+    """The sums of one task."""
+    yield pa.RecordBatch.from_pydict({"sums": [f(read(batches), **given).tobytes()]}, pa.schema([("sums", pa.binary())]))
+
+
+def _once(batches, f, names, given):
+    """Tuples of strings, most of them once a task."""
+    schema = pa.schema([(n, pa.string()) for n in names])
+    rows = f(_rows(batches), **given)
+    while some := list(itertools.islice(rows, 100_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*set(some))], schema=schema)
+
+
+def _word_batches(batches):
+    for b in batches:
+        yield from b.column("word").to_pylist()
+
+
+def _pack(batches, given):
+    rows = _rows(batches)
+    while some := list(itertools.islice(rows, BLOCK_ROWS)):
+        yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(_packed(some, **given), 5)]}, pa.schema([("block", pa.binary())]))
+
+
+class InCluster:
+    """Labelled candidates of a table; only sums, a vector a task, and the known names come to the driver."""
+
+    def __init__(self, found: DataFrame):
+        self.rows = found.where("label >= 0").select(*_ROW)
+
+    @staticmethod
+    def _added(df: DataFrame, f, read, given: dict) -> np.ndarray:
+        parts = df.mapInArrow(partial(_total, f=f, read=read, given=given), "sums binary").collect()
+        return np.sum([np.frombuffer(r.sums) for r in parts] or [f(iter(()), **given)], axis=0)
+
+    def census(self) -> np.ndarray:
+        n = self._added(self.rows, _census, _rows, {})
+        self.tasks = max(1, min(2 * self.rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n[-2:].sum() / TASK_ROWS)))
+        return n
+
+    def follows(self) -> np.ndarray:
+        words = self.rows.mapInArrow(partial(_once, f=_words, names=["word"], given={}), "word string").distinct()
+        return self._added(words, Markov.counts, _word_batches, {})
+
+    def known(self, split: str) -> frozenset:
+        owners = self.rows.mapInArrow(partial(_once, f=_owners, names=["x", "repo"], given={"split": split}), "x string, repo string").distinct()
+        return frozenset(r.x for r in owners.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= NAME_REPOS).select("x").toLocalIterator())
+
+    def trained(self, n: np.ndarray, **given) -> np.ndarray:
+        """A pass over the features for each step; where one task can hold them, it takes all steps itself."""
+        blocks = materialized(self.rows.mapInArrow(partial(_pack, given=given), "block binary"), "features")
+        few = blocks.coalesce(self.tasks)
+        if self.tasks == 1:
+            out = self._added(few, _trained_here, _blocks, {"n": n, "steps": STEPS})
+        else:
+            out = _trained(lambda f, **given: self._added(few, f, _blocks, given), n, STEPS)
+        release(blocks)
+        return out
+
+
 class Model:
     """Weights, calibration and chain; small enough to ship with a task."""
 
-    def __init__(self, rows: list[tuple[str, str, str, str, str, str, int]]):
-        """rows: kind, name, value, path, context, repo, label."""
-        names = sorted({w for r in rows for w in words_of(r[1])} | {w for r in rows for w in _TEXT_PATH.findall(r[3].lower())})
-        self.chain = Markov(names)
-        y = np.array([r[6] for r in rows], float)
-        self.fitted = len(rows) > 0 and 0 < y.sum() < len(y)
+    def __init__(self, rows: list[Row] | InCluster):
+        rows = rows if isinstance(rows, InCluster) else Here(rows)
+        n = rows.census().reshape(len(SPLITS), 2, 2)
+        self.n_rows = int(n[-1, 0].sum())
+        self.fitted = bool(n[-1, 0].all())
         self.report: dict[str, float] = {}
         if not self.fitted:
             return
-        held = np.array([bucket("held:" + r[5], 8) % 5 == 0 for r in rows])
-        if held.all() or not held.any() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-            held = np.arange(len(rows)) % 5 == 0
-        train, test = np.flatnonzero(~held), np.flatnonzero(held)
-        where: dict[str, set] = {}
-        for i in train:
-            for x in names_of(*rows[i][1:5]):
-                where.setdefault(x, set()).add(rows[i][5])
-        self.known = frozenset(x for x, repos in where.items() if len(repos) >= NAME_REPOS)
-        made = lambda idx, masked: [features(*rows[i][1:5], self.chain, self.known, masked) for i in idx]
-        x = Sparse(made(train, False) + made(train, True), WIDTH)
-        yy = np.concatenate([y[train], y[train]])
-        self.w, self.b = logistic(x, yy, balanced(yy), steps=500)
-        z = Sparse(made(test, False), WIDTH).dot(self.w) + self.b
-        self.slope, self.offset = platt(z, y[test])
-        hit = lambda z: self.slope * z + self.offset >= math.log(THRESHOLD / (1 - THRESHOLD))
-        blind = Sparse(made(test, True), WIDTH).dot(self.w) + self.b
-        self.report = {"held_out": float(len(test)), "accuracy": float((hit(z) == (y[test] > 0)).mean()), "masked accuracy": float((hit(blind) == (y[test] > 0)).mean())}
+        k = next(k for k in range(len(SPLITS)) if n[k].all())
+        self.chain, self.known = Markov(rows.follows()), rows.known(SPLITS[k])
+        *w, self.b, self.slope, self.offset, right, blind = rows.trained(n[k], chain=self.chain, known=self.known, split=SPLITS[k]).tolist()
+        self.w, test = np.array(w), float(n[k, 1].sum())
+        self.report = {"held_out": test, "accuracy": right / test, "masked accuracy": blind / test}
 
     def score(self, kind: str, name: str, value: str, path: str, context: str = "") -> float:
         if not self.fitted:
             return float(weak_label(kind, name, value) == 1)
-        cols, vals = features(name, value, path, context, self.chain, self.known)
-        z = float(np.dot(self.w[cols], vals)) + self.b
+        places, vals = named(name, value, path, context, self.known)
+        z = float(np.dot(self.w[:_DENSE], shape(value, self.chain)) + np.dot(self.w[places], vals)) + self.b
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * z + self.offset))))
 
 
@@ -376,15 +595,9 @@ def candidates(files: DataFrame) -> DataFrame:
     return materialized(f.mapInArrow(_scan, CANDIDATE_SCHEMA).dropDuplicates(["file_id", "start", "stop"]), "candidates")
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled candidates, half of them of either class, chosen by a hash of their place; only hashes are ordered."""
-    half = sample // 2
-    rows: list[tuple] = []
-    for label in (1, 0):
-        part = found.where((F.col("label") == label) & (F.length("value") <= SAMPLE_CHARS)).withColumn("place", F.xxhash64("file_id", "start"))
-        few = smallest_hashes(part, "place", half).select("place", "kind", "name", "value", "path", "context", "repo", "label")
-        rows += [r[1:] for r in sorted(tuple(r) for r in few.toLocalIterator())]
-    return Model(rows)
+def fit(found: DataFrame) -> Model:
+    """Fit on all labelled candidates; they and their features stay in the cluster."""
+    return Model(InCluster(found))
 
 
 def _judge(batches, model):
@@ -395,10 +608,10 @@ def _judge(batches, model):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
 
 
-def scored(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(files: DataFrame) -> DataFrame:
     """All candidates with their calibrated probability of being a credential."""
     found = candidates(files)
-    model = files.sparkSession.sparkContext.broadcast(fit(found, sample))
+    model = files.sparkSession.sparkContext.broadcast(fit(found))
     return found.mapInArrow(partial(_judge, model=model), CANDIDATE_SCHEMA + ", score double")
 
 
@@ -448,14 +661,14 @@ def _redact_batches(batches, model, threshold):
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _REDACTED.types[n]) for n in range(3)], schema=_REDACTED)
 
 
-def redacted(files: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def redacted(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, n_redacted, text) of each file that holds credentials, without them; other files are as they were.
 
     Once the model is fitted, texts are scanned again where they lie: none is
     joined with its spans or shuffled.
     """
     found = candidates(files)
-    model = files.sparkSession.sparkContext.broadcast(fit(found, sample))
+    model = files.sparkSession.sparkContext.broadcast(fit(found))
     once = each_once(files.select("file_id", "path", "language", "text").where("text is not null"), "file_id")
     return spread(once).mapInArrow(partial(_redact_batches, model=model, threshold=threshold), "file_id bigint, n_redacted int, text string")
 
